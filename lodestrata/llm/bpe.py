@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.shared import bound_batches
 
-#: Chunks remembered by a worker (about 300 bytes each), and the longest chunk worth remembering.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 64
+#: Chunks and pieces remembered by a worker in each of two generations (about 250 bytes each), and
+#: the longest one worth remembering.
+CACHE_CHUNKS, CACHE_PIECES, CACHE_CHARS = 150_000, 200_000, 64
+#: Factors that put two symbols, and a rank and a place in a piece, into one number.
+PAIR, PLACES = 1 << 32, 1 << 40
 #: Unicode's White_Space characters.
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,6 +41,27 @@ def byte_letters() -> dict[int, str]:
     return letters
 
 
+class Remembered(dict):
+    """A cache of two generations: when the young one is full it becomes the old one, which is dropped."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def recall(self, key: str) -> bytes | None:
+        """What is known of a key that the young generation lacks; it becomes young again."""
+        if (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+
+
 class WordBpe:
     """Encoder and decoder of one vocabulary file in the JSON format of the tokenizers library."""
 
@@ -46,7 +71,9 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): n for n, m in enumerate(model["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.ranks = {self.vocab[a] * PAIR + self.vocab[b]: n for n, (a, b) in enumerate(merges)}
+        self.made = [self.vocab[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {n: s.encode() for s, n in [*self.vocab.items(), *self.special.items()]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -54,72 +81,75 @@ class WordBpe:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.chunks = regex.compile(f"[^{SPACES}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
-        self.letters = byte_letters()
-        self.known: dict[str, tuple[bytes, list[int]]] = {}
+        letters = byte_letters()
+        self.symbols = [self.vocab.get(letters[b]) for b in range(256)]
+        self.last_symbols = [self.vocab.get(letters[b] + self.end) for b in range(256)]
+        self.known, self.known_pieces = Remembered(CACHE_CHUNKS), Remembered(CACHE_PIECES)
 
-    def merged(self, symbols: list[str]) -> list[str]:
+    def merged(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost first among equals."""
         n = len(symbols)
-        sym, prev, nxt = list(symbols), list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[int, int, str, str]] = []
-        ranks = self.ranks
-
-        def offer(left: int) -> None:
-            right = nxt[left] if left >= 0 else -1
-            if right >= 0 and (rank := ranks.get((sym[left], sym[right]))) is not None:
-                heapq.heappush(queue, (rank, left, sym[left], sym[right]))
-
-        for i in range(n - 1):
-            offer(i)
+        sym, prev, nxt = symbols, list(range(-1, n - 1)), [*range(1, n), -1]
+        rank_of, made, push, pop = self.ranks.get, self.made, heapq.heappush, heapq.heappop
+        # a queue entry is a rank and the place of the left symbol in one number
+        queue = [r * PLACES + i for i in range(n - 1) if (r := rank_of(sym[i] * PAIR + sym[i + 1])) is not None]
+        heapq.heapify(queue)
         while queue:
-            _, left, a, b = heapq.heappop(queue)
+            rank, left = divmod(pop(queue), PLACES)
             right = nxt[left]
-            if sym[left] != a or right < 0 or sym[right] != b:
+            if right < 0 or sym[left] < 0 or rank_of(sym[left] * PAIR + sym[right]) != rank:
                 continue  # stale
-            sym[left], sym[right] = a + b, ""
-            nxt[left] = nxt[right]
-            if nxt[right] >= 0:
-                prev[nxt[right]] = left
-            offer(prev[left])
-            offer(left)
-        out, at = [], 0
-        while at >= 0:
-            out.append(sym[at])
-            at = nxt[at]
-        return out
-
-    def piece_ids(self, piece: str) -> list[int]:
-        symbols = [self.letters[b] for b in piece.encode()]
-        symbols[-1] += self.end
-        return [self.vocab[s] for s in self.merged(symbols) if s in self.vocab]
-
-    def plain_ids(self, chunk: str) -> list[int]:
-        """Ids of a chunk without white space and special tokens. Lower case goes letter by letter."""
-        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [n for piece in self.pieces.findall(chunk) for n in self.piece_ids(piece)]
-
-    def chunk_ids(self, chunk: str) -> list[int]:
+            new = sym[left] = made[rank]
+            sym[right] = -1
+            after = nxt[left] = nxt[right]
+            if after >= 0:
+                prev[after] = left
+                if (r := rank_of(new * PAIR + sym[after])) is not None:
+                    push(queue, r * PLACES + left)
+            before = prev[left]
+            if before >= 0 and (r := rank_of(sym[before] * PAIR + new)) is not None:
+                push(queue, r * PLACES + before)
+        return [s for s in sym if s >= 0]
+
+    def piece_ids(self, piece: str) -> bytes:
+        """Packed ids of a piece."""
+        known = self.known_pieces
+        found = known.get(piece)
+        if found is None and (found := known.recall(piece)) is None:
+            data, of = piece.encode(), self.symbols
+            symbols = [s for b in data[:-1] if (s := of[b]) is not None]
+            if (last := self.last_symbols[data[-1]]) is not None:
+                symbols.append(last)
+            found = pack(f"<{len(out)}I", *out) if (out := self.merged(symbols)) else b""
+            known.keep(piece, found)
+        return found
+
+    def plain_ids(self, chunk: str) -> bytes:
+        """Packed ids of a chunk without white space and special tokens. Lower case goes letter by letter."""
+        chunk = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")).lower()
+        return b"".join([self.piece_ids(piece) for piece in self.pieces.findall(chunk)])
+
+    def chunk_ids(self, chunk: str) -> bytes:
         if "<" not in chunk:
             return self.plain_ids(chunk)
         out, at = [], 0
         for m in self.cut.finditer(chunk):
-            out += self.plain_ids(chunk[at : m.start()]) + [self.special[m[0]]]
+            out += [self.plain_ids(chunk[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
             at = m.end()
-        return out + self.plain_ids(chunk[at:])
+        return b"".join([*out, self.plain_ids(chunk[at:])])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
+        known = self.known
         chunks = self.chunks.findall(text) if self.odd.search(text) else text.split()
-        for chunk in chunks:
-            got = known.get(chunk)
-            if got is None:
-                got = np.array(self.chunk_ids(chunk), "<u4").tobytes()
-                if len(chunk) <= CACHE_CHARS:
-                    if len(known) >= CACHE_CHUNKS:
-                        known.clear()
-                    known[chunk] = got
-            out.append(got)
+        out = [known.get(chunk) for chunk in chunks]
+        if None in out:
+            for i, chunk in enumerate(chunks):
+                if out[i] is None and (got := known.recall(chunk)) is not None:
+                    out[i] = got
+                elif out[i] is None:
+                    out[i] = got = self.chunk_ids(chunk)
+                    known.keep(chunk, got)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, langid, urlfilter
+from lodestrata.llm import bpe, decontam, langid, neardup, secrets, urlfilter
 from lodestrata.llm.shared import table
 
 #: The rules that op10 applies (host, path, verdict).
@@ -20,6 +20,38 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words
+), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), reach(node, other) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other
+)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM sizes JOIN reach ON node = doc_id GROUP BY doc_id, n
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -50,8 +82,11 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_decontamination": op3_decontamination,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_bpe": op7_bpe,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op10_url_filter": OP10_SQL}
