@@ -333,6 +333,21 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str):
         yield block
 
 
+#: The type of a text's leaks.
+LEAKS = "array<struct<item_id: long, share: double>>"
+
+
+def searched(sent):
+    """A function of texts that gives their leaks, by the Search in the broadcast variable sent."""
+
+    @F.pandas_udf(LEAKS)
+    def leaks(texts: pd.Series) -> pd.Series:
+        found = sent.value.leaks(texts.tolist())
+        return pd.Series([[{"item_id": i, "share": s} for i, s in own] for own in found], dtype=object)
+
+    return leaks
+
+
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """df with leaks, an array of (item_id, share): the benchmark items each text holds, by item_id.
 
@@ -343,8 +358,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     """
     spark = df.sparkSession
     bound_batches(spark)
-    kind = "array<struct<item_id: long, share: double>>"
-    out = df.withColumn("leaks", F.array().cast(kind))
+    out = df.withColumn("leaks", F.array().cast(LEAKS))
     for block in blocks_of(benchmark, item_id, item_text):
         terms = Terms(block)
         if not terms.items:
@@ -352,12 +366,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         search = Search(terms, *latent_space(df, terms, text))
         sent = spark.sparkContext.broadcast(search)
 
-        @F.pandas_udf(kind)
-        def leaks(texts: pd.Series, sent=sent) -> pd.Series:
-            found = sent.value.leaks(texts.tolist())
-            return pd.Series([[{"item_id": i, "share": s} for i, s in own] for own in found], dtype=object)
-
-        out = out.withColumn("leaks", F.concat("leaks", leaks(F.col(text).cast("string"))))
+        out = out.withColumn("leaks", F.concat("leaks", searched(sent)(F.col(text).cast("string"))))
     return out
 
 
