@@ -10,10 +10,11 @@
 3. A list longer than COMMON belongs to a passage that many texts share. Such lists are followed
    only for representatives made mostly of such passages: another text can only be as similar
    through the rest of its lists.
-4. Lists are not expanded into all pairs. In each list a hub is compared with the others; lists
-   whose members are linked by then are done. What is left is compared list by list, without the
-   pairs already in one component: the short lists in full, the long ones hub by hub, twice as
-   many hubs a round, until none is left.
+4. Short lists give pairs and the number of lists they share, which for similar sets is most. Each
+   representative is compared with the partner of its largest overlap first, then, across the
+   components found, with the others. Long lists are not expanded into pairs: in each list hubs are
+   compared with the others, lists whose members are in one component are done, and each round takes
+   HUBS times as many hubs until all are.
 5. A compared pair goes on if the union sketch of its two sketches puts it at SLACK below the similarity asked for or higher,
    six standard deviations; then its full sets are intersected.
 6. Links become components by alternating large-star and small-star steps.
@@ -27,7 +28,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,47 +41,70 @@ COMMON = 64
 #: Share of common values among the listed ones from which a set's common lists are followed: half
 #: of them, or for a set listed whole what similarity alone demands.
 MOSTLY = 0.5
+#: Short lists that a pair must share, as a share of the smaller set's values in lists that are not common.
+OVERLAP = 0.15
+#: How many times as many hubs of long lists each round takes.
+HUBS = 8
 #: How far below the similarity asked for an estimate may be for the pair to be verified.
 SLACK = 0.32
 #: Up to so many ids (8 bytes each) select texts by a broadcast join, more by a shuffled one.
 BROADCAST_IDS = 500_000
-#: Words remembered by a worker.
-CACHE_WORDS = 1_000_000
-
-#: The characters that part words (a word is a run of others).
-WORDS = regex.compile("[^\x20\x09-\x0d]+")
-_ODD_SPACE = regex.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # what str.split() parts beside these
-_known: dict[str, int] = {}
-
-
-def words_of(text: str) -> list[str]:
-    text = text.encode().lower().decode()  # of bytes, A-Z alone
-    return WORDS.findall(text) if _ODD_SPACE.search(text) else text.split()
-
-
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; of the whole sequence where it has fewer words."""
-    words = words_of(text or "")
-    if not words:
-        return np.zeros(0, "u8")
-    get = _known.get
-    hashes = [get(w) for w in words]
-    if None in hashes:
-        if len(_known) > CACHE_WORDS:
-            _known.clear()
-        for i, h in enumerate(hashes):
-            if h is None:
-                hashes[i] = _known.setdefault(words[i], xxhash.xxh64_intdigest(words[i]))
-    h = np.array(hashes, "u8")
-    n = min(width, len(h))
-    mixed = np.zeros(len(h) - n + 1, "u8")
-    for k in range(n):  # a polynomial in an odd base keeps the order of the words
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-    mixed += np.uint64(n)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+#: Bytes of text hashed at once.
+BYTES_AT_ONCE = 1_000_000
+
+#: The bytes that part words; all others, of UTF-8 text, are of words.
+PARTS = b"\x20\x09\x0a\x0b\x0c\x0d"
+IS_WORD = np.array([n not in PARTS for n in range(256)])
+#: Random odd factors that make up a word's hash from its bytes (A-Z as a-z) and their places.
+_random = np.random.default_rng(6)
+BYTE_VALUES = np.where(IS_WORD, _random.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0))
+BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
+PLACE_VALUES = _random.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+ODD = [np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after another, and the number of words of each text."""
+    coded = [(t or "").encode() for t in texts]
+    codes = np.frombuffer(b" ".join([*coded, b""]), np.uint8)
+    inside = IS_WORD[codes]
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    ends = np.cumsum([len(c) + 1 for c in coded])
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], ends])))
+    if not len(starts):
+        return np.zeros(0, "u8"), counts
+    codes = codes[starts[0] :]
+    place = np.arange(len(codes)) - np.repeat(starts - starts[0], np.diff(np.concatenate([starts, [starts[0] + len(codes)]])))
+    values = BYTE_VALUES[codes] * PLACE_VALUES[place & 255]
+    if place.max() > 255:  # long words: another factor for every 256 bytes
+        values *= np.cumprod(np.full((int(place.max()) >> 8) + 1, ODD[2]))[place >> 8]
+    return mixed(np.add.reduceat(values, starts - starts[0])), counts
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers."""
+    h = h ^ h >> np.uint64(32)
+    h = h * ODD[1]
+    return h ^ h >> np.uint64(29)
+
+
+def shingle_sets(texts: list[str | None], width: int):
+    """Of each text, the sorted distinct 64-bit hashes of its shingles; of all its words where they are fewer."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= BYTES_AT_ONCE):
+            size += len(texts[end] or "")
+            end += 1
+        hashes, counts = word_hashes(texts[at:end])
+        last = np.cumsum(counts)
+        for first, n in zip((last - counts).tolist(), counts.tolist(), strict=True):
+            h, own = hashes[first : first + n], min(width, n)
+            total = np.zeros(n - own + 1, "u8")
+            for k in range(own):  # a polynomial in an odd base keeps the order of the words
+                total = total * ODD[0] + h[k : n - own + 1 + k]
+            yield np.unique(mixed(total + np.uint64(own))) if n else np.zeros(0, "u8")
+        at = end
 
 
 def sketches(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -90,8 +113,8 @@ def sketches(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
     @F.pandas_udf("n long, set_id binary, sketch array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_hashes(t, width) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in sets], "set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sketch": [s[:SKETCH].view("i8") for s in sets]})
+        rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:SKETCH].view("i8").copy()) for s in shingle_sets(texts.tolist(), width)]
+        return pd.DataFrame(rows, columns=["n", "set_id", "sketch"])
 
     return df.select(F.col(doc_id).alias("doc_id"), sketch(F.col(text).cast("string")).alias("s")).select("doc_id", "s.*")
 
@@ -140,7 +163,7 @@ def packed_sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, width:
 
     @F.pandas_udf("binary")
     def full(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t, width).astype("<u8").tobytes() for t in texts])
+        return pd.Series([s.astype("<u8").tobytes() for s in shingle_sets(texts.tolist(), width)])
 
     few = wanted.count() <= BROADCAST_IDS
     chosen = df.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
@@ -193,63 +216,76 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     postings = reps.select("rep", "listed", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     lengths = postings.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
     shared = written(postings.join(lengths, "v").select("v", "rep", "listed", (F.col("length") > COMMON).alias("common")), "lists")
-    mostly = shared.where("common").groupBy("rep").agg(F.count("*").alias("n_common"), F.first("listed").alias("listed"))
+    by_rep = shared.groupBy("rep").agg(F.sum(F.col("common").cast("int")).alias("n_common"), F.first("listed").alias("listed"))
+    by_rep = written(by_rep.withColumn("rare", F.col("listed") - F.col("n_common")), "rare")
     # a set listed whole can reach percent through common values only if they make up as much of it
-    mostly = mostly.where(F.col("n_common") * 100 >= F.col("listed") * F.when(F.col("listed") < LISTED, percent).otherwise(int(100 * MOSTLY)))
-    short = shared.where("NOT common").select("v", "rep")
+    mostly = by_rep.where(F.col("n_common") * 100 >= F.col("listed") * F.when(F.col("listed") < LISTED, percent).otherwise(int(100 * MOSTLY)))
     long = written(shared.where("common").join(mostly.select("rep"), "rep", "left_semi").select("v", "rep"), "long-lists")
     sketch_of = reps.select("rep", "sketch")
     may_link, linked = estimated(percent), verify(percent)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs(a, b), the linked ones."""
+    # Short lists: their pairs, no more than COMMON / 2 a posting, with the number of lists they share.
+    short = shared.where("NOT common").select("v", "rep")
+    pairs = short.alias("x").join(short.alias("y"), F.expr("x.v = y.v AND x.rep < y.rep")).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("overlap"))
+    pairs = pairs.where("overlap >= 1")
+    for c in "ab":
+        pairs = pairs.join(by_rep.select(F.col("rep").alias(c), F.col("rare").alias(f"rare_{c}")), c)
+    near = written(pairs.where(F.col("overlap") >= OVERLAP * F.least("rare_a", "rare_b")).select("a", "b", "overlap"), "overlaps")
+
+    def confirmed(pairs: DataFrame) -> DataFrame | None:
+        """Of pairs(a, b), the linked ones; None if there are none."""
         near = pairs.join(sketch_of.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketch_of.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
         near = written(near.where(may_link("sketch_a", "sketch_b")).select("a", "b"), "candidates")
         wanted = written(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "wanted")
+        if wanted.isEmpty():
+            return None
         sets = written(packed_sets(df, wanted, doc_id, text, width), "packed")
         out = near.join(sets.select(F.col("rep").alias("a"), F.col("packed").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("packed").alias("set_b")), "b")
         out = written(out.where(linked("set_a", "set_b")).select("a", "b"), "links")
         forget(near, wanted, sets)
-        return out
+        return None if out.isEmpty() else out
 
-    def labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
-        got = lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        return got.select("v", "rep", F.coalesce("comp", "rep").alias("comp"))
+    def joined(comps: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
+        """Components after new links; earlier components go in as stars."""
+        if links is None:
+            return comps
+        old = [comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))] if comps is not None else []
+        return written(components(reduce(DataFrame.union, old, links)), "components")
+
+    def label(lists: DataFrame, comps: DataFrame | None, rep: str = "rep", comp: str = "comp") -> DataFrame:
+        """lists with the component of column rep, itself where it has no link."""
+        if comps is None:
+            return lists.withColumn(comp, F.col(rep))
+        return lists.join(comps.select(F.col("node").alias(rep), F.col("comp").alias("found")), rep, "left").withColumn(comp, F.coalesce("found", rep)).drop("found")
 
     def smallest(lists: DataFrame, count: int) -> DataFrame:
         """The count first members of every list and their rank; cut to count within each task before the shuffle."""
         return lists.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("rep"))).where(F.col("rank") <= count)
 
-    def unsettled(lists: DataFrame) -> DataFrame:
-        """The lists with more than one component."""
-        open_ = lists.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("v")
-        return lists.join(open_, "v", "left_semi")
-
-    # The first round: every list's first member against the others.
-    lists = short.union(long)
-    hubs = lists.groupBy("v").agg(F.min("rep").alias("a"))
-    links = [confirmed(lists.join(hubs, "v").where("a != rep").select("a", F.col("rep").alias("b")).distinct())]
-    comps = written(components(links[0]), "components")
+    def hub_pairs(comps: DataFrame | None, above: int, upto: int) -> DataFrame | None:
+        """Pairs across components of the hubs (members of these ranks) of long lists; None if no list needs any."""
+        marked = label(long, comps)
+        open_ = marked.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("v")
+        left = written(marked.join(open_, "v", "left_semi"), "long-left")
+        hubs = smallest(long, upto).where(F.col("rank") > above).join(left.select("v", "rep", F.col("comp").alias("a_comp")), ["v", "rep"])
+        hubs = written(hubs.select("v", F.col("rep").alias("a"), "a_comp"), "hubs")
+        return None if hubs.isEmpty() else left.join(hubs, "v").where("a_comp != comp AND a < rep").select("a", F.col("rep").alias("b")).distinct()
+
+    # First each representative's nearest partner and the first hubs, then the pairs that are still open.
+    best = near.groupBy("b").agg(F.min_by("a", F.struct(-F.col("overlap"), F.col("a"))).alias("a")).select("a", "b")
+    hubs = hub_pairs(None, 0, 1)
+    comps = joined(None, confirmed(best if hubs is None else best.union(hubs).distinct()))
+    rest = label(label(near.select("a", "b"), comps, "a", "comp_a"), comps, "b", "comp_b").where("comp_a != comp_b").select("a", "b")
+    rest = rest.join(best, ["a", "b"], "left_anti")
     tried = 1
-
-    # Short lists in full: no more than COMMON / 2 pairs a posting.
-    left = written(unsettled(labelled(short, comps)), "short-left")
-    pairs = left.alias("x").join(left.alias("y"), F.expr("x.v = y.v AND x.rep < y.rep AND x.comp != y.comp")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    links.append(confirmed(pairs))
-    comps = written(components(reduce(DataFrame.union, links)), "components")
-
-    # Long lists hub by hub: those of ranks up to tried have met all others; each round doubles them.
     while True:
-        left = written(unsettled(labelled(long, comps)), "long-left")
-        hubs = smallest(long, 2 * tried).where(F.col("rank") > tried).join(left.select("v", "rep", F.col("comp").alias("a_comp")), ["v", "rep"])
-        hubs = written(hubs.select("v", F.col("rep").alias("a"), "a_comp"), "hubs")
-        if hubs.isEmpty():
-            forget(left, hubs)
+        hubs = hub_pairs(comps, tried, tried * HUBS)
+        if rest is None and hubs is None:
             break
-        links.append(confirmed(left.join(hubs, "v").where("a_comp != comp AND a < rep").select("a", F.col("rep").alias("b")).distinct()))
-        comps = written(components(reduce(DataFrame.union, links)), "components")
-        forget(left, hubs)
-        tried *= 2
+        comps = joined(comps, confirmed(hubs if rest is None else rest if hubs is None else rest.union(hubs).distinct()))
+        rest, tried = None, tried * HUBS
+    if comps is None:
+        comps = df.sparkSession.createDataFrame([], "node long, comp long")
 
     placed = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     out = made.join(placed, "set_id", "left")

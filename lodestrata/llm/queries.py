@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, decontam, langid, neardup, secrets, urlfilter
+from lodestrata.llm import bpe, chat, decontam, langid, neardup, neighbours, quality, secrets, tokencount, urlfilter
 from lodestrata.llm.shared import table
 
 #: The rules that op10 applies (host, path, verdict).
@@ -24,10 +25,33 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = tokencount.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_tokens", "n_pretokens")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ratings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """Lines of raw transcripts: each conversation in one of four marker styles, one turn in eight without its marker."""
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    name = F.when(style == 1, F.element_at(F.create_map(*[F.lit(x) for x in ("system", "Instructions", "user", "Human", "assistant", "AI")]), F.col("role"))).otherwise(F.initcap("role"))
+    marker = F.when(style < 2, F.concat(name, F.lit(": "))).when(style == 2, F.concat(F.lit("### "), name, F.lit("\n"))).otherwise(F.concat(F.lit("["), name, F.lit("] ")))
+    marker = F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(8)) == 0, "").otherwise(F.coalesce(marker, F.lit("")))
+    whole = F.split(F.concat(marker, F.coalesce("text", F.lit(""))), "\n")
+    return conversations.select("conv_id", "turn", F.posexplode(whole).alias("line", "text"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(chat.roles(transcripts(table(spark, sf_dir, "conversations")))).drop("content")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -56,6 +80,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -83,9 +112,13 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM f
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
+    "op5_chat_format": op5_chat_format,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_bpe": op7_bpe,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
