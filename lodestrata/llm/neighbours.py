@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from lodestrata.llm.shared import bound_batches, forget, written
 
 #: Shape of the graph, and of the sorts it starts from.
-DEGREE, REVERSE, TREES, BITS, BLOCK = 14, 10, 5, 24, 256
+DEGREE, REVERSE, TREES, BITS, BLOCK = 16, 12, 6, 24, 256
 #: NN-descent ends when a round changes less than this share of links, or after so many rounds.
 SETTLED, ROUNDS = 0.02, 6
 #: Nodes of one local comparison task, and width of the search.
-BUCKET, BEAM = 512, 64
+BUCKET, BEAM = 512, 160
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
