@@ -215,12 +215,12 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
     postings = reps.select("rep", "listed", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     lengths = postings.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
-    shared = written(postings.join(lengths, "v").select("v", "rep", "listed", (F.col("length") > COMMON).alias("common")), "lists")
-    by_rep = shared.groupBy("rep").agg(F.sum(F.col("common").cast("int")).alias("n_common"), F.first("listed").alias("listed"))
+    shared = written(postings.join(lengths, "v").select("v", "rep", "listed", "length", (F.col("length") > COMMON).alias("common")), "lists")
+    by_rep = shared.groupBy("rep").agg(F.sum(F.col("common").cast("int")).alias("n_common"), F.sum(F.when(F.col("common"), F.col("length")).otherwise(0)).alias("weight"), F.first("listed").alias("listed"))
     by_rep = written(by_rep.withColumn("rare", F.col("listed") - F.col("n_common")), "rare")
     # a set listed whole can reach percent through common values only if they make up as much of it
     mostly = by_rep.where(F.col("n_common") * 100 >= F.col("listed") * F.when(F.col("listed") < LISTED, percent).otherwise(int(100 * MOSTLY)))
-    long = written(shared.where("common").join(mostly.select("rep"), "rep", "left_semi").select("v", "rep"), "long-lists")
+    long = written(shared.where("common").join(mostly.select("rep", "weight"), "rep").select("v", "rep", "weight"), "long-lists")
     sketch_of = reps.select("rep", "sketch")
     may_link, linked = estimated(percent), verify(percent)
 
@@ -259,8 +259,11 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         return lists.join(comps.select(F.col("node").alias(rep), F.col("comp").alias("found")), rep, "left").withColumn(comp, F.coalesce("found", rep)).drop("found")
 
     def smallest(lists: DataFrame, count: int) -> DataFrame:
-        """The count first members of every list and their rank; cut to count within each task before the shuffle."""
-        return lists.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("rep"))).where(F.col("rank") <= count)
+        """The count first members of every list, those in the longest lists first; cut to count within each task before the shuffle.
+
+        The text that a group's copies were made from shares most with them, so that it comes early.
+        """
+        return lists.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("weight"), "rep"))).where(F.col("rank") <= count)
 
     def hub_pairs(comps: DataFrame | None, above: int, upto: int) -> DataFrame | None:
         """Pairs across components of the hubs (members of these ranks) of long lists; None if no list needs any."""
@@ -268,8 +271,9 @@ def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
         open_ = marked.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("v")
         left = written(marked.join(open_, "v", "left_semi"), "long-left")
         hubs = smallest(long, upto).where(F.col("rank") > above).join(left.select("v", "rep", F.col("comp").alias("a_comp")), ["v", "rep"])
-        hubs = written(hubs.select("v", F.col("rep").alias("a"), "a_comp"), "hubs")
-        return None if hubs.isEmpty() else left.join(hubs, "v").where("a_comp != comp AND a < rep").select("a", F.col("rep").alias("b")).distinct()
+        hubs = written(hubs.select("v", F.col("rep").alias("a"), F.col("weight").alias("a_weight"), "a_comp"), "hubs")
+        pairs = left.join(hubs, "v").where("a_comp != comp AND (a_weight > weight OR (a_weight = weight AND a < rep))")
+        return None if hubs.isEmpty() else pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
 
     # First each representative's nearest partner and the first hubs, then the pairs that are still open.
     best = near.groupBy("b").agg(F.min_by("a", F.struct(-F.col("overlap"), F.col("a"))).alias("a")).select("a", "b")
