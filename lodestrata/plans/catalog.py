@@ -340,19 +340,19 @@ def combined_distance(spark, sf_dir):
 
 # Bags, transitions, vocabularies
 
-BAG = "WITH bag AS (SELECT doc_id, item, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS item FROM documents) GROUP BY 1, 2), total AS (SELECT count(*) AS N FROM documents)"
+BAG = "WITH bag AS (SELECT doc_id, item, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS item FROM documents) GROUP BY 1, 2), total AS (SELECT count(*) AS total_n FROM documents)"
 
 
 def document_bags(spark, sf_dir) -> DataFrame:
     return features.bag(read(spark, sf_dir, "documents"), "doc_id", text.tokens(F.col("text")))
 
 
-@query(BAG + " SELECT item, count(*) AS df, round(ln((any_value(N) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM bag, total GROUP BY item")
+@query(BAG + " SELECT item, count(*) AS df, round(ln((any_value(total_n) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM bag, total GROUP BY item")
 def token_idf(spark, sf_dir):
     return rounded(features.inverse_document_frequency(document_bags(spark, sf_dir), "doc_id", read(spark, sf_dir, "documents")), 6, "idf")
 
 
-@query(BAG + """, idf AS (SELECT item, ln((any_value(N) + 1) / (count(*) + 1)) + 1 AS idf FROM bag, total GROUP BY item), w AS (SELECT doc_id, item, n * idf AS weight FROM bag JOIN idf USING (item)),
+@query(BAG + """, idf AS (SELECT item, ln((any_value(total_n) + 1) / (count(*) + 1)) + 1 AS idf FROM bag, total GROUP BY item), w AS (SELECT doc_id, item, n * idf AS weight FROM bag JOIN idf USING (item)),
   u AS (SELECT doc_id, item, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS w FROM w), c AS (SELECT q.doc_id AS query, g.doc_id AS doc, sum(q.w * g.w) AS cosine FROM u q JOIN u g ON q.item = g.item AND q.doc_id <> g.doc_id WHERE q.doc_id % 50 = 0 GROUP BY 1, 2)
   SELECT query, count(*) AS met, round(max(cosine), 4) AS best, round(avg(cosine), 4) AS mean FROM c GROUP BY query""")
 def sparse_cosine(spark, sf_dir):
@@ -400,7 +400,7 @@ def transition_divergence(spark, sf_dir):
   b AS (SELECT doc_id, count(*) AS n, count(k.item) AS k FROM r LEFT JOIN k USING (item) GROUP BY doc_id) SELECT sum(n)::BIGINT AS tokens, sum(k)::BIGINT AS known_tokens, count(*) AS labels, sum((n = k)::INT)::BIGINT AS covered_labels FROM b""")
 def vocabulary_coverage(spark, sf_dir):
     known = read(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("item"))
-    return features.coverage(read(spark, sf_dir, "documents"), text.tokens(F.col("text")), known)
+    return features.coverage(read(spark, sf_dir, "documents"), "doc_id", text.tokens(F.col("text")), known)
 
 
 @query("""SELECT item, n, (row_number() OVER (ORDER BY n DESC, item) + 1)::INT AS id FROM (SELECT item, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS item FROM benchmark) GROUP BY item)""")
