@@ -17,7 +17,7 @@
    HUBS times as many hubs until all are.
 5. A compared pair goes on if the union sketch of its two sketches puts it at SLACK below the similarity asked for or higher,
    six standard deviations; then its full sets are intersected.
-6. Links become components by alternating large-star and small-star steps.
+6. Links become components, beyond a bounded number of them by large-star and small-star steps.
 
 Nothing of these is gathered on the driver; every step is written to the shared folder.
 """
@@ -49,6 +49,8 @@ HUBS = 8
 SLACK = 0.32
 #: Up to so many ids (8 bytes each) select texts by a broadcast join, more by a shuffled one.
 BROADCAST_IDS = 500_000
+#: Links that one task settles; more are settled by steps over all tasks.
+ONE_TASK = 1_000_000
 #: Bytes of text hashed at once.
 BYTES_AT_ONCE = 1_000_000
 
@@ -170,8 +172,39 @@ def packed_sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, width:
     return chosen.select("rep", full("text").alias("packed"))
 
 
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the smallest node each reaches, by spreading minima and jumping to their own."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = ends[: len(a)], ends[len(a) :]
+    comp = np.arange(len(nodes))
+    while True:
+        low = np.minimum(comp[left], comp[right])
+        new = comp.copy()
+        for side in (left, right, comp[left], comp[right]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == comp).all():
+            return nodes, nodes[comp]
+        comp = new
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest id reachable) for every node of edges(a, b)."""
+    """node, comp (the smallest id reachable) for every node of edges(a, b).
+
+    Up to ONE_TASK edges, 16 bytes each, are settled in a single task on an executor; more of them by
+    large-star and small-star steps.
+    """
+    edges = written(edges, "edges")
+    if edges.count() <= ONE_TASK:
+
+        def settle(frames):
+            found = [f for f in frames if len(f)]
+            if found:
+                whole = pd.concat(found)
+                nodes, comp = smallest_reachable(whole["a"].to_numpy("i8"), whole["b"].to_numpy("i8"))
+                yield pd.DataFrame({"node": nodes, "comp": comp})
+
+        return edges.coalesce(1).mapInPandas(settle, "node long, comp long")
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
 
     def sign(df: DataFrame) -> tuple:
