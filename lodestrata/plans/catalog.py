@@ -152,7 +152,8 @@ SHINGLES = """WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(t
 
 
 def shingle_sets(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.shingles(text.tokens(F.col("text")), 5).alias("items"))
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("w")).where("size(w) >= 5")
+    return words.select("id", text.shingles(F.col("w"), 5).alias("items"))
 
 
 @query(SHINGLES + """ SELECT l AS "left", r AS "right", round(j, 6) AS similarity FROM pairs WHERE j + 1e-15 >= 0.9""")
