@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -106,8 +107,6 @@ def tar_members(spark: SparkSession, paths: list[str], suffix: str = "") -> Data
 
 def tar_csv_rows(spark: SparkSession, paths: list[str], where: str) -> DataFrame:
     """Rows of CSV members with a header, as name and a map of columns, filtered by an expression on the map (row['status'] = ...)."""
-    import pandas as pd
-
     @F.pandas_udf("array<map<string,string>>")
     def rows(contents: pd.Series) -> pd.Series:
         import csv
