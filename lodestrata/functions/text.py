@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from html.parser import HTMLParser
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_tokens = re.compile("[a-z0-9]+")
+
 
 def normalize_path(path: Column) -> Column:
     """Slashes forward, white space stripped, doubled and dot segments collapsed, no leading or final slash."""
@@ -56,10 +59,18 @@ def normalize_token(token: Column) -> Column:
     return F.when(token.rlike(r"^[0-9]+(\.[0-9]+)?$"), "NUMBER").when(token.rlike(r"^[A-Za-z_]\w*$"), F.substring(F.lower(token), 1, 32)).otherwise(token)
 
 
-def shingles(words: Column, width: int) -> Column:
-    """Distinct runs of width words, joined by spaces; none for fewer words."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " ")))
+def token_shingles(text: Column, width: int) -> Column:
+    """Distinct runs of width tokens of a whole text, in one pass over it."""
+
+    @F.pandas_udf("array<string>")
+    def runs(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            words = _tokens.findall((t or "").lower())
+            out.append(list(dict.fromkeys(" ".join(words[i : i + width]) for i in range(len(words) - width + 1))))
+        return pd.Series(out, dtype=object)
+
+    return runs(text)
 
 
 class _Visible(HTMLParser):
