@@ -11,6 +11,8 @@
    to an item, against the item's own share in the space, reaches COSINE; items are there by their
    KEPT_TERMS rarest terms over all documents. Windows step by STEP words
    and are at least STEP - 1 words longer than the item, so that one of them holds any copy whole.
+   The latent space may miss a paraphrase; a count of words may not: every window that holds PARAPHRASE
+   of an item's words in any order is taken too, found by the item's rarest words (Bound).
 4. A candidate is confirmed by the longest common subsequence of the window's and the item's words:
    COPY of the item's words in order, or PARAPHRASE of them and of its answer, the last ANSWER of
    the item. Cheaper, the words in common bound it from above first.
@@ -21,6 +23,7 @@ The benchmark is the stated query set; it is taken in blocks of BLOCK items, one
 from __future__ import annotations
 
 import copy
+import math
 import re
 from collections import Counter
 
@@ -48,6 +51,10 @@ BLOCK, WORDS_AT_ONCE = 500, 250_000
 LEAST = 0.3
 #: Rarest terms of each item, by the whole corpus, that the search goes by.
 KEPT_TERMS = 12
+#: Words of an item that Bound goes by, besides as many as a confirmed window may lack.
+SURPLUS = 4
+#: Hits of such words, and windows that hold enough of them, that are worked on at once.
+HITS_AT_ONCE, WINDOWS_AT_ONCE = 2_000_000, 20_000
 #: The number of a word that is no term, and bits of a term's slot.
 OTHER, SLOT_BITS = -1, 18
 #: In UTF-8, the bytes of words: all but ASCII characters other than letters, digits and the underscore.
@@ -57,6 +64,8 @@ BYTE_VALUES = np.where(IS_WORD, np.random.default_rng(3).integers(1, 2**63, 256,
 PLACE_VALUES = np.random.default_rng(4).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Terms that are summed together as one row of a shuffle.
 TERMS_A_ROW = 64
+#: Counts of words that are summed together as one row of a shuffle.
+COUNTS_A_ROW = 1024
 
 _word = re.compile(r"\w+")
 
@@ -124,6 +133,12 @@ class Terms:
             self.slots.append(layer)
             left = left[layer[slots[left]] != left]
 
+    def every(self) -> Terms:
+        """The same items with all their words as terms."""
+        out = copy.copy(self)
+        out.number({w for _, ws in self.items for w in ws})
+        return out
+
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, Spans]:
         """Term numbers (OTHER: no term) of all words of the texts, one after another; words by text; where the words lie.
 
@@ -133,12 +148,16 @@ class Terms:
         spans = Spans(data)
         at = np.cumsum([len((t or "").lower().encode()) + 1 if not (t or "").isascii() else len(t or "") + 1 for t in texts])
         lengths = np.diff(np.searchsorted(spans.starts, np.concatenate([[0], at])))
-        slots = (spans.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        return self.found(spans.hashes), lengths, spans
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """Term numbers of words by their hashes."""
+        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         numbers = self.slots[0][slots]
         for more in self.slots[1:]:
-            numbers = np.where((numbers >= 0) & (self.hash_of[numbers] == spans.hashes), numbers, more[slots])
-        numbers[self.hash_of[numbers] != spans.hashes] = OTHER
-        return numbers, lengths, spans
+            numbers = np.where((numbers >= 0) & (self.hash_of[numbers] == hashes), numbers, more[slots])
+        numbers[self.hash_of[numbers] != hashes] = OTHER
+        return numbers
 
     def rarest(self, idf: np.ndarray) -> Terms:
         """The same items with their KEPT_TERMS rarest terms each."""
@@ -188,21 +207,25 @@ def gram_times(numbers: np.ndarray, lengths: np.ndarray, directions: np.ndarray,
     df[:] += np.bincount(np.unique(doc * len(df) + term) % len(df), minlength=len(df))
 
 
-def latent_space(df: DataFrame, terms: Terms, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """The term matrix idf * basis of the latent space, the idf of each term, and the number of documents."""
-    count, width = len(terms.of), RANK + OVERSAMPLE
-    sent = df.sparkSession.sparkContext.broadcast(terms)
+def latent_space(df: DataFrame, terms: Terms, text: str) -> tuple[np.ndarray, np.ndarray, int, dict[str, int]]:
+    """The term matrix idf * basis of the latent space, the idf of each term, the number of documents, and how often they hold each word of the items."""
+    every = terms.every()
+    count, width, words = len(terms.of), RANK + OVERSAMPLE, len(every.of)
+    sent = df.sparkSession.sparkContext.broadcast((terms, every))
 
     def add(frames):
-        terms = sent.value
+        terms, every = sent.value
         directions, into, seen, docs = random_directions(count), np.zeros((count, width), "f4"), np.zeros(count, np.int64), 0
+        held = np.zeros(words, np.int64)
         for f in frames:
             for _, texts in batches(f["text"].tolist()):
-                numbers, lengths, _ = terms.numbers(texts)
+                numbers, lengths, spans = terms.numbers(texts)
                 gram_times(numbers, lengths, directions, into, seen, 1.0)
+                held += np.bincount(every.found(spans.hashes) + 1, minlength=words + 1)[1:]
                 docs += len(texts)
         if docs:
             rows = [(k, seen[k : k + TERMS_A_ROW].astype("<i8").tobytes(), into[k : k + TERMS_A_ROW].astype("<f4").tobytes()) for k in range(0, count, TERMS_A_ROW)]
+            rows += [(-2 - k, held[k : k + COUNTS_A_ROW].astype("<i8").tobytes(), b"") for k in range(0, words, COUNTS_A_ROW)]
             rows.append((-1, np.array([docs], "<i8").tobytes(), b""))
             yield pd.DataFrame(rows, columns=["k", "seen", "sums"])
 
@@ -213,10 +236,13 @@ def latent_space(df: DataFrame, terms: Terms, text: str) -> tuple[np.ndarray, np
 
     schema = "k long, seen binary, sums binary"
     summed = df.select(F.col(text).cast("string").alias("text")).mapInPandas(add, schema).groupBy("k").applyInPandas(total, schema).collect()
-    gram, seen, docs = np.zeros((count, width), "f4"), np.zeros(count, np.int64), 0
+    gram, seen, docs, held = np.zeros((count, width), "f4"), np.zeros(count, np.int64), 0, np.zeros(words, np.int64)
     for r in summed:
-        if r.k < 0:
+        if r.k == -1:
             docs = int(np.frombuffer(r.seen, "<i8")[0])
+        elif r.k < 0:
+            found = np.frombuffer(r.seen, "<i8")
+            held[-2 - r.k : -2 - r.k + len(found)] = found
         else:
             found = np.frombuffer(r.seen, "<i8")
             seen[r.k : r.k + len(found)] = found
@@ -227,18 +253,103 @@ def latent_space(df: DataFrame, terms: Terms, text: str) -> tuple[np.ndarray, np
     idf = np.log((docs + len(terms.items) + 1) / (seen + own + 1)) + 0.1
     basis, scale, _ = np.linalg.svd(idf[:, None] * gram, full_matrices=False)
     basis = basis[:, : min(RANK, int((scale > 1e-6 * max(scale.max(initial=0), 1e-9)).sum()))]
-    return (idf[:, None] * basis).astype("f4"), idf, docs
+    return (idf[:, None] * basis).astype("f4"), idf, docs, dict(zip(every.of, held.tolist(), strict=True))
+
+
+class Bound:
+    """Words of each item of which a window must hold some to be confirmed; ships to the executors.
+
+    A confirmed window holds PARAPHRASE of the item's words, so it lacks no more than the rest. Of any words
+    of the item that are n more than the rest it holds n: the rarest are taken, SURPLUS more than the rest.
+    """
+
+    def __init__(self, terms: Terms, counts: dict[str, int], window: np.ndarray) -> None:
+        self.window, self.least = window, np.zeros(len(terms.items), np.int64)
+        items_of: dict[str, list[int]] = {}
+        for i, (_, ws) in enumerate(terms.items):
+            own, rest, taken = Counter(ws), len(ws) - math.ceil(PARAPHRASE * len(ws)), 0
+            for w in sorted(own, key=lambda w: (counts.get(w, 0), -len(w), w)):
+                if taken >= rest + SURPLUS:
+                    break
+                items_of.setdefault(w, []).append(i)
+                taken += own[w]
+            self.least[i] = taken - rest
+        self.need = PARAPHRASE * np.array([len(ws) for _, ws in terms.items])
+        self.every, self._bags = terms.every(), None
+        self.terms = copy.copy(terms)
+        self.terms.number(items_of)
+        self.items = np.array([i for w in self.terms.of for i in items_of[w]], np.int16)
+        self.upto = np.cumsum([0, *[len(items_of[w]) for w in self.terms.of]])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_bags": None}
+
+    @property
+    def bags(self) -> np.ndarray:
+        """How often each item (rows) holds each word (columns; the last is no word of any)."""
+        if self._bags is None:
+            self._bags = np.zeros((len(self.least), len(self.every.of) + 1), np.int16)
+            np.add.at(self._bags, ([i for i, (_, ws) in enumerate(self.every.items) for _ in ws], [self.every.of[w] for _, ws in self.every.items for w in ws]), 1)
+        return self._bags
+
+    def candidates(self, hashes: np.ndarray, lengths: np.ndarray):
+        """(text number, first word, words, item number) of the windows that hold PARAPHRASE of an item's words in any order."""
+        every, starts = self.every.found(hashes), np.cumsum(lengths) - lengths
+        term, doc, place = placed(self.terms.found(hashes), lengths)
+        # items by turns, so that no more than about HITS_AT_ONCE hits are worked on at once
+        seen = np.bincount(term, minlength=len(self.upto) - 1)
+        turn = (np.cumsum(np.bincount(self.items, np.repeat(seen, np.diff(self.upto)), len(self.least))) // HITS_AT_ONCE)[self.items]
+        for n in np.unique(turn):
+            upto = np.concatenate([[0], np.cumsum(turn == n)])[self.upto]
+            for doc_, at, size, item in self.windows(term, doc, place, lengths, upto, self.items[turn == n]):
+                keep = self.held(every, starts[doc_] + at, np.minimum(size, lengths[doc_] - at), item) >= self.need[item]
+                yield from zip(doc_[keep].tolist(), at[keep].tolist(), size[keep].tolist(), item[keep].tolist(), strict=True)
+
+    def windows(self, term, doc, place, lengths, upto, items):
+        """The windows that hold the least of the items' rarest words, as arrays of no more than WINDOWS_AT_ONCE."""
+        some = upto[term + 1] - upto[term]
+        item = items[np.arange(some.sum()) + np.repeat(upto[term] - np.cumsum(some) + some, some)]
+        order = np.argsort(item, kind="stable")  # by item, then text and place
+        item, doc, place = item[order].astype(np.int64), np.repeat(doc, some)[order], np.repeat(place, some)[order]
+        to = np.arange(len(item)) + self.least[item] - 1
+        first = np.flatnonzero(to < len(item))
+        to = to[first]
+        near = (item[to] == item[first]) & (doc[to] == doc[first]) & (place[to] - place[first] < self.window[item[first]])
+        first, to = first[near], to[near]
+        item, doc = item[first], doc[first]
+        size = self.window[item]
+        low = np.maximum(-((size - 1 - place[to]) // STEP), 0)  # windows that hold all places from first to to
+        high = np.minimum(place[first] // STEP, np.maximum(-(-lengths[doc] // STEP) - size // STEP, 0))
+        # of windows that overlap those of the hit before only the new ones
+        low[1:] = np.where((item[1:] == item[:-1]) & (doc[1:] == doc[:-1]), np.maximum(low[1:], high[:-1] + 1), low[1:])
+        some = np.maximum(high - low + 1, 0)
+        ends = np.cumsum(some)
+        for n in range(0, int(ends[-1]) if len(ends) else 0, WINDOWS_AT_ONCE):
+            k = np.arange(n, min(n + WINDOWS_AT_ONCE, ends[-1]))
+            of = np.searchsorted(ends, k, "right")
+            yield doc[of], (low[of] + k - ends[of] + some[of]) * STEP, size[of], item[of]
+
+    def held(self, every: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """How many of the item's words each window holds."""
+        place = np.arange(size.max(initial=0))
+        words = every[np.minimum(start[:, None] + place, len(every) - 1)]
+        words[place >= size[:, None]] = OTHER
+        row, at = np.nonzero(self.bags[item[:, None], words])
+        key, count = np.unique(row * len(self.every.of) + words[row, at], return_counts=True)
+        row, word = np.divmod(key, len(self.every.of))
+        return np.bincount(row, np.minimum(count, self.bags[item[row], word]), len(item))
 
 
 class Search:
     """Items folded into the latent space, by the window that fits them; ships to the executors."""
 
-    def __init__(self, terms: Terms, space: np.ndarray, idf: np.ndarray, docs: int) -> None:
+    def __init__(self, terms: Terms, space: np.ndarray, idf: np.ndarray, docs: int, counts: dict[str, int]) -> None:
         whole, terms = terms, terms.rarest(idf)
         kept = np.array([whole.of[w] for w in terms.of], np.int64)
         space, idf = space[kept], idf[kept]
         self.terms, self.space, self.idf2 = terms, space, np.concatenate([idf**2, [np.log(docs + 2) ** 2 / 2]]).astype("f4")
         self.window = np.array([WINDOW * -(-(len(ws) + STEP - 1) // WINDOW) for _, ws in terms.items])
+        self.bound = Bound(terms, counts, self.window)
         self.latent, self.norm = np.zeros((len(terms.items), space.shape[1]), "f4"), np.zeros(len(terms.items), "f4")
         for i, (_, ws) in enumerate(terms.items):
             n = np.array([terms.of.get(w, -1) for w in ws])
@@ -311,7 +422,8 @@ class Search:
         for start, some in batches(texts):
             numbers, lengths, spans = self.terms.numbers(some)
             starts = np.cumsum(lengths) - lengths
-            for doc, at, size, item in self.candidates(numbers, lengths):
+            near = dict.fromkeys([*self.candidates(numbers, lengths), *self.bound.candidates(spans.hashes, lengths)])
+            for doc, at, size, item in near:
                 found, item_id = out[start + doc], self.terms.items[item][0]
                 if found.get(item_id, 0) < 1.0:
                     window = spans.words(starts[doc] + at, starts[doc] + min(at + size, lengths[doc]))

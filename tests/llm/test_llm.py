@@ -137,6 +137,33 @@ def test_leaks_odd(spark, odd, empty):
     assert decontam.find_leaks(empty, one).count() == 0
 
 
+def planted_paraphrases(bench, rng, shares, trials):
+    """(text, item, whether the full check confirms it): items of which a share of words is replaced, some with the answer kept, within other words."""
+    words = sorted({w for _, ws in bench for w in ws})
+    for share in shares:
+        for t in range(trials):
+            item, own = rng.choice(bench)
+            last = len(own) - max(1, round(decontam.ANSWER * len(own)))
+            free = range(last if t % 2 else len(own))
+            lost = set(rng.sample(free, min(len(free), round((1 - share) * len(own)))))
+            copied = [f"zz{rng.randrange(9999)}" if i in lost else w for i, w in enumerate(own)]
+            host = [rng.choice(words) if rng.random() < 0.4 else f"qq{rng.randrange(9999)}" for _ in range(rng.randint(0, 300))]
+            at = rng.randint(0, len(host))
+            lcs = decontam.common_subsequence(own, copied)
+            sure = lcs >= decontam.COPY * len(own) or (lcs >= decontam.PARAPHRASE * len(own) and decontam.common_subsequence(own[last:], copied) >= decontam.ANSWER_SHARE * (len(own) - last))
+            yield " ".join(host[:at] + copied + host[at:]), item, sure
+
+
+def test_decontamination_finds_every_paraphrase_the_check_confirms(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = [(r.item_id, decontam.words_of(r.text)) for r in bench.collect()]
+    planted = list(planted_paraphrases(items, random.Random(11), (0.5, 0.6, 0.7, 0.75, 0.8), 200))
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(planted)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(rows.union(docs(spark).selectExpr("-doc_id - 1", "text")), bench).collect()}
+    want = {(i, item) for i, (_, item, sure) in enumerate(planted) if sure}
+    assert len(want) > 500 and not want - got
+
+
 # op4
 
 
