@@ -57,7 +57,7 @@ SURPLUS = 4
 HITS_AT_ONCE, WINDOWS_AT_ONCE = 2_000_000, 20_000
 #: The number of a word that is no term, and bits of a term's slot.
 OTHER, SLOT_BITS = -1, 18
-#: In UTF-8, the bytes of words: all but ASCII characters other than letters, digits and the underscore.
+#: In UTF-8, the bytes of words, where parted() has seen to other than ASCII characters: all but ASCII ones other than letters, digits and the underscore.
 IS_WORD = np.array([n > 127 or chr(n).isalnum() or n == 95 for n in range(256)])
 #: Random odd factors of a byte's value and of its place in a word, which make up the word's hash.
 BYTE_VALUES = np.where(IS_WORD, np.random.default_rng(3).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0))
@@ -74,6 +74,17 @@ def words_of(text: str | None) -> list[str]:
     return _word.findall((text or "").lower())
 
 
+def parted(texts: list[str | None]) -> list[str]:
+    """The texts in lower case, with a space for each character over 127 that is in no word."""
+    lower = [(t or "").lower() for t in texts]
+    codes = np.frombuffer("".join([t for t in lower if not t.isascii()]).encode("utf-32-le"), "<u4")
+    others = "".join([c for c in map(chr, np.unique(codes[codes > 127])) if not _word.match(c)])
+    if not others:
+        return lower
+    spaces = str.maketrans(dict.fromkeys(others, " "))
+    return [t if t.isascii() else t.translate(spaces) for t in lower]
+
+
 def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, by the bits of a Python integer (one bit a word of a)."""
     masks: dict = {}
@@ -142,11 +153,11 @@ class Terms:
     def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, Spans]:
         """Term numbers (OTHER: no term) of all words of the texts, one after another; words by text; where the words lie.
 
-        Here only ASCII parts words, and hashes stand for them, which is fast; words_of() has the last say.
+        Here hashes stand for words, which is fast; words_of() has the last say.
         """
-        data = " ".join([(t or "").lower() for t in texts]).encode()
-        spans = Spans(data)
-        at = np.cumsum([len((t or "").lower().encode()) + 1 if not (t or "").isascii() else len(t or "") + 1 for t in texts])
+        coded = [t.encode() for t in parted(texts)]
+        spans = Spans(b" ".join(coded))
+        at = np.cumsum([len(t) + 1 for t in coded])
         lengths = np.diff(np.searchsorted(spans.starts, np.concatenate([[0], at])))
         return self.found(spans.hashes), lengths, spans
 

@@ -164,6 +164,23 @@ def test_decontamination_finds_every_paraphrase_the_check_confirms(spark):
     assert len(want) > 500 and not want - got
 
 
+def test_decontamination_reads_typographic_spaces_and_punctuation(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item, words = max(((r.item_id, decontam.words_of(r.text)) for r in bench.collect()), key=lambda x: len(x[1]))
+    dense = "\u00bf" + " \u2013 ".join(f"\u201c{w}\u201d\u2026" for w in words) + "\u00bb"
+    rows = [(i, "so " + gap.join(words) + " end") for i, gap in enumerate(("\u00a0", "\u2003", "\u3000", "\u2014"))] + [(9, dense)]
+    got = {(r.doc_id, r.item_id, r.share) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {(i, item, 1.0) for i, _ in rows} <= got
+
+
+def test_decontamination_parts_words_as_the_check_does():
+    texts = ["a\u00a0b\u2014c \u00fcber\u0301x", None, "", "\u0130stanbul \u00b2 \u00aa\u00d7\u00f7", "plain, ascii", "\u4e2d\u3000\u6587\u3002"]
+    terms = decontam.Terms([(1, " ".join(t or "" for t in texts))]).every()
+    numbers, lengths, _ = terms.numbers(texts)
+    assert lengths.tolist() == [len(decontam.words_of(t)) for t in texts]
+    assert numbers.tolist() == [terms.of[w] for t in texts for w in decontam.words_of(t)]
+
+
 # op4
 
 
