@@ -256,6 +256,13 @@ def calibration_pairs(spark, sf_dir):
     return sampling.calibration_pairs(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", BEACON, "cal", 50, 50)
 
 
+@query()
+def every_calibration_pair(spark, sf_dir):
+    """Over all pairs of the training rows of a split; held against brute force on a fixture."""
+    split = sampling.role_split(read(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "roles", [("train", 200), ("query", 50)])
+    return sampling.every_calibration_pair(split.where("role = 'train'"), "c_nationkey", "c_custkey", BEACON, "cal", "r1", 50, 50)
+
+
 @query("""SELECT candidate::BIGINT AS candidate, sum((n >= candidate)::BIGINT)::BIGINT AS eligible, sum((n >= candidate)::INT) / count(*) >= 0.5 AS feasible
   FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1), (VALUES (16), (32), (56), (64)) t(candidate) GROUP BY candidate""")
 def sampling_design(spark, sf_dir):

@@ -242,3 +242,19 @@ def test_sparse_cosine_stated_takes_every_stated_query(spark, tmp_path):
     got = {r["query"]: (r.met, r.best, r.mean) for r in catalog.QUERIES["sparse_cosine_stated"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and len(want) == 6
     assert all(got[q][0] == want[q][0] and abs(got[q][1] - want[q][1]) < 1e-4 and abs(got[q][2] - want[q][2]) < 1e-4 for q in want)
+
+
+def test_every_calibration_pair_equals_brute_force(spark):
+    sizes = {"a": 700, "b": 300, "c": 1, "d": 65, "e": 3}
+    groups = {g: list(range(1000 * k, 1000 * k + n)) for k, (g, n) in enumerate(sizes.items())}
+    rows = spark.createDataFrame([(g, i) for g, items in groups.items() for i in items] * 2, "g string, i long")
+    key = lambda *fields: hmac.new(catalog.BEACON, b"\0".join(str(f).encode() for f in ("cal", "r1", *fields)), hashlib.sha256).hexdigest()
+    same = sorted((key("same_cluster_rank", g, x, y), g, x, g, y) for g, items in groups.items() for n, x in enumerate(items) for y in items[n + 1 :])[:40]
+    cross = []
+    for g in groups:
+        for h in (h for h in groups if h > g):
+            x, y = (groups[of][int(key(f"cross_{side}_program", g, h)[:16], 16) % len(groups[of])] for side, of in (("left", g), ("right", h)))
+            cross.append((key("cross_cluster_rank", g, h, x, y), g, x, h, y))
+    got = sampling.every_calibration_pair(rows, "g", "i", catalog.BEACON, "cal", "r1", 40, 7).collect()
+    for kind, want in (("same", same), ("cross", sorted(cross)[:7])):
+        assert sorted((r.digest, r.left_group, r.left_item, r.right_group, r.right_item) for r in got if r.pair_type == kind) == want
