@@ -12,6 +12,7 @@ the data, and they are shipped with the function.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -29,6 +30,7 @@ ALPHABET = 250
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
+_gap = re.compile(r"[\W\d_]+")
 
 
 def letter_table() -> np.ndarray:
@@ -178,10 +180,20 @@ class Model:
         return langs.tolist(), score
 
 
+def shared_out(texts: list[str]) -> list[str]:
+    """The texts, each letters and gaps only, cut to equal shares of TRAIN_SYMBOLS; what short ones leave goes to the others."""
+    plain = [_gap.sub(" ", t) for t in texts]
+    left, out = TRAIN_SYMBOLS - len(plain), list(plain)
+    for n, i in enumerate(sorted(range(len(plain)), key=lambda i: len(plain[i]))):
+        out[i] = plain[i][: max(0, left) // (len(plain) - n)]
+        left -= len(out[i])
+    return out
+
+
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Model of the labelled rows that are not held out.
 
-    Of each language the SAMPLE_DOCS documents with the least hash of their id are read whole; rows
+    Of each language the SAMPLE_DOCS documents with the least hash of their id share TRAIN_SYMBOLS; rows
     with a null text, language or id teach nothing. Repeated rows may fill the sample twice.
     """
     rows = df.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
@@ -191,7 +203,7 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     texts: dict[str, list[str]] = {}
     for r in sorted(chosen, key=lambda r: (r[1], r[0], r[2])):
         texts.setdefault(r[1], []).append(r[2])
-    return Model({k: "\n".join(v) for k, v in texts.items()})
+    return Model({k: "\n".join(shared_out(v)) for k, v in texts.items()})
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -415,6 +415,14 @@ def test_language_odd(odd, empty):
     assert langid.predictions(empty).count() == 0 and langid.Model({}).predict(["abc"])[0] == ["und"]
 
 
+def test_language_sample_is_shared_out():
+    texts = ["a b " * 50_000, "kurz", "der hund, 12 katzen " * 2_000, "x" * 30]
+    got = langid.shared_out(texts)
+    assert got[1] == "kurz" and got[3] == "x" * 30 and abs(len(got[0]) - len(got[2])) <= 1
+    joined = langid.symbols(langid.points("\n".join(got)), langid.Model({"xx": " ".join(texts)}).of_code)
+    assert langid.TRAIN_SYMBOLS - 10 <= len(joined) <= langid.TRAIN_SYMBOLS
+
+
 # op10
 
 
