@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,8 +55,10 @@ def subtokens(label: Column) -> Column:
 
 
 def normalize_token(token: Column) -> Column:
-    """Identifiers lower-cased and cut to 32 characters, numbers as one token, others as they are."""
-    return F.when(token.rlike(r"^[0-9]+(\.[0-9]+)?$"), "NUMBER").when(token.rlike(r"^[A-Za-z_]\w*$"), F.substring(F.lower(token), 1, 32)).otherwise(token)
+    """White space collapsed; identifiers stay whole, numbers become one token, others over 32 characters are cut and end in dots."""
+    t = collapse_space(token)
+    name, number = r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}]*$", r"^(\p{Nd}+\.?\p{Nd}*|\.\p{Nd}+)$"
+    return F.when(t.rlike(name), t).when(t.rlike(number), "NUMBER").when(F.length(t) > 32, F.concat(F.substring(t, 1, 31), F.lit("..."))).otherwise(t)
 
 
 def token_shingles(text: Column, width: int) -> Column:
@@ -73,27 +75,14 @@ def token_shingles(text: Column, width: int) -> Column:
     return runs(text)
 
 
-class _Visible(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.hidden, self.parts = 0, []
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
-
-    def handle_endtag(self, tag):
-        self.hidden = max(0, self.hidden - (tag in ("script", "style")))
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+#: What a page does not show: comments, the elements of scripts and styles (to their end tag, or to the page's), and tags.
+_unseen = re.compile(r"""<!--.*?(?:-->|\Z) | <(?P<element>script|style)(?=[\s/>])[^>]*+(?:>.*?(?:</(?P=element)\s*+>|\Z)|\Z) | <[a-z/!?](?:"[^"]*+"|'[^']*+'|[^"'>])*+> | <[a-z/!?][^>]*+(?:>|\Z)""", re.IGNORECASE | re.DOTALL | re.VERBOSE)
 
 
 def visible(markup: str | None) -> str:
-    parser = _Visible()
-    parser.feed(markup or "")
-    parser.close()
-    return " ".join(unicodedata.normalize("NFKC", " ".join(parser.parts)).casefold().split())
+    """Text between what _unseen matches, with references resolved; in NFKC, case folded, white space collapsed."""
+    shown = html.unescape(_unseen.sub(" ", markup or ""))
+    return " ".join(unicodedata.normalize("NFKC", shown).casefold().split())
 
 
 def html_visible_text(markup: Column) -> Column:
@@ -106,16 +95,34 @@ def html_visible_text(markup: Column) -> Column:
     return shown(markup)
 
 
+#: File names without a dot that are of source trees, and what a path is made of.
+BARE_NAMES = ("Makefile", "Dockerfile", "CMakeLists.txt")
+PATH_TOKEN = r"((?:(?:a|b)/)?[A-Za-z0-9_.@+-]+(?:/[A-Za-z0-9_.@+-]+)+)"
+
+
 def extract_paths(text: Column) -> Column:
-    """Distinct sorted path-like strings (with a slash and an extension) in free text."""
-    found = F.regexp_extract_all(text, F.lit(r"((?:[\w.\-]+/)+[\w\-]+\.[A-Za-z]{1,5})"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, normalize_path)))
+    """Distinct sorted source paths in free text, without the a/ and b/ of diffs.
+
+    A path has a slash, and its last part a dot or one of BARE_NAMES; what lies in .git and dev/null are left out.
+    """
+    found = F.regexp_extract_all(text, F.lit(PATH_TOKEN), F.lit(1))
+    found = F.transform(found, lambda p: normalize_path(F.regexp_replace(p, "^[ab]/", "")))
+
+    def is_source(p: Column) -> Column:
+        name = F.element_at(F.split(p, "/"), -1)
+        return (p != "") & (p != "dev/null") & ~p.startswith(".git/") & (name.isin(*BARE_NAMES) | name.contains("."))
+
+    return F.array_sort(F.array_distinct(F.filter(found, is_source)))
 
 
 def code2vec_contexts(line: Column) -> Column:
-    """label and contexts (start, path, end) of a line of path contexts; contexts without three non-empty fields are dropped."""
+    """label and contexts (start, path, end) of a line of path contexts.
+
+    Contexts without three fields, an end or any node of a path are dropped, and so are empty nodes.
+    """
     parts = F.split(F.trim(line), r"\s+")
     triples = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda c: F.split(c, ","))
-    whole = F.filter(triples, lambda t: (F.size(t) == 3) & (t[0] != "") & (t[1] != "") & (t[2] != ""))
-    contexts = F.transform(whole, lambda t: F.struct(t[0].alias("start"), F.split(t[1], r"\|").alias("path"), t[2].alias("end")))
+    three = F.filter(triples, lambda t: F.size(t) == 3)
+    contexts = F.transform(three, lambda t: F.struct(t[0].alias("start"), F.filter(F.split(t[1], r"\|"), lambda x: x != "").alias("path"), t[2].alias("end")))
+    contexts = F.filter(contexts, lambda c: (c["start"] != "") & (c["end"] != "") & (F.size(c["path"]) > 0))
     return F.struct(parts[0].alias("label"), contexts.alias("contexts"))

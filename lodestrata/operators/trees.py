@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import ast
+import hashlib
+import io
+import keyword
 import math
+import tokenize
+import warnings
 from itertools import combinations
 
 import numpy as np
@@ -82,8 +87,6 @@ def shape(nodes: DataFrame, tree_id: str) -> DataFrame:
 
 def leaf_pairs(leaves: list[tuple[int, list[int]]], most: int, policy: str) -> list[tuple[int, int, int, int]]:
     """Up to most pairs of leaves: start, end, their lowest common ancestor and its depth, in the policy's order."""
-    import hashlib
-
     def met(a: list[int], b: list[int]) -> tuple[int, int]:
         depth = 0
         for x, y in zip(a, b, strict=False):
@@ -146,11 +149,105 @@ def normalized_stress(distance: np.ndarray, embedded: np.ndarray) -> tuple[float
     return scale, math.sqrt(float(((d - scale * e) ** 2).sum() / max(float((d**2).sum()), 1e-12))), float(np.median(np.abs(d - scale * e) / np.maximum(d, 1e-12)))
 
 
-def rename_identifiers(source: str, prefix: str = "v") -> str:
-    """The program with its names replaced in order of first appearance, which leaves its shape alone."""
+#: The fields that hold names and the series each counts in, in the order of naming; * stands for
+#: the node's parts, which are named where it stands, or else at the end.
+NAMED = {
+    "Name": [("id", "ID")],
+    "arg": [("arg", "ID"), ("*", "")],
+    "Attribute": [("*", ""), ("attr", "ATTR")],
+    "keyword": [("arg", "ATTR"), ("*", "")],
+    "FunctionDef": [("name", "ID"), ("*", "")],
+    "AsyncFunctionDef": [("name", "ID"), ("*", "")],
+    "ClassDef": [("name", "ID"), ("*", "")],
+    "alias": [("name", "IMPORT"), ("asname", "ID")],
+}
+#: What stands for a constant of each type.
+CONSTANTS = {"NoneType": "<NONE>", "bool": "<BOOL>", "bytes": "<BYTES>", "str": "<STRING>", "int": "<INTEGER>", "float": "<FLOAT>", "complex": "<COMPLEX>", "ellipsis": "<ELLIPSIS>"}
+
+
+def canonical(tree: ast.AST) -> ast.AST:
+    """The tree with names numbered by first appearance in their series and constants replaced by their type, in place.
+
+    One walk over a stack of steps: a node to enter, or a (node, field, series) to name.
+    """
+    series: dict[tuple[str, str], str] = {}
+    size: dict[str, int] = {}
+    steps: list = [tree]
+    while steps:
+        step = steps.pop()
+        if isinstance(step, tuple):
+            node, field, kind = step
+            if (name := getattr(node, field)) is None or (kind == "ID" and keyword.iskeyword(name)):
+                continue
+            if (kind, name) not in series:
+                series[kind, name] = f"{kind}_{size.get(kind, 0)}"
+                size[kind] = size.get(kind, 0) + 1
+            setattr(node, field, series[kind, name])
+        elif isinstance(step, ast.Constant):
+            step.value, step.kind = CONSTANTS[type(step.value).__name__], None
+        else:
+            order = []
+            if isinstance(step, ast.arg):
+                step.type_comment = None
+            for field, kind in NAMED.get(type(step).__name__, [("*", "")]):
+                order += [(step, field, kind)] if kind else ast.iter_child_nodes(step)
+            steps += reversed(order)
+    return tree
+
+
+def structure_signature(source: str | None) -> str | None:
+    """Hex SHA-256 of a program's canonical tree: equal for programs that differ in names, constants and layout; null where it does not parse."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)
+            tree = canonical(ast.parse(source, type_comments=True))
+        return hashlib.sha256(ast.dump(tree).encode()).hexdigest()
+    except (SyntaxError, ValueError, RecursionError, MemoryError, TypeError):
+        return None
+
+
+def lexical_tokens(source: str | None) -> list[str] | None:
+    """type:text of a program's tokens, without comments, layout and ends; null where it cannot be parted."""
+    try:
+        found = list(tokenize.generate_tokens(io.StringIO(source).readline))
+    except (tokenize.TokenError, SyntaxError, TypeError):
+        return None
+    return [f"{tokenize.tok_name[t.type]}:{t.string}" for t in found if tokenize.tok_name[t.type] not in LAYOUT]
+
+
+#: Token types that are layout.
+LAYOUT = {"ENCODING", "ENDMARKER", "INDENT", "DEDENT", "NEWLINE", "NL", "COMMENT"}
+
+
+def program_signatures(source: Column) -> Column:
+    """tokens (array) and structure (digest) of programs, each null where it cannot be had."""
+
+    @F.pandas_udf("tokens array<string>, structure string")
+    def signed(sources: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"tokens": pd.Series([lexical_tokens(s) for s in sources], dtype=object), "structure": pd.Series([structure_signature(s) for s in sources], dtype=object)})
+
+    return signed(source)
+
+
+def renamed(source: str, prefix: str = "v") -> str:
+    """The program with what it binds itself renamed in order of binding: arguments, assigned names, functions and classes.
+
+    Names that it does not bind (built-in ones, imports, attributes, keywords of calls) stay, so that it still runs. A program
+    that calls a keyword by an argument's name, or looks its names up by text, may not.
+    """
     tree = ast.parse(source)
-    names: dict[str, str] = {}
+    bound: dict[str, str] = {}
+    kept = {a.asname or a.name.split(".")[0] for n in ast.walk(tree) if isinstance(n, ast.Import | ast.ImportFrom) for a in n.names}
+    kept |= {k.arg for n in ast.walk(tree) if isinstance(n, ast.Call) for k in n.keywords}
+    kept |= {x for n in ast.walk(tree) if isinstance(n, ast.ClassDef) for b in n.body for x in ([b.name] if hasattr(b, "name") else [t.id for t in ast.walk(b) if isinstance(t, ast.Name)])}
+    fields = [(n, field) for n in ast.walk(tree) for field in ("id", "arg", "name") if isinstance(n, ast.Name | ast.arg | ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef | ast.ExceptHandler | ast.MatchAs | ast.MatchStar) and isinstance(getattr(n, field, None), str)]
+    for node, field in fields:
+        name = getattr(node, field)
+        if name not in kept and not (isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load)):
+            bound.setdefault(name, f"{prefix}{len(bound)}")
+    for node, field in fields:
+        setattr(node, field, bound.get(getattr(node, field), getattr(node, field)))
     for node in ast.walk(tree):
-        if isinstance(node, ast.Name):
-            node.id = names.setdefault(node.id, f"{prefix}{len(names)}")
+        if isinstance(node, ast.Global | ast.Nonlocal):
+            node.names = [bound.get(n, n) for n in node.names]
     return ast.unparse(tree)

@@ -426,11 +426,16 @@ def vocabulary(spark, sf_dir):
     return features.vocabulary(read(spark, sf_dir, "benchmark"), text.tokens(F.col("text")))
 
 
-@query("""SELECT item_id, array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: substr(sha256(x), 1, 16)), ' ') AS hashed FROM benchmark""")
+@query()
 def lexical_hash(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(features.lexical_ablation(text.tokens(F.col("text")), "hash"), " ").alias("hashed"))
 
 
+@query("""SELECT item_id, array_to_string(list_transform(t, lambda x: 'LEX_LOCAL_' || (list_unique(t[1:list_position(t, x)]) - 1)), ' ') AS numbered FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark)""")
+def lexical_local(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(features.lexical_ablation(text.tokens(F.col("text")), "local"), " ").alias("numbered"))
+
+
 @query("SELECT least((count(*) - sum(toxic)) / sum(toxic), 20.0) AS weight FROM labels WHERE toxic IS NOT NULL")
 def positive_weights(spark, sf_dir):
     return features.positive_weights(read(spark, sf_dir, "labels"), "toxic", 20.0)

@@ -13,15 +13,20 @@ from lodestrata.functions.text import code2vec_contexts
 
 
 def task_csv(spark: SparkSession, folder: str, limit_per_task: int | None = None) -> DataFrame:
-    """task_id, row_index, source_file and code of task-NN.csv files; blank code is skipped and does not count for the limit.
+    """record_id, task_id, row_index, source_file and code (stripped) of task-NN.csv files; blank code is skipped.
 
-    row_index numbers a file's kept rows by their text, as a distributed scan has no line order.
+    row_index numbers a file's rows in its order, blank ones too; the limit counts kept rows. A file with quoted
+    line ends is one part of a scan, whose rows come in order: their growing numbers tell it.
     """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{folder}/task-*.csv")
-    rows = rows.select(F.col("_metadata.file_name").alias("source_file"), "code").where("trim(coalesce(code, '')) != ''")
-    rows = rows.withColumn("task_id", F.regexp_extract("source_file", r"task-(\d+)", 1).cast("int"))
-    rows = rows.withColumn("row_index", F.row_number().over(Window.partitionBy("source_file").orderBy("code")) - 1)
-    return rows if limit_per_task is None else rows.where(F.col("row_index") < limit_per_task)
+    rows = rows.select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace(F.coalesce("code", F.lit("")), r"^\s+|\s+$", "").alias("code"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.withColumn("task_id", F.regexp_extract("source_file", r"^task-(\d+)\.csv$", 1)).where("task_id != ''")
+    rows = rows.withColumn("task_id", F.col("task_id").cast("int"))
+    in_order = Window.partitionBy("source_file").orderBy("place")
+    rows = rows.withColumns({"row_index": F.row_number().over(in_order) - 1, "kept": F.sum((F.col("code") != "").cast("int")).over(in_order)}).where("code != ''")
+    rows = rows if limit_per_task is None else rows.where(F.col("kept") <= limit_per_task)
+    record_id = F.concat(F.lit("task-"), F.lpad(F.col("task_id").cast("string"), 2, "0"), F.lit(":"), F.col("row_index").cast("string"))
+    return rows.select(record_id.alias("record_id"), "task_id", "row_index", "source_file", "code")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -51,10 +56,13 @@ def source_tree(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFr
     return files.select(parts[0].alias("problem_id"), parts[1].alias("submission_id"), F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("source_relpath"), F.col("length").alias("size"), "content")
 
 
-def code2vec(spark: SparkSession, path: str) -> DataFrame:
-    """label and contexts of path-context lines; lines without a whole context are left out."""
-    rows = spark.read.text(path).where("trim(value) != ''").select(code2vec_contexts(F.col("value")).alias("r")).select("r.*")
-    return rows.where(F.size("contexts") > 0)
+def code2vec(spark: SparkSession, path: str, limit: int | None = None, strict: bool = True) -> DataFrame:
+    """label and contexts of path-context lines, limit of them at most; a line without a whole context fails the read, or is left out."""
+    rows = spark.read.text(path).where("trim(value) != ''").select("value", code2vec_contexts(F.col("value")).alias("r"))
+    whole = F.size("r.contexts") > 0
+    rows = rows.where(whole | F.raise_error(F.concat(F.lit("no valid path contexts: "), F.substring("value", 1, 80))).cast("boolean")) if strict else rows.where(whole)
+    rows = rows.select("r.*")
+    return rows if limit is None else rows.limit(limit)
 
 
 def duplicate_map(spark: SparkSession, path: str) -> DataFrame:

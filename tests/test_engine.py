@@ -72,9 +72,20 @@ def test_paths_and_sources(spark):
     assert one(spark, text.normalize_source(F.lit("x \r\ny\t\r\n\n\n"))) == "x\ny\n" == one(spark, text.normalize_source(F.lit("x\ny")))
     assert one(spark, text.subtokens(F.lit("get|name"))) == ["get", "name"]
     assert one(spark, text.html_visible_text(F.lit("<p>A <b>B</b></p><script>x()</script> ﬁn"))) == "a b fin"
-    row = one(spark, text.code2vec_contexts(F.lit("lab a,x|y,b bad c,z,d")))
+    row = one(spark, text.code2vec_contexts(F.lit("lab a,x||y,b bad c,z,d e,||,f ,x,g")))
     assert row.label == "lab" and [(c.start, c.path, c.end) for c in row.contexts] == [("a", ["x", "y"], "b"), ("c", ["z"], "d")]
-    assert one(spark, text.extract_paths(F.lit("see src/a.py and ./src/a.py, lib/b/c.js"))) == ["lib/b/c.js", "src/a.py"]
+    found = one(spark, text.extract_paths(F.lit("see src/a.py and ./src/a.py, a/lib/b/c.js `lib/a+b.c` src/Makefile a/b /dev/null .git/x.y")))
+    assert found == ["lib/a+b.c", "lib/b/c.js", "src/Makefile", "src/a.py"]
+    tokens = ["LongName" * 9, "1.5", ".5", "7.", "a  b", '"' + "x" * 40, "1.2.3"]
+    assert [one(spark, text.normalize_token(F.lit(t))) for t in tokens] == ["LongName" * 9, "NUMBER", "NUMBER", "NUMBER", "a b", '"' + "x" * 30 + "...", "1.2.3"]
+
+
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [("<script>never closed <b>x", ""), ("a<!-- c > d --> b <!-- open", "a b"), ("<style>a</style >x<SCRIPT SRC=q>y</SCRIPT>z", "x z"), ("&lt;b&gt; 1 < 2 &amp; Straße", "<b> 1 < 2 & strasse"), ("<a title='x>y'>t</a> <b 'open>u", "t u"), ("p<br>q<styled>r</styled>", "p q r"), (None, ""), ("<" * 50_000 + "a", "<" * 49_999)],
+)
+def test_visible_text(page, shown):
+    assert text.visible(page) == shown
 
 
 def test_divergences(spark):
@@ -150,8 +161,11 @@ def test_statistics(spark):
 
 def test_ablation_and_weights(spark):
     items = F.array(*[F.lit(c) for c in "abab"])
-    assert one(spark, features.lexical_ablation(items, "local")) == ["id_0", "id_1", "id_0", "id_1"]
-    assert one(spark, features.lexical_ablation(items, "mask")) == ["TOK"] * 4
+    assert one(spark, features.lexical_ablation(items, "local")) == ["LEX_LOCAL_0", "LEX_LOCAL_1", "LEX_LOCAL_0", "LEX_LOCAL_1"]
+    assert one(spark, features.lexical_ablation(items, "mask")) == [features.MASK] * 4
+    assert one(spark, features.lexical_ablation(items, "hash"))[:2] == ["LEX_" + hashlib.blake2b(c.encode(), digest_size=8).hexdigest() for c in "ab"]
+    contexts = one(spark, features.ablate_contexts(text.code2vec_contexts(F.lit("lab b,x|y,a a,z,c"))["contexts"], "local"))
+    assert [(c.start, c.path, c.end) for c in contexts] == [("LEX_LOCAL_0", ["x", "y"], "LEX_LOCAL_1"), ("LEX_LOCAL_1", ["z"], "LEX_LOCAL_2")]
     with pytest.raises(ValueError):
         features.lexical_ablation(items, "other")
 
@@ -161,8 +175,10 @@ def test_trees(spark):
     assert nodes[0]["label"] == "Module" and trees.python_nodes("def (") is None
     for n in nodes[1:]:
         assert nodes[n["parent"]]["depth"] == n["depth"] - 1 and n["ancestors"][-2] == n["parent"] and n["last"] <= nodes[n["parent"]]["last"]
-    a, b = trees.rename_identifiers("foo = bar + foo"), trees.rename_identifiers("u = v + u")
-    assert a == b
+    assert trees.renamed("def f(x): return x + 1") == "def v0(v1):\n    return v1 + 1"
+    scope = {}
+    exec(trees.renamed("import math as m\nclass A:\n    k = 2\n    def g(self, q=1, *rest):\n        return len(rest) + q * self.k\nout = [A().g(3, i) + m.floor(i) for i in (1, 2)]\nout = sum(out)"), scope)
+    assert 17 in scope.values()
     for policy in trees.POLICIES:
         leaves = [(n["node"], n["ancestors"]) for n in nodes if n["last"] == n["node"]]
         assert len(trees.leaf_pairs(leaves, 3, policy)) == min(3, len(leaves) * (len(leaves) - 1) // 2)
@@ -171,6 +187,14 @@ def test_trees(spark):
     assert trees.hyperbolicity(path) == 0 and trees.hyperbolicity(ring) > 0
 
 
+def test_program_signatures(spark):
+    signs = [trees.structure_signature(p) for p in ("def f(a, b=1):\n    return a.x(b) + 'q'", "def g(u, v=22):  # c\n    return u.y(v) + 'other'", "def g(u, v=2.0):\n    return u.y(v) + 'q'")]
+    assert signs[0] == signs[1] != signs[2] and trees.structure_signature("def (") is None and trees.structure_signature(None) is None
+    assert trees.lexical_tokens("if x:\n    y = 'a'  # note\n") == ["NAME:if", "NAME:x", "OP::", "NAME:y", "OP:=", "STRING:'a'"]
+    got = one(spark, trees.program_signatures(F.lit("x = 1")))
+    assert got.tokens == ["NAME:x", "OP:=", "NUMBER:1"] and len(got.structure) == 64
+
+
 def test_transport():
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(6, 2)), rng.normal(size=(5, 2)) + 1
@@ -186,9 +210,15 @@ def test_transport():
 
 
 def test_readers_and_writers(spark, tmp_path):
-    (tmp_path / "task-07.csv").write_text('code\n"a\nb"\n" "\nc\n')
+    (tmp_path / "task-07.csv").write_text('code\nz\n"a\nb"\n" "\nc\n')
+    (tmp_path / "task-x.csv").write_text("code\nq\n")
     got = readers.task_csv(spark, str(tmp_path)).orderBy("row_index").collect()
-    assert [(r.task_id, r.row_index, r.code) for r in got] == [(7, 0, "a\nb"), (7, 1, "c")]
+    assert [(r.record_id, r.row_index, r.code) for r in got] == [("task-07:0", 0, "z"), ("task-07:1", 1, "a\nb"), ("task-07:3", 3, "c")]
+    assert [r.row_index for r in readers.task_csv(spark, str(tmp_path), 2).orderBy("row_index").collect()] == [0, 1]
+    (tmp_path / "paths.txt").write_text("l a,x,b\n\nm bad\n")
+    assert [r.label for r in readers.code2vec(spark, str(tmp_path / "paths.txt"), strict=False).collect()] == ["l"]
+    with pytest.raises(Exception, match="no valid path contexts"):
+        readers.code2vec(spark, str(tmp_path / "paths.txt")).collect()
     (tmp_path / "x.jsonl").write_text('{"a": 1}\nbroken\n')
     with pytest.raises(Exception):
         readers.jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()
