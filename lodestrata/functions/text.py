@@ -107,12 +107,18 @@ def extract_paths(text: Column) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(PATH_TOKEN), F.lit(1))
     found = F.transform(found, lambda p: normalize_path(F.regexp_replace(p, "^[ab]/", "")))
+    return F.array_sort(F.array_distinct(F.filter(found, is_source_path)))
 
-    def is_source(p: Column) -> Column:
-        name = F.element_at(F.split(p, "/"), -1)
-        return (p != "") & (p != "dev/null") & ~p.startswith(".git/") & (name.isin(*BARE_NAMES) | name.contains("."))
 
-    return F.array_sort(F.array_distinct(F.filter(found, is_source)))
+def is_source_path(path: Column) -> Column:
+    """Whether a normal path names a file of a source tree, by its last part."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return (path != "") & (path != "dev/null") & ~path.contains("://") & ~path.startswith(".git/") & (name.isin(*BARE_NAMES) | name.contains("."))
+
+
+def is_safe_path(path: Column) -> Column:
+    """Whether a relative path stays below the folder that it is taken from: not empty, not absolute, no part that goes up."""
+    return (path != "") & ~path.startswith("/") & ~F.array_contains(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), "..")
 
 
 def code2vec_contexts(line: Column) -> Column:
