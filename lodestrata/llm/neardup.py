@@ -1,23 +1,24 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
 1. Every text becomes the set of 64-bit hashes of its word shingles; its SKETCH smallest hashes are
-   kept. Texts with equal sets share one representative, the smallest id (a group of exact copies
-   is one row from here on).
-2. The LISTED smallest hashes of each representative form inverted lists. Two sets with a Jaccard
-   similarity of J share the smallest element of their union with probability J, so that a pair
-   at 0.8 misses all of them with probability 0.2 ** LISTED; sets no larger than LISTED are listed
-   whole, and their pairs are never missed.
-3. A list longer than COMMON belongs to a passage that many texts share. Such lists are followed
-   only for representatives made mostly of such passages: another text can only be as similar
-   through the rest of its lists.
-4. Short lists give pairs and the number of lists they share, which for similar sets is most. Each
-   representative is compared with the partner of its largest overlap first, then, across the
-   components found, with the others. Long lists are not expanded into pairs: in each list hubs are
-   compared with the others, lists whose members are in one component are done, and each round takes
-   HUBS times as many hubs until all are.
-5. A compared pair goes on if the union sketch of its two sketches puts it at SLACK below the similarity asked for or higher,
-   six standard deviations; then its full sets are intersected.
-6. Links become components, beyond a bounded number of them by large-star and small-star steps.
+   kept. Equal sets are one node from here on, so that a group of exact copies is one row.
+2. The LISTED smallest hashes of each node form inverted lists. Two sets with a Jaccard similarity
+   of J share the smallest element of their union with probability J, so that a pair at 0.8 misses
+   all of them with probability 0.2 ** LISTED; sets no larger than LISTED are listed whole, and their
+   pairs are never missed. A list longer than COMMON belongs to a passage that many texts share.
+3. Short lists give the pairs of sets whose sizes allow the similarity, and the number of lists they
+   share, their overlap, which for similar sets is most. A pair goes on if the union sketch of its
+   two sketches puts it at SLACK below the similarity asked for or higher, six standard deviations;
+   then its full sets are intersected.
+4. Nodes made to MOSTLY of common values may be similar by these alone, and are so held against each
+   other exactly: their full sets are counted, and each set keeps of its values that another set
+   shares only those among its rarest, so many that any similar set shares one of them. A set
+   with too many values of its own keeps none, for nothing can be similar to it. The place of
+   a value among the rarest bounds how large a partner may be. Hubs of these lists, the sets with
+   the least of their own, are compared with the others first; then lists whose members are in one
+   component are done, and of the others every pair across components that the bounds allow is
+   compared, once, at the first value that it shares.
+5. Links become components, beyond a bounded number of them by large-star and small-star steps.
 
 Nothing of these is gathered on the driver; every step is written to the shared folder.
 """
@@ -38,21 +39,24 @@ from lodestrata.llm.shared import bound_batches, forget, written
 SKETCH, LISTED = 64, 32
 #: The length from which a list counts as common.
 COMMON = 64
-#: Share of common values among the listed ones from which a set's common lists are followed: half
-#: of them, or for a set listed whole what similarity alone demands.
-MOSTLY = 0.5
+#: Share of common values among the listed ones from which a set is compared through its full set: what
+#: the rest of the list then says is of LISTED * (1 - MOSTLY) values at a similarity of 0.71 or more. For a
+#: set listed whole it is what similarity alone demands.
+MOSTLY = 0.3
 #: Short lists that a pair must share, as a share of the smaller set's values in lists that are not common.
-OVERLAP = 0.15
-#: How many times as many hubs of long lists each round takes.
-HUBS = 8
+OVERLAP = 0.1
+#: How many hubs of each list are compared in each of the first rounds; then comes what they leave.
+HUBS = (1, 8)
+#: Of a set's values before the one at hand, how many tell whether a pair has been met; beyond them it may be met again.
+EARLIER = 64
 #: How far below the similarity asked for an estimate may be for the pair to be verified.
 SLACK = 0.32
-#: Up to so many ids (8 bytes each) select texts by a broadcast join, more by a shuffled one.
-BROADCAST_IDS = 500_000
+#: Up to so many bytes, as counted, one side of a join is broadcast; more is shuffled.
+BROADCAST_BYTES = 4 << 20
 #: Links that one task settles; more are settled by steps over all tasks.
 ONE_TASK = 1_000_000
 #: Bytes of text hashed at once.
-BYTES_AT_ONCE = 1_000_000
+BYTES_AT_ONCE = 250_000
 
 #: The bytes that part words; all others, of UTF-8 text, are of words.
 PARTS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -110,7 +114,7 @@ def shingle_sets(texts: list[str | None], width: int):
 
 
 def sketches(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """doc_id, n (set size), set_id (a 128-bit digest of the set) and sketch (its smallest hashes)."""
+    """doc_id, text_hash, n (set size), set_id (a 128-bit digest of the set) and sketch (its smallest hashes)."""
     bound_batches(df.sparkSession)
 
     @F.pandas_udf("n long, set_id binary, sketch array<long>")
@@ -118,7 +122,8 @@ def sketches(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
         rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:SKETCH].view("i8").copy()) for s in shingle_sets(texts.tolist(), width)]
         return pd.DataFrame(rows, columns=["n", "set_id", "sketch"])
 
-    return df.select(F.col(doc_id).alias("doc_id"), sketch(F.col(text).cast("string")).alias("s")).select("doc_id", "s.*")
+    words = F.col(text).cast("string")
+    return df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(words).alias("text_hash"), sketch(words).alias("s")).select("doc_id", "text_hash", "s.*")
 
 
 def union_share(a: np.ndarray, b: np.ndarray) -> float:
@@ -145,31 +150,24 @@ def estimated(percent: int):
     return open_
 
 
-def verify(percent: int):
-    """A function of two packed sets: whether 100 * intersection >= percent * union."""
+def full_sets(df: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """node and s, its full set as an array of longs, for nodes(node, rep, set_id): from the text of row rep whose set is set_id."""
 
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = np.zeros(len(left), bool)
-        for i, (a, b) in enumerate(zip(left, right, strict=True)):
-            both = np.sort(np.concatenate([np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")]), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            out[i] = 100 * shared >= percent * (len(both) - shared)
-        return pd.Series(out)
-
-    return linked
+    @F.pandas_udf("id binary, s array<long>")
+    def full(texts: pd.Series) -> pd.DataFrame:
+        rows = [(xxhash.xxh3_128_digest(s.tobytes()), s.view("i8")) for s in shingle_sets(texts.tolist(), width)]
+        return pd.DataFrame(rows, columns=["id", "s"])
 
+    texts = df.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text"))
+    chosen = texts.join(bounded(nodes, 64), "rep").select("node", "set_id", full("text").alias("f"))
+    return chosen.where("f.id = set_id").select("node", "f.s")
 
-def packed_sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """rep and its packed full set for the ids in wanted(rep)."""
 
-    @F.pandas_udf("binary")
-    def full(texts: pd.Series) -> pd.Series:
-        return pd.Series([s.astype("<u8").tobytes() for s in shingle_sets(texts.tolist(), width)])
-
-    few = wanted.count() <= BROADCAST_IDS
-    chosen = df.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")).join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
-    return chosen.select("rep", full("text").alias("packed"))
+def bounded(df: DataFrame, row_bytes: int = 0, size: str = "") -> DataFrame:
+    """df, marked for a broadcast if it is within BROADCAST_BYTES: row_bytes a row and 8 for each element of the array column size."""
+    share = F.lit(row_bytes) + (F.size(size) * 8 if size else 0)
+    total = df.agg(F.sum(share.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,104 +226,145 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
-def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
-    """Per row of df: doc_id, n_shingles, component_id and kept.
+def rare_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Inverted lists of the rarest values of full sets: g, node, n, own, reach and earlier.
 
-    Two texts are linked where 100 * |A & B| >= percent * |A | B| over their sets of width-word
-    shingles; component_id is the smallest id reachable over links, kept marks that row. percent
-    is at least 60. A null or wordless text has an empty set and is linked with nothing. A null id
-    takes no part: component_id is null and kept true. Repeated rows each give a row. So do rows that
-    repeat an id under different texts: each is placed by its own text, to whose links those of the
-    id's other texts may be added. Extra columns do not matter.
+    sets: node and s, every set once. Any two of the sets that are percent similar share a value g of which both
+    have a row, and n of either is at most the other's reach there: with a set's values in order of
+    frequency, a pair that first meets at place p of a set shares at most n - p values. own: values that
+    no other set has; earlier: values of the set before g, EARLIER at most.
     """
+    values = sets.select("node", F.explode("s").alias("g"))
+    held = values.groupBy("g").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = values.join(held, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "g"))).alias("t"))
+    ranked = ranked.join(sets.select("node", F.size("s").cast("long").alias("n")), "node")
+    ranked = ranked.withColumns({"own": F.col("n") - F.size("t"), "t": F.transform("t", lambda x: x["g"])})
+    upto = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("own")  # of shared values, the rarest
+    lists = ranked.withColumn("upto", upto.cast("int")).where("upto > 0")
+    lists = lists.select("node", "n", "own", "t", F.posexplode(F.slice("t", 1, F.col("upto"))).alias("k", "g"))
+    reach = F.floor((F.col("n") - F.col("own") - F.col("k")) * (100 + percent) / percent) - F.col("n")
+    lists = lists.select("g", "node", "n", "own", reach.alias("reach"), F.slice("t", 1, F.least("k", F.lit(EARLIER))).alias("earlier")).where(F.col("reach") * 100 >= F.col("n") * percent)
+    lists = written(lists, "rare-lists")
+    sizes = lists.groupBy("g").agg(F.count("*").alias("length"), F.min("n").alias("low")).where("length > 1")
+    return lists.join(sizes, "g").where("reach >= low").drop("length", "low")
+
+
+def decided(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Per row of df: doc_id, text_hash, n_shingles, component_id and kept, as in duplicates()."""
     if percent < 60:
         raise ValueError("percent: 60 at least")
     made = written(sketches(df, doc_id, text, width), "sketches")
-    full = made.where("n > 0 AND doc_id IS NOT NULL")
-    groups = written(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "sets")
-    reps = full.select("doc_id", "set_id", "sketch").join(groups.select(F.col("rep").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi")
-    reps = written(reps.dropDuplicates(["doc_id", "set_id"]).select(F.col("doc_id").alias("rep"), "sketch", F.least(F.size("sketch"), F.lit(LISTED)).alias("listed")), "representatives")
+    nodes = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # the written numbers stay
 
-    postings = reps.select("rep", "listed", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
+    postings = nodes.select("node", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     lengths = postings.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
-    shared = written(postings.join(lengths, "v").select("v", "rep", "listed", "length", (F.col("length") > COMMON).alias("common")), "lists")
-    by_rep = shared.groupBy("rep").agg(F.sum(F.col("common").cast("int")).alias("n_common"), F.sum(F.when(F.col("common"), F.col("length")).otherwise(0)).alias("weight"), F.first("listed").alias("listed"))
-    by_rep = written(by_rep.withColumn("rare", F.col("listed") - F.col("n_common")), "rare")
+    shared = written(postings.join(lengths, "v").select("v", "node", (F.col("length") > COMMON).alias("common")), "lists")
+    by_node = shared.groupBy("node").agg(F.sum(F.col("common").cast("int")).alias("n_common"))
+    by_node = by_node.join(nodes.select("node", "n", F.least("n", F.lit(LISTED)).alias("listed")), "node")
     # a set listed whole can reach percent through common values only if they make up as much of it
-    mostly = by_rep.where(F.col("n_common") * 100 >= F.col("listed") * F.when(F.col("listed") < LISTED, percent).otherwise(int(100 * MOSTLY)))
-    long = written(shared.where("common").join(mostly.select("rep", "weight"), "rep").select("v", "rep", "weight"), "long-lists")
-    sketch_of = reps.select("rep", "sketch")
-    may_link, linked = estimated(percent), verify(percent)
+    mostly = F.col("n_common") * 100 >= F.col("listed") * F.when(F.col("n") <= LISTED, percent).otherwise(int(100 * MOSTLY))
+    by_node = written(by_node.select("node", "n", (F.col("listed") - F.col("n_common")).alias("rare"), mostly.alias("mostly")), "rare")
 
     # Short lists: their pairs, no more than COMMON / 2 a posting, with the number of lists they share.
-    short = shared.where("NOT common").select("v", "rep")
-    pairs = short.alias("x").join(short.alias("y"), F.expr("x.v = y.v AND x.rep < y.rep")).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("overlap"))
-    pairs = pairs.where("overlap >= 1")
-    for c in "ab":
-        pairs = pairs.join(by_rep.select(F.col("rep").alias(c), F.col("rare").alias(f"rare_{c}")), c)
-    near = written(pairs.where(F.col("overlap") >= OVERLAP * F.least("rare_a", "rare_b")).select("a", "b", "overlap"), "overlaps")
-
-    def confirmed(pairs: DataFrame) -> DataFrame | None:
-        """Of pairs(a, b), the linked ones; None if there are none."""
-        near = pairs.join(sketch_of.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketch_of.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        near = written(near.where(may_link("sketch_a", "sketch_b")).select("a", "b"), "candidates")
-        wanted = written(near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), "wanted")
-        if wanted.isEmpty():
-            return None
-        sets = written(packed_sets(df, wanted, doc_id, text, width), "packed")
-        out = near.join(sets.select(F.col("rep").alias("a"), F.col("packed").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("packed").alias("set_b")), "b")
-        out = written(out.where(linked("set_a", "set_b")).select("a", "b"), "links")
-        forget(near, wanted, sets)
-        return None if out.isEmpty() else out
-
-    def joined(comps: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
+    short = shared.where("NOT common").select("v", "node").join(by_node, "node")
+    fit = F.expr(f"x.v = y.v AND x.node < y.node AND NOT (x.mostly AND y.mostly) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    pairs = short.alias("x").join(short.alias("y"), fit).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("overlap"), F.min(F.least("x.rare", "y.rare")).alias("rare"))
+    near = written(pairs.where(F.col("overlap") >= OVERLAP * F.col("rare")).select("a", "b", "overlap"), "overlaps")
+
+    def with_both(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+        """pairs(a, b) with the arrays of both nodes, as column_a and column_b."""
+        wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+        own = written(values.select("node", column).join(bounded(wanted, 16), "node", "left_semi"), "arrays")
+        own = bounded(own, 64, column)
+        for c in "ab":
+            pairs = pairs.join(own.select(F.col("node").alias(c), F.col(column).alias(f"{column}_{c}")), c)
+        return pairs
+
+    may_link = estimated(percent)
+    near = written(with_both(near, nodes, "sketch").where(may_link("sketch_a", "sketch_b")).select("a", "b", "overlap"), "candidates")
+    compared = by_node.where("mostly").select("node").union(near.select("a")).union(near.select("b")).distinct()
+    sets = full_sets(df, nodes.select("node", "rep", "set_id").join(compared, "node", "left_semi"), doc_id, text, width)
+    sets = written(sets, "full-sets")
+    if sets.groupBy("node").count().where("count > 1").head(1):  # rows that repeat: one set of each
+        sets = written(sets.dropDuplicates(["node"]), "full-sets")
+    of_common = sets.join(bounded(by_node.where("mostly").select("node"), 16), "node", "left_semi").repartition("node")
+    lists = written(rare_lists(of_common, percent), "rare-lists")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Of pairs(a, b), those whose full sets are similar enough."""
+        both = with_both(written(pairs, "pairs"), sets, "s").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+        return both.where(F.col("common") * 100 >= percent * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b")
+
+    def joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
         """Components after new links; earlier components go in as stars."""
-        if links is None:
-            return comps
         old = [comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))] if comps is not None else []
         return written(components(reduce(DataFrame.union, old, links)), "components")
 
-    def label(lists: DataFrame, comps: DataFrame | None, rep: str = "rep", comp: str = "comp") -> DataFrame:
-        """lists with the component of column rep, itself where it has no link."""
+    def label(lists: DataFrame, comps: DataFrame | None, node: str = "node", comp: str = "comp") -> DataFrame:
+        """lists with the component of column node, itself where it has no link."""
         if comps is None:
-            return lists.withColumn(comp, F.col(rep))
-        return lists.join(comps.select(F.col("node").alias(rep), F.col("comp").alias("found")), rep, "left").withColumn(comp, F.coalesce("found", rep)).drop("found")
+            return lists.withColumn(comp, F.col(node))
+        return lists.join(comps.select(F.col("node").alias(node), F.col("comp").alias("found")), node, "left").withColumn(comp, F.coalesce("found", node)).drop("found")
+
+    def unsettled(comps: DataFrame | None) -> DataFrame:
+        """The rare lists whose members are in several components, with the members' components."""
+        marked = label(lists, comps)
+        open_ = marked.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("g")
+        return written(marked.join(open_, "g", "left_semi"), "unsettled")
 
-    def smallest(lists: DataFrame, count: int) -> DataFrame:
-        """The count first members of every list, those in the longest lists first; cut to count within each task before the shuffle.
+    meet = "x.g = y.g AND x.comp != y.comp AND x.n <= y.reach AND y.n <= x.reach"
 
-        The text that a group's copies were made from shares most with them, so that it comes early.
+    def hub_pairs(left: DataFrame, count: int) -> DataFrame:
+        """Pairs across components of each list's count hubs, those with the least of their own, with the other members.
+
+        The cut is made within each task before the shuffle.
         """
-        return lists.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("weight"), "rep"))).where(F.col("rank") <= count)
-
-    def hub_pairs(comps: DataFrame | None, above: int, upto: int) -> DataFrame | None:
-        """Pairs across components of the hubs (members of these ranks) of long lists; None if no list needs any."""
-        marked = label(long, comps)
-        open_ = marked.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("v")
-        left = written(marked.join(open_, "v", "left_semi"), "long-left")
-        hubs = smallest(long, upto).where(F.col("rank") > above).join(left.select("v", "rep", F.col("comp").alias("a_comp")), ["v", "rep"])
-        hubs = written(hubs.select("v", F.col("rep").alias("a"), F.col("weight").alias("a_weight"), "a_comp"), "hubs")
-        pairs = left.join(hubs, "v").where("a_comp != comp AND (a_weight > weight OR (a_weight = weight AND a < rep))")
-        return None if hubs.isEmpty() else pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-
-    # First each representative's nearest partner and the first hubs, then the pairs that are still open.
-    best = near.groupBy("b").agg(F.min_by("a", F.struct(-F.col("overlap"), F.col("a"))).alias("a")).select("a", "b")
-    hubs = hub_pairs(None, 0, 1)
-    comps = joined(None, confirmed(best if hubs is None else best.union(hubs).distinct()))
-    rest = label(label(near.select("a", "b"), comps, "a", "comp_a"), comps, "b", "comp_b").where("comp_a != comp_b").select("a", "b")
-    rest = rest.join(best, ["a", "b"], "left_anti")
-    tried = 1
-    while True:
-        hubs = hub_pairs(comps, tried, tried * HUBS)
-        if rest is None and hubs is None:
-            break
-        comps = joined(comps, confirmed(hubs if rest is None else rest if hubs is None else rest.union(hubs).distinct()))
-        rest, tried = None, tried * HUBS
-    if comps is None:
-        comps = df.sparkSession.createDataFrame([], "node long, comp long")
+        rank = F.row_number().over(Window.partitionBy("g").orderBy(F.col("own") / F.col("n"), "node"))
+        hubs = left.withColumn("rank", rank).where(F.col("rank") <= count)
+        pairs = left.alias("x").join(hubs.alias("y"), F.expr(meet))
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-    placed = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("comp"))
+    # First each node's nearest partner and the first hubs, then the pairs that are still open.
+    best = near.groupBy("b").agg(F.min_by("a", F.struct(-F.col("overlap"), F.col("a"))).alias("a")).select("a", "b")
+    comps = joined(None, confirmed(best.union(hub_pairs(unsettled(None), HUBS[0])).distinct()))
+    for count in HUBS[1:]:
+        rest = label(label(near.select("a", "b"), comps, "a", "comp_a"), comps, "b", "comp_b").where("comp_a != comp_b").select("a", "b")
+        comps = joined(comps, confirmed(rest.union(hub_pairs(unsettled(comps), count)).distinct()))
+    left = unsettled(comps)
+    once = F.expr(f"{meet} AND x.node < y.node AND NOT arrays_overlap(x.earlier, y.earlier)")
+    comps = joined(comps, confirmed(left.alias("x").join(left.alias("y"), once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
+
+    # The smallest id of each component, and the node that has it, which stays.
+    found = label(nodes.select("node", "set_id", "rep"), comps)
+    least = found.groupBy("comp").agg(F.min(F.struct("rep", "node")).alias("least"), F.count("*").alias("members")).where("members > 1").select("comp", "least")
+    placed = found.join(least, "comp", "left").select("set_id", F.coalesce("least.rep", "rep").alias("comp"), F.coalesce(F.col("least.node") == F.col("node"), F.lit(True)).alias("first"))
     out = made.join(placed, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    takes_part = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(takes_part, F.col("comp")).otherwise(F.col("doc_id"))
+    kept = F.coalesce(~takes_part | ((F.col("doc_id") == F.col("comp")) & F.col("first")), F.lit(True))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
+    """Per row of df: doc_id, n_shingles, component_id and kept.
+
+    Two texts are linked where 100 * |A & B| >= percent * |A | B| over their sets of width-word
+    shingles; component_id is the smallest id reachable over links, kept marks that row. percent
+    is at least 60. A null or wordless text has an empty set and is linked with nothing. A null id
+    takes no part: component_id is null and kept true. Repeated rows each give a row and are kept or not
+    together. So do rows that repeat an id under different texts, each placed by its own text; of those
+    in one component one text is kept. A very long text is hashed whole, and is one row of its set's
+    values. An empty table gives an empty result. Extra columns do not matter.
+    """
+    return decided(df, doc_id, text, width, percent).drop("text_hash")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df that duplicates() keeps, with all their columns: one text of each group of near-duplicates.
+
+    Rows go by id and text together, so that an id's other texts stay. Rows with a null id stay.
+    """
+    gone = written(decided(df, doc_id, text, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"), "text_hash").distinct(), "gone")
+    same = (F.col(doc_id) == F.col("__gone_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__gone_hash"))
+    return df.join(bounded(gone, 64), same, "left_anti")

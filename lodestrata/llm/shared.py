@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, so that long texts do not pile up in a worker.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
+#: Bytes of a row group of written tables, which a task holds while it writes.
+BLOCK_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, where the session leaves the default."""
+    """Bound Arrow batches by bytes from now on in this session, whatever bound it has: the operators' memory is reckoned by it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir: set it to a folder that the driver and all executors share")
         found = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="lodestrata-")
         shared_folder.own = found
     return found.rstrip("/")
@@ -34,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
