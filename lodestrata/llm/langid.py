@@ -2,11 +2,12 @@
 
 For each language a suffix automaton of labelled text is built. A text is parsed greedily into
 the longest phrases that the automaton knows; with c phrases over n symbols and m training
-symbols the cross entropy is c * log2(m) / n, and the language with the least wins.
+symbols the cross entropy is c * log2(m) / n, and the language with the least wins. Symbols are the
+UTF-8 bytes of lower-case letters, and one for all between words, so that no letter of any script is left out.
 
 The automata are dense transition tables, so that a batch of whole texts is parsed side by side
-with one table look-up a symbol. They are made from a bounded sample of labelled rows
-(SAMPLE_DOCS a language, of which TRAIN_SYMBOLS symbols are used); their size does not grow with
+with one table look-up a symbol. They are made from a bounded sample of labelled rows, read whole
+(SAMPLE_DOCS documents a language, as far as TRAIN_SYMBOLS symbols go); their size does not grow with
 the data, and they are shipped with the function.
 """
 
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from lodestrata.llm.shared import bound_batches, held_out
 
 #: Bounds of the training sample: documents of each language, and symbols of each language's automaton.
-SAMPLE_DOCS, TRAIN_SYMBOLS = 60, 12_000
-#: Bound of the alphabet: the most frequent letters of the sample; others match nothing.
-ALPHABET = 250
+SAMPLE_DOCS, TRAIN_SYMBOLS = 60, 24_000
+#: Numbers of symbols: a byte that no training text has, and what lies between words. Bytes follow.
+UNKNOWN, GAP = 0, 1
 UNDETERMINED = "und"
 
 _letters: list[np.ndarray] = []
@@ -34,7 +35,7 @@ _gap = re.compile(r"[\W\d_]+")
 
 
 def letter_table() -> np.ndarray:
-    """For each code point, whether it is a letter or a mark on one."""
+    """For each code point, whether it is a letter."""
     if not _letters:
         found = np.zeros(sys.maxunicode + 1, bool)
         found[[n for n in range(sys.maxunicode + 1) if unicodedata.category(chr(n))[0] == "L"]] = True
@@ -42,16 +43,14 @@ def letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-
-
-def symbols(codes: np.ndarray, of_code: np.ndarray) -> np.ndarray:
-    """Alphabet numbers of a text: 1 is the gap, and runs of anything but letters are one gap."""
-    got = of_code[codes]
-    keep = np.ones(len(got), bool)
-    keep[1:] = (got[1:] != 1) | (got[:-1] != 1)
-    return got[keep]
+def letter_bytes(text: str) -> bytes:
+    """Lower-case UTF-8 of a text, with one space for each run of anything but letters."""
+    text = text.lower()
+    if not text.isascii():
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.where(letter_table()[codes], codes, 32).astype("<u4")
+        text = codes.tobytes().decode("utf-32-le", "surrogatepass")
+    return _gap.sub(" ", text).encode("utf-8", "surrogatepass")
 
 
 def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
@@ -93,17 +92,15 @@ class Model:
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.langs = sorted(texts)
-        codes = {lang: points(texts[lang]) for lang in self.langs}
-        seen = np.concatenate([*codes.values(), np.zeros(0, "u4")]).astype("i8")
-        is_letter = letter_table()
-        counts = np.bincount(seen[is_letter[seen]], minlength=1) if len(seen) else np.zeros(1, int)
-        known = np.argsort(-counts, kind="stable")[:ALPHABET]
-        known = np.sort(known[counts[known] > 0])
-        self.known, self.width = known, len(known) + 2
-        self._of_code: np.ndarray | None = None
+        coded = {lang: letter_bytes(texts[lang]) for lang in self.langs}
+        known = sorted({b for text in coded.values() for b in text} - {32})
+        self.width = len(known) + 2
+        self.of_byte = np.full(256, UNKNOWN, np.uint8)
+        self.of_byte[known] = np.arange(2, len(known) + 2)
+        self.of_byte[32] = GAP
         tables, self.roots, self.bits, rows = [], [], [], 0
         for lang in self.langs:
-            sequence = symbols(codes[lang], self.of_code)[:TRAIN_SYMBOLS]
+            sequence = self.symbols(coded[lang])[:TRAIN_SYMBOLS]
             step = suffix_automaton(sequence.tolist())
             table = np.zeros((len(step), self.width), np.int64)
             root = np.full(self.width, rows * self.width * 4 + 1, np.int64)  # unknown even at the root
@@ -121,15 +118,8 @@ class Model:
         full = np.concatenate(tables) if tables else np.zeros((1, self.width), np.int64)
         self.table = (full.astype(np.int32) if full.max(initial=0) < 2**31 else full).ravel()
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_of_code": None}
-
-    @property
-    def of_code(self) -> np.ndarray:
-        if self._of_code is None:
-            self._of_code = np.where(letter_table(), 0, 1).astype(np.uint8)
-            self._of_code[self.known] = np.arange(2, len(self.known) + 2)
-        return self._of_code
+    def symbols(self, text: bytes) -> np.ndarray:
+        return self.of_byte[np.frombuffer(text, np.uint8)]
 
     def phrases(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Phrases by language (rows) of each sequence (columns)."""
@@ -138,7 +128,7 @@ class Model:
         out = np.zeros((len(self.langs), len(sequences)), np.int32)
         if not len(self.langs) or not len(sequences) or not lengths[0]:
             return out
-        flat = np.concatenate([sequences[i] for i in order]).astype(self.table.dtype)
+        flat = np.concatenate([sequences[i] for i in order])
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # texts longer than each step
         roots = np.array(self.roots, self.table.dtype)[:, None]
@@ -149,7 +139,7 @@ class Model:
             if n < before:
                 out[:, n:before] = ended[:, n:] + (at[:, n:] != roots)
                 at, ended, before = at[:, :n].copy(), ended[:, :n].copy(), n
-            got = table[at + flat[starts[:n] + t]]
+            got = table[at + flat[starts[:n] + t].astype(table.dtype)]
             ended += got & 3
             at = got >> 2
         out[:, :before] = ended + (at != roots)
@@ -161,13 +151,10 @@ class Model:
         """Language and score of each text. Score: by how much the best cross entropy undercuts the next, 0 to 1."""
         langs, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
         found, sequences = [], []
-        is_letter = letter_table()
         for i, text in enumerate(texts):
-            if text:
-                codes = points(text)
-                if is_letter[codes].any():
-                    found.append(i)
-                    sequences.append(symbols(codes, self.of_code))
+            if text and (letters := letter_bytes(text)).strip():
+                found.append(i)
+                sequences.append(self.symbols(letters))
         if found and self.langs:
             entropy = self.phrases(sequences) * np.array(self.bits)[:, None] / np.array([len(s) for s in sequences])
             best = entropy.argmin(0)
@@ -180,38 +167,40 @@ class Model:
         return langs.tolist(), score
 
 
-def shared_out(texts: list[str]) -> list[str]:
-    """The texts, each letters and gaps only, cut to equal shares of TRAIN_SYMBOLS; what short ones leave goes to the others."""
-    plain = [_gap.sub(" ", t) for t in texts]
-    left, out = TRAIN_SYMBOLS - len(plain), list(plain)
-    for n, i in enumerate(sorted(range(len(plain)), key=lambda i: len(plain[i]))):
-        out[i] = plain[i][: max(0, left) // (len(plain) - n)]
-        left -= len(out[i])
-    return out
+def whole_texts(texts: list[str]) -> list[str]:
+    """Of the texts, in order, those that fit TRAIN_SYMBOLS together, each whole; where none does, the shortest, of which the automaton takes as much."""
+    left, out = TRAIN_SYMBOLS, []
+    for t in texts:
+        if (n := len(letter_bytes(t)) + 1) <= left:
+            left -= n
+            out.append(t)
+    return out or [min(texts, key=lambda t: (len(t), t))]
 
 
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Model of the labelled rows that are not held out.
 
-    Of each language the SAMPLE_DOCS documents with the least hash of their id share TRAIN_SYMBOLS; rows
-    with a null text, language or id teach nothing. Repeated rows may fill the sample twice.
+    Of each language the SAMPLE_DOCS documents with the least hash of their id, those over TRAIN_SYMBOLS characters last,
+    are read whole, as far as whole_texts() goes; rows with a null text, language or id teach nothing. Rows that repeat count once.
     """
-    rows = df.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS).collect()
-    chosen = df.where(F.col(doc_id).isin(sorted({r.id for r in ids})) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(doc_id, lang, text).collect() if ids else []
+    taught = df.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.length(text) > 0))
+    rows = taught.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = rows.withColumn("sign", F.xxhash64("text"))
+    by_hash = Window.partitionBy("lang").orderBy(F.length("text") > TRAIN_SYMBOLS, F.xxhash64("id"), "id", "sign")
+    signs = rows.withColumn("n", F.rank().over(by_hash)).where(F.col("n") <= SAMPLE_DOCS).select("id", "lang", "sign").distinct()
+    chosen = rows.join(F.broadcast(signs), ["id", "lang", "sign"]).groupBy("id", "lang", "sign").agg(F.min("text").alias("text")).collect()  # SAMPLE_DOCS a language
     texts: dict[str, list[str]] = {}
-    for r in sorted(chosen, key=lambda r: (r[1], r[0], r[2])):
-        texts.setdefault(r[1], []).append(r[2])
-    return Model({k: "\n".join(shared_out(v)) for k, v in texts.items()})
+    for r in sorted(chosen, key=lambda r: (r.lang, len(r.text) > TRAIN_SYMBOLS, r.sign, r.id)):
+        texts.setdefault(r.lang, []).append(r.text)
+    return Model({k: "\n".join(whole_texts(v)) for k, v in texts.items()})
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred and score, of whole texts; row by row, no shuffle.
 
     A null text, or one without any letter, gives ``und`` and 0; so does every text under a model
-    without languages. Ties go to the language first in order. Columns of df named like a result
-    are replaced. Repeated rows get equal results.
+    without languages. Ties go to the language first in order. A very long text is parsed whole, by itself at
+    last. Columns of df named like a result are replaced. Repeated rows get equal results, an empty table none.
     """
     bound_batches(df.sparkSession)
 
@@ -220,8 +209,11 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         langs, score = model.predict(texts.tolist())
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
-    got = df.withColumn("__lang", guess(F.col(text).cast("string")))
-    return got.withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
+    own = "__lang"
+    while own in df.columns:
+        own += "_"
+    got = df.withColumn(own, guess(F.col(text).cast("string")))
+    return got.withColumns({"lang_pred": F.col(f"{own}.lang_pred"), "score": F.col(f"{own}.score")}).drop(own)
 
 
 def predictions(df: DataFrame) -> DataFrame:
