@@ -365,6 +365,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
 
     Rows go by id and text together, so that an id's other texts stay. Rows with a null id stay.
     """
-    gone = written(decided(df, doc_id, text, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone"), "text_hash").distinct(), "gone")
+    gone = decided(df, doc_id, text, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
+    gone = written(gone.distinct(), "gone")
     same = (F.col(doc_id) == F.col("__gone_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__gone_hash"))
     return df.join(bounded(gone, 64), same, "left_anti")

@@ -198,19 +198,44 @@ def test_decontamination_parts_words_as_the_check_does():
 # op4
 
 
-def test_marginals_equal_enumeration():
+@pytest.mark.parametrize(("block", "at_once"), [(256, 1000), (2, 3), (1, 1), (3, 5)])
+def test_marginals_equal_enumeration(monkeypatch, block, at_once):
+    monkeypatch.setattr(quality, "BLOCK", block)
+    monkeypatch.setattr(quality, "LINES_AT_ONCE", at_once)
     rng = np.random.default_rng(0)
-    good, step, lines = rng.normal(size=6), rng.normal(size=(2, 2)), np.array([4, 2])
-    p, _, log_z = quality.marginals(good, step, lines)
-    first = 0
+    good, step, lines = rng.normal(size=14), rng.normal(size=(2, 2)), np.array([4, 1, 7, 2])
+    p, pairs, log_z = quality.marginals(good, step, lines)
+    first, expected = 0, np.zeros((2, 2))
     for n, z in zip(lines, log_z, strict=True):
-        total, hit = 0.0, np.zeros(n)
+        total, hit, both = 0.0, np.zeros(n), np.zeros((2, 2))
         for code in range(2**n):
             y = [(code >> k) & 1 for k in range(n)]
             w = np.exp(sum(good[first + k] * y[k] for k in range(n)) + sum(step[y[k], y[k + 1]] for k in range(n - 1)))
             total, hit = total + w, hit + w * np.array(y)
+            for a, b in zip(y, y[1:], strict=False):
+                both[a, b] += w
         assert np.allclose(p[first : first + n], hit / total) and np.isclose(z, np.log(total))
-        first += n
+        first, expected = first + n, expected + both / total
+    assert np.allclose(pairs, expected)
+
+
+def test_quality_long_texts(monkeypatch):
+    """A megabyte of line ends, of one line, of short lines: the score of each alone and among others, and how much memory it takes."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    texts = ["Good words, in a sentence.\nAnd more of them.", None, "", "a\n" * 200_000, "\n" * 1_000_000, "x" * 1_000_000, "menu | menu !! \n" * 3_000 + "End."] + ["".join(rng.choice("ab .\n|") for _ in range(n)) for n in (1, 7, 4000)]
+    model = quality.LineModel().fit(texts[:1] * 3 + texts[6:7] * 3, [1] * 3 + [0] * 3)
+    tracemalloc.start()
+    together = model.score(texts)
+    assert tracemalloc.get_traced_memory()[1] < 90_000_000
+    tracemalloc.stop()
+    assert np.allclose(together, [model.score([t])[0] for t in texts]) and together[0] > together[6]
+    monkeypatch.setattr(quality, "BYTES_AT_ONCE", 1000)
+    monkeypatch.setattr(quality, "LINES_AT_ONCE", 50)
+    assert np.allclose(together, model.score(texts), atol=1e-5)
+    line = b"one two two \xc3\xbc Two.\n"
+    assert np.allclose(quality.line_features(b"two\n" + line)[0][1], quality.line_features(line)[0][0])
 
 
 def test_quality_held_out(spark):
@@ -316,6 +341,40 @@ def test_components_equal_brute_force(spark, width, monkeypatch):
     assert got == brute_components(rows, width, 80)
 
 
+def test_settled_in_one_task_or_by_steps(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 300 + i) for i in range(30)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {r.node: r.comp for r in neardup.components(df).collect()}
+    monkeypatch.setattr(neardup, "ONE_TASK", 0)
+    assert {r.node: r.comp for r in neardup.components(df).collect() if r.node in one} == {n: c for n, c in one.items()}
+
+
+def test_texts_of_common_passages_are_compared_exactly(spark):
+    """Copies edited so far that most are linked with nothing, yet made mostly of common shingles."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5])):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = [[f"x{rng.randrange(10**6)}"], [], ["y", "z"]][rng.randrange(3)]
+        rows.append((i, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    want = brute_components(rows, 4, 80)
+    assert got == want and len({c for _, c in want.values()}) > 50
+
+
+def test_one_of_each_goes_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (7, a + " more", "q"), (None, a, "n"), (8, None, "e"), (8, None, "e"), (9, b, "t"), (5, b, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash string")
+    got = neardup.one_of_each(df).collect()
+    assert sorted((str(r.doc_id), r.text_hash) for r in got) == sorted([("1", "x"), ("5", "z"), ("5", "z"), ("None", "n"), ("8", "e"), ("8", "e")])
+    assert neardup.one_of_each(df.limit(0)).count() == 0
+
+
 def test_duplicates_odd(spark, odd, empty):
     got = neardup.duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -355,8 +414,9 @@ def test_bpe_odd(odd, empty):
 # op8
 
 
-def test_neighbours_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_neighbours_recall(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
     table = rows.collect()
     x, ids = np.array([r.embedding for r in table], float), np.array([r.vec_id for r in table])
     got: dict[int, list] = {}
@@ -376,6 +436,11 @@ def test_neighbours_odd(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
     got = [tuple(r) for r in neighbours.search(df, df.where("vec_id IN (0, 3, 4)")).collect()]
     assert sorted(got) == [(0, 1, 1, 0.0), (0, 2, 2, pytest.approx(2**0.5))]
+    # vectors of two lengths, an id with two vectors, ties
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (0, [5.0, 0.0]), (2, [9.0, 0.0]), (9, [1.0, 1.0]), (8, [1.0, -1.0]), (0, [2.0, 1.0, 1.0]), (7, [2.0, 1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in neighbours.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 8, 1.0), (0, 2, 9, 1.0), (0, 3, 1, 2.0), (0, 4, 7, 2.0), (0, 5, 2, 4.0)]
     assert neighbours.search(df.limit(0), df).count() == 0
 
 
@@ -398,7 +463,7 @@ def test_phrases_equal_brute_force():
     squeeze = lambda t: re.sub(" +", " ", t)
     for _ in range(100):
         t = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 40)))
-        got = model.phrases([langid.symbols(langid.points(t), model.of_code)]).ravel().tolist()
+        got = model.phrases([model.symbols(langid.letter_bytes(t))]).ravel().tolist()
         assert got == [brute(squeeze(texts[k]), squeeze(t)) for k in "xy"]
 
 
@@ -415,12 +480,26 @@ def test_language_odd(odd, empty):
     assert langid.predictions(empty).count() == 0 and langid.Model({}).predict(["abc"])[0] == ["und"]
 
 
-def test_language_sample_is_shared_out():
-    texts = ["a b " * 50_000, "kurz", "der hund, 12 katzen " * 2_000, "x" * 30]
-    got = langid.shared_out(texts)
-    assert got[1] == "kurz" and got[3] == "x" * 30 and abs(len(got[0]) - len(got[2])) <= 1
-    joined = langid.symbols(langid.points("\n".join(got)), langid.Model({"xx": " ".join(texts)}).of_code)
-    assert langid.TRAIN_SYMBOLS - 10 <= len(joined) <= langid.TRAIN_SYMBOLS
+def test_language_sample_is_read_whole(spark):
+    n = langid.TRAIN_SYMBOLS
+    texts = ["a b " * n, "kurz", "x" * (n - 20), "der hund, 12 katzen " * 3]
+    assert langid.whole_texts(texts) == ["kurz", "x" * (n - 20)] and langid.whole_texts(["ab" * n, "b" * n]) == ["b" * n]
+    rows = [(i, "gut", "de") for i in range(5)] + [(7, "gut", "de")] * 300 + [(8, "good " * n, "en"), (9, "well", "en")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"] and model.bits[0] < 6
+
+
+def test_language_every_letter():
+    """Scripts with more letters than a byte has values, and letters of no training text."""
+    rng = random.Random(2)
+    scripts = {"a": range(0x4E00, 0x5E00), "b": range(0xAC00, 0xBC00), "c": range(0x61, 0x7B)}
+    words = {k: ["".join(chr(rng.choice(v)) for _ in range(3)) for _ in range(400)] for k, v in scripts.items()}
+    model = langid.Model({k: " ".join(rng.choices(v, k=2000)) for k, v in words.items()})
+    texts = [" ".join(rng.choices(v, k=30)) for v in words.values()]
+    assert model.predict(texts)[0] == ["a", "b", "c"] and model.width < 256
+    long = (texts[0] + ", 12 _ ") * 4000  # more than a million bytes
+    assert model.predict([long, *texts])[0] == ["a", "a", "b", "c"] and model.predict(["\u0416", "\ud800", "1 2"])[0][1:] == ["und", "und"]
+    assert langid.letter_bytes("Ab_c1 \u00dc\u00d7\u00fc") == "ab c \u00fc \u00fc".encode()
 
 
 # op10
