@@ -1,7 +1,10 @@
 """The corpus pipeline: language filter, near-duplicates, decontamination, secrets, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns all that it keeps; but for the last they return
-the columns of documents. Null, empty and repeated rows are treated as the operators say.
+the columns of documents. A null or empty text has no letter and goes at the first stage, with texts of
+digits and marks alone; later stages meet it only if they are run by themselves, and keep it. A null id is
+like any other but for near-duplicates, where it takes no part and stays. Repeated rows stay or go together;
+ties go to the smaller id; a very long text is read whole by every stage; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, decontam, langid, neardup, secrets
 from lodestrata.llm.queries import tokenizer_path
-from lodestrata.llm.shared import table, written
+from lodestrata.llm.shared import forget, table, written
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +24,11 @@ def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by five-word shingles at 0.8: the one with the smallest id."""
-    marked = written(neardup.duplicates(docs, width=5, percent=80), "marked")
-    gone = marked.where("NOT kept").select("doc_id").distinct()
-    few = gone.count() <= neardup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates, by five-word shingles at 0.8: the one with the smallest id.
+
+    Rows go by id and text: another text under a removed id stays, and rows that repeat stay or go together.
+    """
+    return neardup.one_of_each(docs, width=5, percent=80).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
