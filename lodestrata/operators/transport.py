@@ -105,6 +105,9 @@ def top_alignments(left: Column, right: Column, k: int = 5, epsilon: float = 0.1
     def cells(xs: pd.Series, ys: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(xs, ys, strict=True):
+            if x is None or y is None or not len(x) or not len(y):
+                out.append(None if x is None or y is None else [])
+                continue
             p, q = (np.array([np.asarray(r) for r in s], float) for s in (x, y))
             cost = ((p[:, None] - q[None]) ** 2).sum(-1)
             plan = sinkhorn_plan(cost, np.full(len(p), 1 / len(p)), np.full(len(q), 1 / len(q)), epsilon)

@@ -251,3 +251,137 @@ def renamed(source: str, prefix: str = "v") -> str:
         if isinstance(node, ast.Global | ast.Nonlocal):
             node.names = [bound.get(n, n) for n in node.names]
     return ast.unparse(tree)
+
+
+def leaves(nodes: DataFrame, tree: str) -> DataFrame:
+    """Nodes of nodes(tree, node, last) that have none below them."""
+    return nodes.where("node = last")
+
+
+def subtrees(nodes: DataFrame, tree: str, roots: DataFrame) -> DataFrame:
+    """The nodes below and at each root of roots(tree, node), as trees of their own: tree, root, node (numbered from 0), parent (null for the root), depth and label.
+
+    A subtree is an interval of numbers, so that a join on the tree with a range on the number finds it.
+    """
+    tops = roots.select(tree, F.col("node").alias("root")).join(nodes.select(tree, F.col("node").alias("root"), F.col("last").alias("upto"), F.col("depth").alias("root_depth")), [tree, "root"])
+    inside = tops.join(nodes, tree).where("node BETWEEN root AND upto")
+    return inside.select(tree, "root", (F.col("node") - F.col("root")).alias("node"), F.when(F.col("node") > F.col("root"), F.col("parent") - F.col("root")).alias("parent"), (F.col("depth") - F.col("root_depth")).alias("depth"), "label")
+
+
+#: Labels of Python nodes that can be called.
+CALLABLES = ("FunctionDef", "AsyncFunctionDef", "Lambda")
+
+
+def callable_roots(nodes: DataFrame, tree: str, labels: tuple[str, ...] = CALLABLES) -> DataFrame:
+    """tree and node of the nodes with one of the labels."""
+    return nodes.where(F.col("label").isin(*labels)).select(tree, "node")
+
+
+def meeting_depth(left: Column, right: Column, distance: Column) -> Column:
+    """Half of what two depths exceed the distance by: the depth of the lowest common ancestor in a tree."""
+    return (left + right - distance) / 2
+
+
+def end_distances(start: Column, end: Column, crossed_start: Column, crossed_end: Column) -> tuple[Column, Column]:
+    """Distance of two paths by their ends in order, and by the better of both orders: from those of start-start, end-end, start-end and end-start."""
+    direct = start + end
+    return direct, F.least(direct, crossed_start + crossed_end)
+
+
+def signatures(nodes: DataFrame, tree: str) -> DataFrame:
+    """nodes with signature: label and place among its siblings of every node from the root down, joined by bars."""
+    steps = nodes.select(tree, F.col("node").alias("step"), F.concat_ws(":", "label", F.col("child_index").cast("string")).alias("part"))
+    chain = nodes.select(tree, "node", F.posexplode("ancestors").alias("at", "step")).join(steps, [tree, "step"])
+    whole = chain.groupBy(tree, "node").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))  # as long as the node is deep
+    joined = F.array_join(F.transform("parts", lambda p: p["part"]), "|")
+    return nodes.join(whole.select(tree, "node", joined.alias("signature")), [tree, "node"])
+
+
+def collisions(rows: DataFrame, by: list[str], signature: Column) -> DataFrame:
+    """By group: n, distinct, colliding (n less distinct) and the rate of it, 0 for none."""
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(signature).alias("distinct"))
+    return found.withColumn("colliding", F.col("n") - F.col("distinct")).withColumn("rate", F.when(F.col("n") > 0, F.col("colliding") / F.col("n")).otherwise(0.0))
+
+
+def collision_summary(found: DataFrame) -> DataFrame:
+    """Rate over all of collisions() together, mean of the groups' rates, and their quartiles, one row."""
+    q = F.percentile("rate", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    out = found.agg(F.count("*").alias("groups"), F.coalesce(F.sum("colliding") / F.sum("n"), F.lit(0.0)).alias("micro"), F.avg("rate").alias("macro"), q.alias("q"))
+    return out.select("groups", "micro", "macro", *[F.col("q")[i].alias(f"q{p:03d}") for i, p in enumerate((0, 25, 50, 75, 100))])
+
+
+def synthetic_tree(kind: str, size: int, arms: int = 2) -> list[int | None]:
+    """Parents of the nodes of a tree in order: line, star, balanced (arms children a node) or comb (a line whose nodes each bear a leaf)."""
+    if kind == "line":
+        return [None, *range(size - 1)][:size]
+    if kind == "star":
+        return [None, *[0] * (size - 1)][:size]
+    if kind == "balanced":
+        return [None, *[(i - 1) // arms for i in range(1, size)]][:size]
+    if kind == "comb":
+        return [None, *[i - 1 if i % 2 else max(i - 2, 0) for i in range(1, size)]][:size]
+    raise ValueError(f"unknown kind {kind}")
+
+
+def tree_distances(parents: list[int | None]) -> np.ndarray:
+    """Steps between all nodes of a tree whose nodes come after their parents."""
+    d = np.zeros((len(parents), len(parents)))
+    for i, p in enumerate(parents):
+        if p is not None:
+            d[i, :i] = d[:i, i] = d[p, :i] + 1
+    return d
+
+
+def grid_distances(side: int) -> np.ndarray:
+    """Steps between all points of a square grid, row by row."""
+    at = np.array([(i, j) for i in range(side) for j in range(side)])
+    return np.abs(at[:, None] - at[None]).sum(-1).astype(float)
+
+
+def counter_gap(left: Column, right: Column) -> Column:
+    """One less the share that two counters (maps of counts) have in common: 0 where both are empty."""
+    keys = F.array_union(F.map_keys(left), F.map_keys(right))
+    at = lambda m, k: F.coalesce(F.element_at(m, k), F.lit(0)).cast("double")
+    common = F.aggregate(keys, F.lit(0.0), lambda a, k: a + F.least(at(left, k), at(right, k)))
+    most = F.aggregate(keys, F.lit(0.0), lambda a, k: a + F.greatest(at(left, k), at(right, k)))
+    return F.when(most > 0, 1 - common / most).otherwise(0.0)
+
+
+#: Weights of the gap of shapes, of labels and of child counts.
+GAP_WEIGHTS = (0.5, 0.3, 0.2)
+
+
+def structural_gap(left_shape: Column, right_shape: Column, labels: Column, degrees: Column) -> Column:
+    """Gap of two trees, 1 at most: the mean relative gap of their shapes (arrays of numbers), and counter_gap() of labels and of child counts, weighted."""
+    gaps = F.zip_with(left_shape, right_shape, lambda x, y: F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1.0)))
+    mean = F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x) / F.size(gaps)
+    return F.least(F.lit(1.0), GAP_WEIGHTS[0] * mean + GAP_WEIGHTS[1] * labels + GAP_WEIGHTS[2] * degrees)
+
+
+def hard_negatives(pairs: DataFrame, least_gap: float = 0.05) -> DataFrame:
+    """anchor, item and score of each anchor's hardest other of pairs(anchor, item, similarity, gap): the largest similarity times gap.
+
+    Only gaps of least_gap or more count where an anchor has any, else the largest gap wins. Ties go to the larger
+    similarity, then gap, then item. One aggregate.
+    """
+    score = F.col("similarity") * F.col("gap")
+    near = F.struct(score.alias("first"), F.col("similarity").alias("second"), F.col("gap").alias("third"), F.col("item").alias("item"))
+    far = F.struct(F.col("gap").alias("first"), F.col("similarity").alias("second"), F.lit(0.0).alias("third"), F.col("item").alias("item"))
+    found = pairs.where("anchor != item").groupBy("anchor").agg(F.max(F.when(F.col("gap") >= least_gap, near)).alias("near"), F.max(far).alias("far"))
+    return found.select("anchor", F.coalesce("near.item", "far.item").alias("item"), F.coalesce(F.col("near.first"), F.col("far.first") * F.col("far.second")).alias("score"))
+
+
+def typed_branch(up: Column, down: Column) -> Column:
+    """A path as text: labels from one end up to the common ancestor (^), and from there down to the other end (_)."""
+    return F.concat(F.array_join(up, "^"), F.when(F.size(down) > 0, F.concat(F.lit("_"), F.array_join(down, "_"))).otherwise(F.lit("")))
+
+
+def path_features(paths: DataFrame, tree: str, weights: dict[str, float]) -> DataFrame:
+    """tree, feature and weight of path tables (tree, start, end, lca labels and length): weighted counts of each named view of a path.
+
+    Views: lca, start, end, triple, length. Ends count alike in both orders in a triple.
+    """
+    first, second = F.least("start", "end"), F.greatest("start", "end")
+    views = {"lca": F.col("lca"), "start": F.col("start"), "end": F.col("end"), "triple": F.concat_ws("~", first, "lca", second), "length": F.col("length").cast("string")}
+    parts = F.array(*[F.struct(F.concat(F.lit(f"{v}="), views[v]).alias("feature"), F.lit(float(w)).alias("w")) for v, w in weights.items()])
+    return paths.select(tree, F.explode(parts).alias("p")).groupBy(tree, "p.feature").agg(F.sum("p.w").alias("weight"))

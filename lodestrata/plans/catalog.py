@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import distance, hashing, text
 from lodestrata.operators import corpus, features, graphs, retrieval, sampling, stats, transport, trees
-from lodestrata.plans import evaluation  # noqa: F401  registers its queries
+from lodestrata.plans import evaluation, structures  # noqa: F401  register their queries
 from lodestrata.plans.registry import BEACON, INNER, ORACLE_SQL, OUTER, QUERIES, hmac_sql, nul_joined, query, read, rounded
 from lodestrata.streaming import events as streams
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
-from lodestrata.operators import measures
+from lodestrata.operators import inference, measures
 from lodestrata.plans.registry import query, read, rounded
 
 # Predictions: event types of each user, scored by how often they are, true where their mean value is above the table's
@@ -282,3 +282,87 @@ def kinds_of_properties(spark, sf_dir):
 def safe_page_paths(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").where("url IS NOT NULL")
     return pages.select("page_id", text.is_safe_path(F.regexp_extract("url", "://[^/?#]*/([^?#]*)", 1)).alias("safe"))
+
+
+# Resampling
+
+
+def taxed(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(F.avg("l_tax"), 9).alias("tax"), F.round(F.avg("l_discount"), 9).alias("discount"))
+
+
+def resample_sql(units: str, seed: str, replicates: int, n: str = "n") -> str:
+    """SQL of inference.resampled() over a query of c, n and s."""
+    return f"""WITH u AS ({units}), i AS (SELECT row_number() OVER (ORDER BY c) - 1 AS i, n, s FROM u), k AS (SELECT count(*) AS units, sum(s) / sum(n) AS mean FROM i),
+  d AS (SELECT rep, ('0x' || substr(sha256('{seed}|' || rep || '|' || j), 1, 8))::BIGINT % units AS i FROM k, range({replicates}) r(rep), range((SELECT units FROM k)) q(j)),
+  m AS (SELECT rep, sum(s) / sum(n) AS m FROM d JOIN i USING (i) GROUP BY rep), b AS (SELECT list_sort(list(m)) AS l FROM m)
+  SELECT units AS {n}, round(mean, 6) AS mean, round(l[least(floor(0.025 * len(l))::INT + 1, len(l))], 6) AS low, round(l[least(floor(0.975 * len(l))::INT + 1, len(l))], 6) AS high FROM k, b"""
+
+
+TAXED = "SELECT l_suppkey AS c, 1 AS n, round(avg(l_discount), 9) - round(avg(l_tax), 9) AS s FROM lineitem GROUP BY 1"
+
+
+@query(resample_sql(TAXED, "pairs", 60))
+def paired_resampling(spark, sf_dir):
+    return rounded(inference.paired_bootstrap(taxed(spark, sf_dir), "tax", "discount", "l_suppkey", 60, "pairs"), 6, "mean", "low", "high")
+
+
+@query(resample_sql("SELECT c_nationkey AS c, count(*) AS n, sum(c_acctbal) AS s FROM customer GROUP BY 1", "nations", 200, "clusters"))
+def nation_resampling(spark, sf_dir):
+    return rounded(inference.cluster_bootstrap(read(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", 200, "nations"), 6, "mean", "low", "high")
+
+
+@query(f"""WITH d AS ({TAXED}), k AS (SELECT count(*) AS n, avg(s) AS mean FROM d), m AS (SELECT rep, avg(CASE WHEN ('0x' || substr(sha256('flips|' || rep || '|' || c), 1, 8))::BIGINT % 2 = 0 THEN s ELSE -s END) AS m FROM d, range(99) r(rep) GROUP BY rep)
+  SELECT n, round(mean, 6) AS mean, CASE WHEN mean > 0 THEN ((SELECT count(*) FROM m WHERE m >= mean - 1e-12) + 1) / 100 ELSE 1 END AS p_value FROM k""")
+def sign_flipping(spark, sf_dir):
+    return rounded(inference.sign_flips(taxed(spark, sf_dir), "tax", "discount", "l_suppkey", 99, "flips"), 6, "mean")
+
+
+@query(f"""SELECT *, low > 0 AS statistical, mean >= 0.001 AS practical, low > 0 AND mean >= 0.001 AS success FROM ({resample_sql(TAXED, "contrast", 40)})""")
+def discount_contrast(spark, sf_dir):
+    deltas = taxed(spark, sf_dir).withColumn("d", F.col("discount") - F.col("tax"))
+    return rounded(inference.contrast(deltas, "l_suppkey", "d", 40, "contrast", 0.001), 6, "mean", "low", "high")
+
+
+@query("""WITH v AS (SELECT n_regionkey AS r, n_nationkey::DOUBLE AS x FROM nation), k AS (SELECT r, list(x ORDER BY x) AS l FROM v GROUP BY r), m AS (SELECT r, l, (l[1 + a] + l[1 + b] + l[1 + c] + l[1 + d] + l[1 + e]) / 5 AS m FROM k, range(5) t1(a), range(5) t2(b), range(5) t3(c), range(5) t4(d), range(5) t5(e))
+  SELECT r AS n_regionkey, 5 AS n, round(any_value(list_avg(l)), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY r""")
+def exact_region_bounds(spark, sf_dir):
+    rows = read(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").cast("double").alias("x"))
+    return rounded(inference.exact_bounds(rows, ["n_regionkey"], "x"), 6, "mean", "low", "high")
+
+
+@query("""WITH b AS (SELECT s_suppkey AS k, s_acctbal AS v, n_regionkey AS g, row_number() OVER (ORDER BY s_suppkey) AS i FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  d AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN '' ELSE sha256('eta|' || rep || '|' || k) END, k) AS i FROM b, range(100) r(rep)),
+  s AS (SELECT rep, g, count(*) AS n, sum(d.v) AS s, sum(d.v * d.v) AS q FROM d JOIN b USING (i) GROUP BY ALL), e AS (SELECT rep, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(q) - sum(s) * sum(s) / sum(n)) AS e FROM s GROUP BY rep)
+  SELECT round(o.e, 6) AS eta_squared, ((SELECT count(*) FROM e WHERE rep > 0 AND e >= o.e - 1e-12) + 1) / 100 AS p_value FROM e o WHERE rep = 0""")
+def region_permutations(spark, sf_dir):
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    return rounded(inference.permutation_eta(read(spark, sf_dir, "supplier").join(nations, "s_nationkey"), "s_acctbal", "n_regionkey", "s_suppkey", 99, "eta"), 6, "eta_squared")
+
+
+@query("""WITH b AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 2) AS x, count(*) AS y FROM customer GROUP BY 1), r AS (SELECT o.k AS o, b.k, rank() OVER (PARTITION BY o.k ORDER BY b.x) + (count(*) OVER (PARTITION BY o.k, b.x) - 1) / 2 AS rx, rank() OVER (PARTITION BY o.k ORDER BY b.y) + (count(*) OVER (PARTITION BY o.k, b.y) - 1) / 2 AS ry FROM b, b o WHERE b.k != o.k),
+  c AS (SELECT o, corr(rx, ry) AS c FROM r GROUP BY o) SELECT count(*) AS n, round(min(c), 6) AS rho_min, round(max(c), 6) AS rho_max FROM c""")
+def balance_without_one(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("x"), F.count("*").alias("y")).withColumn("all", F.lit(1))
+    found = inference.spearman_study(rows, ["all"], "x", "y", "c_nationkey", iterations=50)
+    return rounded(found, 6, "rho_min", "rho_max").select("n", "rho_min", "rho_max")
+
+
+@query("""WITH c AS (SELECT user_id % 20 AS c, event_type || floor(value / 20)::BIGINT AS u, count(*) AS n FROM events GROUP BY ALL), o AS (SELECT sim, c, row_number() OVER (PARTITION BY sim ORDER BY sha256('attrition|' || sim || '|' || c), c) AS p FROM (SELECT DISTINCT c FROM c), range(10) r(sim)),
+  d AS (SELECT sim, c.c, u, n, CASE WHEN p <= 12 THEN 'train' WHEN p <= 19 THEN 'validation' ELSE 'test' END AS role FROM o JOIN c ON o.c = c.c), g AS (SELECT *, max((role = 'test')::INT) OVER (PARTITION BY sim, u) AS gone FROM d),
+  t AS (SELECT sim, c, sum(n) AS n, sum(CASE WHEN gone = 0 THEN n ELSE 0 END) AS kept FROM g WHERE role = 'train' GROUP BY ALL) SELECT sim AS simulation, sum(n) AS programs, sum(kept) AS retained, sum((kept >= 5)::INT) AS "full", min(kept) AS fewest FROM t GROUP BY sim""")
+def user_attrition(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("c"), F.concat("event_type", F.floor(F.col("value") / 20).cast("string")).alias("u"))
+    return inference.attrition(rows, "c", "u", (12, 7, 1), 10, "attrition", 5)
+
+
+@query("""SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('sample|' || c_custkey), c_custkey) AS n FROM customer) WHERE n <= 25""")
+def sampled_customers(spark, sf_dir):
+    return inference.digest_sample(read(spark, sf_dir, "customer"), ["c_mktsegment"], "c_custkey", 25, "sample").select("c_mktsegment", "c_custkey")
+
+
+@query("""SELECT item_id, array_to_string(list_sort(list_transform(list_slice(list_sort(list_transform(range(len(t)), lambda i: {'d': sha256(item_id || '|' || i), 'i': i})), 1, 5), lambda x: x.i)), ',') AS places
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark)""")
+def sampled_places(spark, sf_dir):
+    words = F.transform(text.tokens(F.col("text")), lambda x, i: i)
+    return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(inference.sampled_contexts(words, 5, F.col("item_id")), ",").alias("places"))
