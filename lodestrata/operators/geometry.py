@@ -17,6 +17,8 @@ from lodestrata.operators.transport import entropic_objective, exp0, log0, mobiu
 
 #: How close to the rim a point of the ball may lie.
 RIM = 1e-5
+#: Steps of a transport plan, at most: it ends once its sums are right.
+ITERATIONS = 3000
 
 
 def into_ball(x: np.ndarray, curvature: float) -> np.ndarray:
@@ -86,7 +88,7 @@ class Product:
         return np.minimum(direct, self.ordered(left.points, right.points[:, [0, 2, 1]]) + self.side_cost(left.side, turned))
 
     def plan(self, left: Measure, right: Measure, epsilon: float) -> np.ndarray:
-        return sinkhorn_plan(self.cost(left, right), left.mass, right.mass, epsilon)
+        return sinkhorn_plan(self.cost(left, right), left.mass, right.mass, epsilon, ITERATIONS)
 
     def scaled(self, measure: Measure, factors: tuple[float, ...]) -> Measure:
         """The measure with each factor's points scaled."""
@@ -238,6 +240,6 @@ def sinkhorn_divergence_of(product: Product, left: Measure, right: Measure, epsi
 
     def value(a: Measure, b: Measure) -> float:
         cost = product.cost(a, b)
-        return entropic_objective(sinkhorn_plan(cost, a.mass, b.mass, epsilon), cost, a.mass, b.mass, epsilon)
+        return entropic_objective(sinkhorn_plan(cost, a.mass, b.mass, epsilon, ITERATIONS), cost, a.mass, b.mass, epsilon)
 
     return value(left, right) - (value(left, left) + value(right, right)) / 2
