@@ -3,7 +3,8 @@
 Merges run from a priority queue of merge ranks over a doubly linked symbol list; queue entries
 whose symbols have changed meanwhile are skipped as stale. Decoding joins vocabulary strings.
 
-Each white-space separated chunk is encoded once and remembered in a bounded cache of the worker.
+Each white-space separated chunk and each piece of one is encoded once and remembered in one bounded cache
+of the worker: what is a piece by itself has the same ids as a chunk and as a part of one.
 The text rules are those of the vocabulary file: NFC, white space dropped, lower case, special
 tokens cut out first, pieces by the file's pattern, one vocabulary string per byte with a word end.
 """
@@ -25,7 +26,7 @@ from lodestrata.llm.shared import bound_batches
 
 #: Chunks and pieces remembered by a worker in each of two generations (about 250 bytes each), and
 #: the longest one worth remembering.
-CACHE_CHUNKS, CACHE_PIECES, CACHE_CHARS = 150_000, 200_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 #: Factors that put two symbols, and a rank and a place in a piece, into one number.
 PAIR, PLACES = 1 << 32, 1 << 40
 #: Unicode's White_Space characters.
@@ -84,7 +85,7 @@ class WordBpe:
         letters = byte_letters()
         self.symbols = [self.vocab.get(letters[b]) for b in range(256)]
         self.last_symbols = [self.vocab.get(letters[b] + self.end) for b in range(256)]
-        self.known, self.known_pieces = Remembered(CACHE_CHUNKS), Remembered(CACHE_PIECES)
+        self.known = Remembered(CACHE_ENTRIES)
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, lowest rank first and leftmost first among equals."""
@@ -112,16 +113,17 @@ class WordBpe:
         return [s for s in sym if s >= 0]
 
     def piece_ids(self, piece: str) -> bytes:
-        """Packed ids of a piece."""
-        known = self.known_pieces
-        found = known.get(piece)
-        if found is None and (found := known.recall(piece)) is None:
+        """Packed ids of a piece. One that holds < might be a special token as a chunk, and is not remembered."""
+        known = self.known
+        found = known.get(piece) if "<" not in piece else None
+        if found is None and ("<" in piece or (found := known.recall(piece)) is None):
             data, of = piece.encode(), self.symbols
             symbols = [s for b in data[:-1] if (s := of[b]) is not None]
             if (last := self.last_symbols[data[-1]]) is not None:
                 symbols.append(last)
             found = pack(f"<{len(out)}I", *out) if (out := self.merged(symbols)) else b""
-            known.keep(piece, found)
+            if "<" not in piece:
+                known.keep(piece, found)
         return found
 
     def plain_ids(self, chunk: str) -> bytes:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import bound_batches
+from lodestrata.llm.shared import bound_batches, give_back
 
 #: Shapes of passages and windows, in words.
 PASSAGE, STEP, WINDOW = 48, 8, 24
@@ -466,6 +466,7 @@ def searched(sent):
     @F.pandas_udf(LEAKS)
     def leaks(texts: pd.Series) -> pd.Series:
         found = sent.value.leaks(texts.tolist())
+        give_back()
         return pd.Series([[{"item_id": i, "share": s} for i, s in own] for own in found], dtype=object)
 
     return leaks

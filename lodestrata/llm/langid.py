@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import bound_batches, held_out
+from lodestrata.llm.shared import bound_batches, give_back, held_out
 
 #: Bounds of the training sample: documents of each language, and symbols of each language's automaton.
 SAMPLE_DOCS, TRAIN_SYMBOLS = 60, 24_000
@@ -207,6 +207,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         langs, score = model.predict(texts.tolist())
+        give_back()
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
     own = "__lang"

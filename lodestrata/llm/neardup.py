@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import bound_batches, forget, written
+from lodestrata.llm.shared import bound_batches, forget, give_back, written
 
 #: Hashes kept of each set, and how many of them are listed.
 SKETCH, LISTED = 64, 32
@@ -120,6 +120,7 @@ def sketches(df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     @F.pandas_udf("n long, set_id binary, sketch array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         rows = [(len(s), xxhash.xxh3_128_digest(s.tobytes()), s[:SKETCH].view("i8").copy()) for s in shingle_sets(texts.tolist(), width)]
+        give_back()
         return pd.DataFrame(rows, columns=["n", "set_id", "sketch"])
 
     words = F.col(text).cast("string")
@@ -156,6 +157,7 @@ def full_sets(df: DataFrame, nodes: DataFrame, doc_id: str, text: str, width: in
     @F.pandas_udf("id binary, s array<long>")
     def full(texts: pd.Series) -> pd.DataFrame:
         rows = [(xxhash.xxh3_128_digest(s.tobytes()), s.view("i8")) for s in shingle_sets(texts.tolist(), width)]
+        give_back()
         return pd.DataFrame(rows, columns=["id", "s"])
 
     texts = df.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import bound_batches, held_out
+from lodestrata.llm.shared import bound_batches, give_back, held_out
 
 #: Bounds of the training sample (documents, their bytes together and each), lines of a chain, steps and rate of the ascent, and the penalty on large weights.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_TEXT, TRAIN_LINES, STEPS, RATE, PENALTY = 3_000, 16_000_000, 1_000_000, 64, 150, 0.15, 1e-3
@@ -316,7 +316,9 @@ def rate(df: DataFrame, model: LineModel, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.tolist()))
+        out = pd.Series(model.score(texts.tolist()))
+        give_back()
+        return out
 
     got = df.withColumn("score", scored(F.col(text).cast("string")))
     return got.withColumn("predicted", (F.col("score") >= GOOD).cast("int"))
