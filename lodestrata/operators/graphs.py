@@ -11,11 +11,18 @@ from lodestrata.functions.text import path_prefixes
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again, which ends its lineage."""
+    """df written to the folder of spark.checkpoint.dir and read again, which ends its lineage.
+
+    Only where all runs on one machine (tests) may the setting be missing; a temporary folder serves then.
+    """
     import tempfile
 
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir: set it to a folder that the driver and all executors share")
+        folder = tempfile.gettempdir()
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -150,7 +150,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     n = df.where(F.col(value).isNotNull()).count()
     places = sorted({i * n // bins for i in range(1, bins)}) if n else []
     counts = by_value(df, value).withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    cuts = [counts.where(F.col("upto") > p).agg(F.min(value)).first()[0] for p in places]
+    cuts = list(counts.agg(*[F.min(F.when(F.col("upto") > p, F.col(value))) for p in places]).first()) if places else []
     return df.withColumn("bin", sum(((F.col(value) > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
 
 

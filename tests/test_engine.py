@@ -257,7 +257,7 @@ def test_entry_without_llm():
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and catalog.FLAGSHIP in catalog.QUERIES
 
 
-def test_sparse_cosine_stated_takes_every_stated_query(spark, tmp_path):
+def test_sparse_cosine_takes_every_stated_query(spark, tmp_path):
     rng = random.Random(5)
     docs = {i: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 2) for _ in range(rng.randint(1, 12))) for i in range(0, 101, 5)}
     spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -269,7 +269,7 @@ def test_sparse_cosine_stated_takes_every_stated_query(spark, tmp_path):
     for q in (i for i in docs if i % 20 == 0):
         met = [sum(weights[q][w] * weights[d][w] for w in bags[q].keys() & bags[d].keys()) / norm[q] / norm[d] for d in docs if d != q and bags[q].keys() & bags[d].keys()]
         want[q] = (len(met), max(met), sum(met) / len(met))
-    got = {r["query"]: (r.met, r.best, r.mean) for r in catalog.QUERIES["sparse_cosine_stated"](spark, str(tmp_path)).collect()}
+    got = {r["query"]: (r.met, r.best, r.mean) for r in catalog.QUERIES["sparse_cosine"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and len(want) == 6
     assert all(got[q][0] == want[q][0] and abs(got[q][1] - want[q][1]) < 1e-4 and abs(got[q][2] - want[q][2]) < 1e-4 for q in want)
 
