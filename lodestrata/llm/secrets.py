@@ -148,15 +148,18 @@ def branch(node, f: Column) -> Column:
     return F.when(f[FEATURES[split.featureIndex()]] <= F.lit(split.threshold()), branch(node.leftChild(), f)).otherwise(branch(node.rightChild(), f))
 
 
-#: What stands before a value that is assigned to a name of a secret.
-ASSIGNING = r"(?i:" + "|".join(NAMES) + r")[\w\-]{0,20}[\"'`]?\s{0,3}(?:=>|:=|[:=])\s{0,3}[\"'`]?"
-#: Such a value (up to its closing quote, or else a space or quote), the header of a private key, and a run alone.
-VALUE = r"(?<=[:=>][\s\"'`]{0,4})(?<=" + ASSIGNING + r")(?:(?<=\")[^\"\r\n]{1,500}(?=\")|(?<=')[^'\r\n]{1,500}(?=')|(?<=`)[^`\r\n]{1,500}(?=`)|[^\s\"'`=:>][^\s\"'`]*(?<![.,;:)\]}]))"
+#: The sign that assigns a value, what stands before it where the value is of a secret's name, and what of a run comes before its value.
+SIGN = r"(?:=>|:=|[:=])"
+NAMED = r"(?i:" + "|".join(NAMES) + r")[\w\-]{0,20}[\"'`]?\s{0,3}" + SIGN
+LEAD = "^" + SIGN + r"\s{0,3}[\"'`]?"
+#: The header of a private key, with the key if its end is there; an assigned value with its sign (up to its closing
+#: quote, or else a space or quote); and a run alone. The sign comes first, so that names are looked for only before signs.
 KEY = HEADER + r"(?: BLOCK)?-----(?:[A-Za-z0-9+/=:,.\s\-]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?"
+VALUE = SIGN + f"(?<={NAMED})" + r"\s{0,3}(?:[\"'`]?" + KEY + r"|\"[^\"\r\n]{1,500}(?=\")|'[^'\r\n]{1,500}(?=')|`[^`\r\n]{1,500}(?=`)|[\"'`]?[^\s\"'`=:>][^\s\"'`]*(?<![.,;:)\]}]))"
 LONG = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}(?![A-Za-z0-9+/_\-])"
 #: The pattern of a candidate, used to split a text into what lies between them, too; and of a text that may hold any.
-RUN = f"(?:{KEY}|{VALUE}|{LONG})"
-SOME = r"[A-Za-z0-9+/_\-]{16}|" + ASSIGNING + "|" + HEADER
+RUN = f"(?:{VALUE}|{LONG}|{KEY})"
+SOME = f"[A-Za-z0-9+/_\\-]{{16}}|{SIGN}(?<={NAMED})|{HEADER}"
 #: Of runs that nothing is assigned to: those that are candidates.
 SECRET_LIKE = rf"[0-9]|[a-z][^a-z]*[A-Z]|[A-Z][^A-Z]*[a-z]|^(?:{'|'.join(PREFIXES)}|{HEADER})"
 
@@ -167,45 +170,43 @@ def scan(df: DataFrame, score, text: str = "text", marker: str = "[SECRET]") ->
     start counts characters from 1; findings are in text order and hold the rejected candidates too.
     redacted replaces each secret by marker. A null text gives null in redacted and an empty array;
     so does a text without candidates, which is redacted to itself. Repeated values are found each
-    time, and each is judged by its own neighbours. Extra columns stay; those named like a result
-    are replaced. Row by row: very long texts are scanned whole, rows repeat as they are.
+    time, and each is judged by its own neighbours: the run before it with what lies between, and what
+    follows. Extra columns stay, whatever their names; those named like a result are replaced. Row by row:
+    very long texts are scanned whole, in time that grows with their length and the square of the number of
+    their candidates (one addition each); rows repeat as they are, and an empty table gives an empty result.
     """
+    own = "__"
+    while any(c.startswith(own) for c in df.columns):
+        own += "_"
+    runs, gaps, items, starts, scores = (F.col(own + n) for n in ("runs", "gaps", "items", "starts", "scores"))
     whole = F.col(text).cast("string")
     source = F.when(whole.rlike(SOME), whole)  # the rest has no candidate
-    runs = F.regexp_extract_all(source, F.lit(f"({RUN})"), F.lit(1))
-    gaps = F.split(source, RUN)
-    df = df.withColumns({"__runs": F.when(F.size(runs) > 0, runs), "__text": whole})
-    df = df.withColumn("__gaps", F.when(F.col("__runs").isNotNull(), gaps))
-    # start of each run: gaps and runs alternate, the first gap may be empty
-    lengths = F.zip_with("__gaps", "__runs", lambda g, r: F.struct(F.length(g).alias("g"), F.coalesce(F.length(r), F.lit(0)).alias("r")))
-    empty = F.array().cast("array<int>")
-    ends = F.aggregate(lengths, F.struct(F.lit(1).alias("at"), empty.alias("starts")), lambda acc, x: F.struct((acc["at"] + x["g"] + x["r"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["g"])).alias("starts")))
-    df = df.withColumn("__starts", F.when(F.col("__runs").isNotNull(), ends["starts"]))
-    assigned = lambda c: F.substring(F.col("__text"), F.greatest(c["start"] - 60, F.lit(1)), F.least(c["start"] - 1, F.lit(60))).rlike(ASSIGNING + "$")
-    likely = lambda c: c["value"].rlike(SECRET_LIKE) | assigned(c)
-    placed = F.filter(F.zip_with("__runs", F.slice("__starts", 1, F.size("__runs")), lambda r, s: F.struct(s.alias("start"), r.alias("value"))), likely)
-
-    def feature(c: Column) -> Column:
-        before = F.substring(F.col("__text"), F.greatest(c["start"] - 60, F.lit(1)), F.least(c["start"] - 1, F.lit(60)))
-        after = F.substring(F.col("__text"), c["start"] + F.length(c["value"]), F.lit(30))
-        return F.struct(c["start"].alias("start"), c["value"].alias("value"), described(c["value"], before, after).alias("f"))
-
-    df = df.withColumn("__candidates", F.transform(placed, feature))
-    judged = F.transform("__candidates", lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), score(c["f"]).alias("score")))
-    df = df.withColumn("__scored", judged)
+    df = df.withColumns({own + "text": whole, own + "found": F.regexp_extract_all(source, F.lit(f"({RUN})"), F.lit(1))})
+    df = df.withColumn(own + "runs", F.when(F.size(own + "found") > 0, F.col(own + "found"))).drop(own + "found")
+    df = df.withColumn(own + "gaps", F.when(runs.isNotNull(), F.split(F.col(own + "text"), RUN)))
+
+    def item(r: Column, i: Column) -> Column:
+        lead = F.regexp_extract(r, LEAD, 0)
+        before = F.concat(F.coalesce(F.get(runs, i - 1), F.lit("")), F.get(gaps, i), lead)
+        after = F.concat(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.coalesce(F.get(runs, i + 1), F.lit("")))
+        return F.struct(lead.alias("lead"), F.substr(r, F.length(lead) + 1).alias("value"), F.right(before, F.lit(60)).alias("before"), F.left(after, F.lit(30)).alias("after"))
+
+    df = df.withColumn(own + "items", F.transform(runs, item))
+    # start of each value: gaps and runs alternate, the first gap may be empty
+    lengths = F.zip_with(F.slice(gaps, 1, F.size(runs)), F.zip_with(runs, items, lambda r, c: F.struct(F.length(r).alias("r"), F.length(c["lead"]).alias("l"))), lambda g, x: F.struct(F.length(g).alias("g"), x["r"].alias("r"), x["l"].alias("l")))
+    ends = F.aggregate(lengths, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, x: F.struct((acc["at"] + x["g"] + x["r"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["g"] + x["l"])).alias("starts")))
+    likely = lambda c: (c["lead"] != "") | c["value"].rlike(SECRET_LIKE) | c["before"].rlike(NAMED + r"\s{0,3}[\"'`]?$")
+    df = df.withColumn(own + "starts", ends["starts"])
+    df = df.withColumn(own + "described", F.transform(items, lambda c: F.when(likely(c), described(c["value"], c["before"], c["after"]))))
+    df = df.withColumn(own + "scores", F.transform(own + "described", lambda f: F.when(f.isNotNull(), score(f))))
     kind = "array<struct<start: int, value: string, score: double, is_secret: boolean>>"
-    findings = F.coalesce(F.transform("__scored", lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= THRESHOLD).alias("is_secret"))), F.array()).cast(kind)
-    df = df.withColumn("findings", findings)
-    secrets = F.filter("findings", lambda c: c["is_secret"])
+    judged = F.zip_with(F.zip_with(starts, items, lambda s, c: F.struct(s.alias("start"), c["value"].alias("value"))), scores, lambda x, p: F.struct(x["start"].alias("start"), x["value"].alias("value"), p.alias("score"), (p >= THRESHOLD).alias("is_secret")))
+    findings = F.coalesce(F.filter(judged, lambda c: c["score"].isNotNull()), F.array()).cast(kind)
     # what lies between the secrets, joined again around the marker
-    cut = F.aggregate(
-        secrets,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, c: F.struct((c["start"] + F.length(c["value"])).alias("at"), F.concat(acc["parts"], F.array(F.substring(F.col("__text"), acc["at"], c["start"] - acc["at"]), F.lit(marker))).alias("parts")),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("__text"), acc["at"], F.length("__text"))),
-    )
-    redacted = F.when(F.exists("findings", lambda c: c["is_secret"]), cut).otherwise(F.col("__text"))
-    return df.withColumn("redacted", redacted).drop("__runs", "__gaps", "__starts", "__candidates", "__scored", "__text")
+    kept = F.transform(items, lambda c, i: F.concat(F.get(gaps, i), c["lead"], F.when(F.get(scores, i) >= THRESHOLD, F.lit(marker)).otherwise(c["value"])))
+    joined = F.concat(F.array_join(kept, ""), F.coalesce(F.get(gaps, F.size(runs)), F.lit("")))
+    redacted = F.when(F.exists(scores, lambda p: F.coalesce(p >= THRESHOLD, F.lit(False))), joined).otherwise(F.col(own + "text"))
+    return df.withColumns({"findings": findings, "redacted": redacted}).drop(*[own + n for n in ("text", "runs", "gaps", "items", "starts", "described", "scores")])
 
 
 def scanner(spark: SparkSession):
@@ -216,4 +217,5 @@ def scanner(spark: SparkSession):
 def found_secrets(df: DataFrame) -> DataFrame:
     """Per candidate of every document: doc_id, start, value, score, is_secret."""
     got = scan(df.select("doc_id", "text"), scanner(df.sparkSession))
-    return got.select("doc_id", F.explode("findings").alias("finding")).select("doc_id", "finding.*")
+    # an outer explode asks nothing of the array beforehand, which would work it out twice
+    return got.select("doc_id", F.explode_outer("findings").alias("finding")).where("finding IS NOT NULL").select("doc_id", "finding.*")
