@@ -49,7 +49,8 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.rendered(chat.roles(transcripts(table(spark, sf_dir, "conversations")))).drop("content")
+    conversations = table(spark, sf_dir, "conversations")
+    return chat.rendered(chat.roles(transcripts(conversations), model=chat.fit(conversations))).drop("content")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
