@@ -4,7 +4,7 @@ Merges run from a priority queue of merge ranks over a doubly linked symbol list
 whose symbols have changed meanwhile are skipped as stale. Decoding joins vocabulary strings.
 
 Each white-space separated chunk and each piece of one is encoded once and remembered in one bounded cache
-of the worker: what is a piece by itself has the same ids as a chunk and as a part of one.
+of the task: what is a piece by itself has the same ids as a chunk and as a part of one.
 The text rules are those of the vocabulary file: NFC, white space dropped, lower case, special
 tokens cut out first, pieces by the file's pattern, one vocabulary string per byte with a word end.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
@@ -22,9 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import bound_batches
+from lodestrata.llm.shared import bound_batches, give_back
 
-#: Chunks and pieces remembered by a worker in each of two generations (about 250 bytes each), and
+#: Chunks and pieces remembered by a task in each of two generations (about 250 bytes each), and
 #: the longest one worth remembering.
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 #: Factors that put two symbols, and a rank and a place in a piece, into one number.
@@ -183,10 +184,15 @@ def encode_decode(df: DataFrame, vocab_path: str, text: str = "text") -> DataFra
     bound_batches(df.sparkSession)
 
     @F.pandas_udf("token_ids binary, decoded string")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = loaded(vocab_path)
-        ids = [bpe.encode(t or "") for t in texts]
-        return pd.DataFrame({"token_ids": ids, "decoded": [bpe.decode(x) for x in ids]})
+        try:
+            for texts in batches:
+                ids = [bpe.encode(t or "") for t in texts]
+                yield pd.DataFrame({"token_ids": ids, "decoded": [bpe.decode(x) for x in ids]})
+        finally:  # the worker goes on to other tasks, which may be of other operators
+            bpe.known = Remembered(CACHE_ENTRIES)
+            give_back()
 
     got = df.withColumn("__bpe", both(F.col(text).cast("string")))
     return got.withColumns({"token_ids": F.col("__bpe.token_ids"), "decoded": F.col("__bpe.decoded"), "n_tokens": (F.octet_length("__bpe.token_ids") / 4).cast("long")}).drop("__bpe")

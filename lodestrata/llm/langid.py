@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.shared import bound_batches, give_back, held_out
 
 #: Bounds of the training sample: documents of each language, and symbols of each language's automaton.
-SAMPLE_DOCS, TRAIN_SYMBOLS = 60, 24_000
+SAMPLE_DOCS, TRAIN_SYMBOLS = 60, 16_000
 #: Numbers of symbols: a byte that no training text has, and what lies between words. Bytes follow.
 UNKNOWN, GAP = 0, 1
 UNDETERMINED = "und"

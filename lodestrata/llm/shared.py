@@ -22,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes from now on in this session, whatever bound it has: the operators' memory is reckoned by it."""
+    """Bound Arrow batches by bytes from now on in this session, whatever bound it has: the operators' memory is reckoned by it.
+
+    So are the row groups of Parquet files of whole texts, which a task holds while it writes, where the session has no size of its own.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", str(BLOCK_BYTES))
 
 
 def give_back() -> None:
