@@ -1,23 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Terms are the ITEM_TERMS rarest words of each item of the benchmark. One pass over all documents cuts them into passages of PASSAGE
-   words and adds up, by task, document frequencies and the product G @ R of the passages' term
-   Gram matrix G with a random matrix R; Spark sums these by term. The benchmark's own passages
-   join the sums with a weight. That is the range finder of a randomised SVD of the TF-IDF passage
-   matrix: with D the idf diagonal, D G D (D^-1 R) = D (G R), so that idf may come from the same pass.
-2. The orthonormal basis of that range is the latent space (RANK directions), small enough to be
-   shipped: its size is bounded by MAX_TERMS * RANK numbers.
-3. A second pass folds windows of every document into the latent space and takes those whose cosine
-   to an item, against the item's own share in the space, reaches COSINE; items are there by their
-   KEPT_TERMS rarest terms over all documents. Windows step by STEP words
-   and are at least STEP - 1 words longer than the item, so that one of them holds any copy whole.
-   The latent space may miss a paraphrase; a count of words may not: every window that holds PARAPHRASE
-   of an item's words in any order is taken too, found by the item's rarest words (Bound).
+1. Words of all documents are hashed into BUCKETS terms and written, two bytes a word; documents are cut into
+   passages of PASSAGE words. With A the TF-IDF passages, G the Gram matrix of their counts and D the idf
+   diagonal, A^T A is D G D. A first pass adds up, by task, the terms' passage frequencies and G R for a
+   random matrix R; as D is known then, the range of D G R is that of A^T A applied to random directions. A
+   second pass applies A^T A to the basis Q of that range, a power iteration, and the small problem
+   Q^T A^T A Q gives the leading right singular vectors V and their singular values S (RANK of them, without
+   the LEADING first).
+2. A window of words is folded in as S^-1 V^T D n, so that no direction outweighs another for being common.
+   The fold has BUCKETS * RANK numbers and is shipped.
+3. Windows of every document are folded, and those whose cosine to an item reaches COSINE are candidates.
+   Windows step by STEP words and are at least STEP - 1 words longer than the item, so that one of them
+   holds any copy whole. The latent space misses some paraphrases; a count of words does not: every window
+   that holds PARAPHRASE of an item's words in any order is taken too, found by the item's rarest words (Bound).
 4. A candidate is confirmed by the longest common subsequence of the window's and the item's words:
    COPY of the item's words in order, or PARAPHRASE of them and of its answer, the last ANSWER of
    the item. Cheaper, the words in common bound it from above first.
 
-The benchmark is the stated query set; it is taken in blocks of BLOCK items, one pass each.
+The benchmark is the stated query set: the space is made once, and items are searched BLOCK at a time.
 """
 
 from __future__ import annotations
@@ -32,25 +32,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.shared import bound_batches, give_back
+from lodestrata.llm.shared import bound_batches, forget, give_back, written
 
 #: Shapes of passages and windows, in words.
 PASSAGE, STEP, WINDOW = 48, 8, 24
-#: Directions of the latent space, random ones more, and the bound of terms (the rarest are kept).
-RANK, OVERSAMPLE, MAX_TERMS = 56, 8, 60_000
-#: Terms of each item, most and least: its rarest words in the benchmark and the longest of those, beyond
-#: the least only words of no more than two items. The benchmark's weight.
-ITEM_TERMS, LEAST_TERMS, WEIGHT = 14, 8, 10_000.0
-#: Thresholds: relative cosine, and shares of the item's words in the longest common subsequence.
-COSINE, COPY, PARAPHRASE = 0.42, 0.7, 0.5
+#: Directions of the latent space, random ones more, and bits of a term's number.
+RANK, OVERSAMPLE, BUCKET_BITS = 40, 8, 14
+#: Leading directions left out: they tell what a text is in (its language, its kind), which every window of it shares.
+LEADING = 8
+BUCKETS = 1 << BUCKET_BITS
+#: Singular values below this share of the largest are no directions.
+LEAST_VALUE = 1e-4
+#: Thresholds: cosine, and shares of the item's words in the longest common subsequence.
+COSINE, COPY, PARAPHRASE = 0.8, 0.7, 0.5
 #: The last share of an item that counts as its answer, and how much of it a paraphrase must hold.
 ANSWER, ANSWER_SHARE = 0.25, 0.7
 #: Items searched in one pass, and words of documents worked on at once.
-BLOCK, WORDS_AT_ONCE = 500, 250_000
-#: Share of an item's terms that a window must hold before it is folded into the latent space.
-LEAST = 0.3
-#: Rarest terms of each item, by the whole corpus, that the search goes by.
-KEPT_TERMS = 12
+BLOCK, WORDS_AT_ONCE = 500, 60_000
+#: Cosines taken at once, and rows of a term summed at once.
+COSINES_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 8
 #: Words of an item that Bound goes by, besides as many as a confirmed window may lack.
 SURPLUS = 4
 #: Hits of such words, and windows that hold enough of them, that are worked on at once.
@@ -62,10 +62,10 @@ IS_WORD = np.array([n > 127 or chr(n).isalnum() or n == 95 for n in range(256)])
 #: Random odd factors of a byte's value and of its place in a word, which make up the word's hash.
 BYTE_VALUES = np.where(IS_WORD, np.random.default_rng(3).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0))
 PLACE_VALUES = np.random.default_rng(4).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Terms that are summed together as one row of a shuffle.
-TERMS_A_ROW = 64
-#: Counts of words that are summed together as one row of a shuffle.
-COUNTS_A_ROW = 1024
+#: Terms that are summed together as one row of a shuffle, and tasks whose sums meet first.
+TERMS_A_ROW, TASKS_A_SUM = 256, 64
+#: Texts whose terms are worked on at once.
+TEXTS_AT_ONCE = 200
 
 _word = re.compile(r"\w+")
 
@@ -120,17 +120,11 @@ class Spans:
 
 
 class Terms:
-    """The benchmark's words, items and terms; ships to the executors."""
+    """The benchmark's items and their words, numbered; ships to the executors."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.items = [(i, w) for i, t in items if (w := words_of(t))]
-        held = Counter(w for _, ws in self.items for w in set(ws))
-        rare: set[str] = set()
-        for _, ws in self.items:
-            own = sorted(set(ws), key=lambda w: (held[w], -len(w), w))
-            rare |= {*own[:LEAST_TERMS], *[w for w in own[:ITEM_TERMS] if held[w] <= 2]}
-        chosen = sorted(rare, key=lambda w: (held[w], w))[:MAX_TERMS]
-        self.number(chosen)
+        self.number({w for _, ws in self.items for w in ws})
 
     def number(self, chosen) -> None:
         self.of = {w: n for n, w in enumerate(sorted(chosen))}
@@ -144,21 +138,19 @@ class Terms:
             self.slots.append(layer)
             left = left[layer[slots[left]] != left]
 
-    def every(self) -> Terms:
-        """The same items with all their words as terms."""
-        out = copy.copy(self)
-        out.number({w for _, ws in self.items for w in ws})
-        return out
-
-    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, Spans]:
-        """Term numbers (OTHER: no term) of all words of the texts, one after another; words by text; where the words lie.
+    def spans(self, texts: list[str | None]) -> tuple[np.ndarray, Spans]:
+        """Words by text, and where the words of the texts lie, one after another.
 
         Here hashes stand for words, which is fast; words_of() has the last say.
         """
         coded = [t.encode() for t in parted(texts)]
         spans = Spans(b" ".join(coded))
         at = np.cumsum([len(t) + 1 for t in coded])
-        lengths = np.diff(np.searchsorted(spans.starts, np.concatenate([[0], at])))
+        return np.diff(np.searchsorted(spans.starts, np.concatenate([[0], at]))), spans
+
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, Spans]:
+        """Numbers (OTHER: no word of an item) of all words of the texts, words by text, and where they lie."""
+        lengths, spans = self.spans(texts)
         return self.found(spans.hashes), lengths, spans
 
     def found(self, hashes: np.ndarray) -> np.ndarray:
@@ -170,13 +162,6 @@ class Terms:
         numbers[self.hash_of[numbers] != hashes] = OTHER
         return numbers
 
-    def rarest(self, idf: np.ndarray) -> Terms:
-        """The same items with their KEPT_TERMS rarest terms each."""
-        out = copy.copy(self)
-        kept = {w for _, ws in self.items for w in sorted({w for w in ws if w in self.of}, key=lambda w: (-idf[self.of[w]], w))[:KEPT_TERMS]}
-        out.number(kept)
-        return out
-
 
 def placed(numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the chunks that are terms: term number, text number and place in the text."""
@@ -203,41 +188,86 @@ def batches(texts: list[str | None]):
         yield at, texts[at:]
 
 
-def gram_times(numbers: np.ndarray, lengths: np.ndarray, directions: np.ndarray, into: np.ndarray, df: np.ndarray, weight: float = 1.0) -> None:
-    """Add the passages' share of G @ R to into, and of document frequencies to df."""
-    term, doc, place = placed(numbers, lengths)
-    if not len(term):
-        return
-    passage = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (place[1:] // PASSAGE != place[:-1] // PASSAGE)]))
-    starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    projected = np.add.reduceat(directions[term], starts, 0)
-    order = np.argsort(term, kind="stable")
-    ordered = term[order]
-    firsts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    into[ordered[firsts]] += weight * np.add.reduceat(projected[passage[order]], firsts, 0)
-    df[:] += np.bincount(np.unique(doc * len(df) + term) % len(df), minlength=len(df))
+def terms_of(hashes: np.ndarray) -> np.ndarray:
+    """Numbers of words in the latent space."""
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+
+
+def filled(term: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Terms of runs of size words, a row a run; the last run of a text is filled up with BUCKETS, which is no term."""
+    count = -(-lengths // size)
+    shift = (np.cumsum(count) * size - np.cumsum(lengths)) - (count * size - lengths)  # of each text's first word
+    out = np.full(int(count.sum()) * size, BUCKETS, np.intp)
+    out[np.arange(len(term)) + np.repeat(shift, lengths)] = term
+    return out.reshape(-1, size)
 
 
-def latent_space(df: DataFrame, terms: Terms, text: str) -> tuple[np.ndarray, np.ndarray, int, dict[str, int]]:
-    """The term matrix idf * basis of the latent space, the idf of each term, the number of documents, and how often they hold each word of the items."""
-    every = terms.every()
-    count, width, words = len(terms.of), RANK + OVERSAMPLE, len(every.of)
-    sent = df.sparkSession.sparkContext.broadcast((terms, every))
+def run_sums(rows: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Sums of the rows that each run names."""
+    return np.einsum("ijk->ik", rows.take(runs.ravel(), 0).reshape(*runs.shape, rows.shape[1]))
+
+
+def gram_times(term: np.ndarray, lengths: np.ndarray, directions: np.ndarray, into: np.ndarray, seen: np.ndarray) -> int:
+    """Add the passages' share of G times directions to into, and of passage frequencies to seen; the number of passages.
+
+    directions has a row of zeros at its end. Sums go by rows of a fixed number, which is the fast way.
+    """
+    runs = filled(term, lengths, PASSAGE)
+    if not len(runs):
+        return 0
+    projected = np.concatenate([run_sums(directions, runs), np.zeros((1, directions.shape[1]), "f4")])
+    flat = runs.ravel()
+    real = np.flatnonzero(flat < BUCKETS)
+    order = real[np.argsort(flat[real].astype(np.uint16), kind="stable")]
+    ordered, passage = flat[order], order // PASSAGE
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    firsts = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate([firsts, [len(ordered)]]))
+    padded, parts = np.full(int((-(-sizes // ROWS_AT_ONCE)).sum()) * ROWS_AT_ONCE, len(runs), np.intp), -(-sizes // ROWS_AT_ONCE)
+    begin = (np.cumsum(parts) - parts) * ROWS_AT_ONCE
+    padded[np.arange(len(ordered)) + np.repeat(begin - firsts, sizes)] = passage
+    into[ordered[firsts]] += np.add.reduceat(run_sums(projected, padded.reshape(-1, ROWS_AT_ONCE)), np.cumsum(parts) - parts, 0)
+    new[1:] |= passage[1:] != passage[:-1]
+    seen[ordered[firsts]] += np.add.reduceat(new, firsts, dtype=np.int64)
+    return len(runs)
+
+
+def written_terms(df: DataFrame, text: str) -> DataFrame:
+    """t: the terms of every text's words, two bytes each."""
+    splitter = Terms([])
+
+    @F.pandas_udf("binary")
+    def numbered(texts: pd.Series) -> pd.Series:
+        out = []
+        for _, some in batches(texts.tolist()):
+            lengths, spans = splitter.spans(some)
+            term, ends = terms_of(spans.hashes), np.cumsum(lengths)
+            out += [term[a:b].tobytes() for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        give_back()
+        return pd.Series(out, dtype=object)
+
+    return written(df.select(numbered(F.col(text).cast("string")).alias("t")), "terms")
+
+
+def gram_pass(terms: DataFrame, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """G times directions, passage frequencies, and the number of passages of written_terms().
+
+    Each task gives its sums in rows of TERMS_A_ROW terms; TASKS_A_SUM tasks' rows meet first, then theirs.
+    """
+    width = directions.shape[1]
+    sent = terms.sparkSession.sparkContext.broadcast(np.concatenate([directions, np.zeros((1, width))]).astype("f4"))
 
     def add(frames):
-        terms, every = sent.value
-        directions, into, seen, docs = random_directions(count), np.zeros((count, width), "f4"), np.zeros(count, np.int64), 0
-        held = np.zeros(words, np.int64)
+        into, seen, passages = np.zeros((BUCKETS, width), "f4"), np.zeros(BUCKETS, np.int64), 0
         for f in frames:
-            for _, texts in batches(f["text"].tolist()):
-                numbers, lengths, spans = terms.numbers(texts)
-                gram_times(numbers, lengths, directions, into, seen, 1.0)
-                held += np.bincount(every.found(spans.hashes) + 1, minlength=words + 1)[1:]
-                docs += len(texts)
-        if docs:
-            rows = [(k, seen[k : k + TERMS_A_ROW].astype("<i8").tobytes(), into[k : k + TERMS_A_ROW].astype("<f4").tobytes()) for k in range(0, count, TERMS_A_ROW)]
-            rows += [(-2 - k, held[k : k + COUNTS_A_ROW].astype("<i8").tobytes(), b"") for k in range(0, words, COUNTS_A_ROW)]
-            rows.append((-1, np.array([docs], "<i8").tobytes(), b""))
+            texts = f["t"].tolist()
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                some = texts[at : at + TEXTS_AT_ONCE]
+                passages += gram_times(np.frombuffer(b"".join(some), np.uint16), np.array([len(t) // 2 for t in some], np.int64), sent.value, into, seen)
+        give_back()
+        if passages:
+            rows = [(k, seen[k : k + TERMS_A_ROW].astype("<i8").tobytes(), into[k : k + TERMS_A_ROW].astype("<f4").tobytes()) for k in range(0, BUCKETS, TERMS_A_ROW)]
+            rows.append((-1, np.array([passages], "<i8").tobytes(), b""))
             yield pd.DataFrame(rows, columns=["k", "seen", "sums"])
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
@@ -246,25 +276,34 @@ def latent_space(df: DataFrame, terms: Terms, text: str) -> tuple[np.ndarray, np
         return pd.DataFrame({"k": part["k"][:1], "seen": [seen.astype("<i8").tobytes()], "sums": [sums.astype("<f4").tobytes()]})
 
     schema = "k long, seen binary, sums binary"
-    summed = df.select(F.col(text).cast("string").alias("text")).mapInPandas(add, schema).groupBy("k").applyInPandas(total, schema).collect()
-    gram, seen, docs, held = np.zeros((count, width), "f4"), np.zeros(count, np.int64), 0, np.zeros(words, np.int64)
+    parts = terms.mapInPandas(add, schema).withColumn("some", F.floor(F.spark_partition_id() / TASKS_A_SUM))
+    some = parts.groupBy("k", "some").applyInPandas(total, schema)
+    summed = some.groupBy("k").applyInPandas(total, schema).collect()  # BUCKETS / TERMS_A_ROW rows and one
+    gram, seen, passages = np.zeros((BUCKETS, width)), np.zeros(BUCKETS, np.int64), 0
     for r in summed:
-        if r.k == -1:
-            docs = int(np.frombuffer(r.seen, "<i8")[0])
-        elif r.k < 0:
-            found = np.frombuffer(r.seen, "<i8")
-            held[-2 - r.k : -2 - r.k + len(found)] = found
+        found = np.frombuffer(r.seen, "<i8")
+        if r.k < 0:
+            passages = int(found[0])
         else:
-            found = np.frombuffer(r.seen, "<i8")
             seen[r.k : r.k + len(found)] = found
             gram[r.k : r.k + len(found)] = np.frombuffer(r.sums, "<f4").reshape(-1, width)
-    own = np.zeros(count, np.int64)
-    numbers = np.array([terms.of.get(w, -1) for _, ws in terms.items for w in ws], np.int32)
-    gram_times(numbers, np.array([len(ws) for _, ws in terms.items], np.int64), random_directions(count), gram, own, WEIGHT)
-    idf = np.log((docs + len(terms.items) + 1) / (seen + own + 1)) + 0.1
-    basis, scale, _ = np.linalg.svd(idf[:, None] * gram, full_matrices=False)
-    basis = basis[:, : min(RANK, int((scale > 1e-6 * max(scale.max(initial=0), 1e-9)).sum()))]
-    return (idf[:, None] * basis).astype("f4"), idf, docs, dict(zip(every.of, held.tolist(), strict=True))
+    sent.unpersist()
+    return gram, seen, passages
+
+
+def latent_space(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The fold (terms by directions, and a row of zeros) and the passage frequency of each term: a randomised SVD of all documents' passages."""
+    terms = written_terms(df, text)
+    gram, seen, passages = gram_pass(terms, np.random.default_rng(20).standard_normal((BUCKETS, RANK + OVERSAMPLE)))
+    idf = np.log((passages + 1) / (seen + 1.0))
+    basis = np.linalg.qr(idf[:, None] * gram)[0]
+    small = basis.T @ (idf[:, None] * gram_pass(terms, idf[:, None] * basis)[0])
+    forget(terms)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values)[LEADING:RANK]
+    order = order[values[order] > max(values.max(initial=0) * LEAST_VALUE**2, 1e-9)]
+    fold = idf[:, None] * (basis @ vectors[:, order]) / np.sqrt(values[order])
+    return np.concatenate([fold, np.zeros((1, fold.shape[1]))]).astype("f4"), seen
 
 
 class Bound:
@@ -286,7 +325,7 @@ class Bound:
                 taken += own[w]
             self.least[i] = taken - rest
         self.need = PARAPHRASE * np.array([len(ws) for _, ws in terms.items])
-        self.every, self._bags = terms.every(), None
+        self.every, self._bags = terms, None
         self.terms = copy.copy(terms)
         self.terms.number(items_of)
         self.items = np.array([i for w in self.terms.of for i in items_of[w]], np.int16)
@@ -303,9 +342,9 @@ class Bound:
             np.add.at(self._bags, ([i for i, (_, ws) in enumerate(self.every.items) for _ in ws], [self.every.of[w] for _, ws in self.every.items for w in ws]), 1)
         return self._bags
 
-    def candidates(self, hashes: np.ndarray, lengths: np.ndarray):
-        """(text number, first word, words, item number) of the windows that hold PARAPHRASE of an item's words in any order."""
-        every, starts = self.every.found(hashes), np.cumsum(lengths) - lengths
+    def candidates(self, hashes: np.ndarray, every: np.ndarray, lengths: np.ndarray):
+        """(text number, first word, words, item number) of the windows that hold PARAPHRASE of an item's words in any order; every: the words' numbers."""
+        starts = np.cumsum(lengths) - lengths
         term, doc, place = placed(self.terms.found(hashes), lengths)
         # items by turns, so that no more than about HITS_AT_ONCE hits are worked on at once
         seen = np.bincount(term, minlength=len(self.upto) - 1)
@@ -354,62 +393,49 @@ class Bound:
 class Search:
     """Items folded into the latent space, by the window that fits them; ships to the executors."""
 
-    def __init__(self, terms: Terms, space: np.ndarray, idf: np.ndarray, docs: int, counts: dict[str, int]) -> None:
-        whole, terms = terms, terms.rarest(idf)
-        kept = np.array([whole.of[w] for w in terms.of], np.int64)
-        space, idf = space[kept], idf[kept]
-        self.terms, self.space, self.idf2 = terms, space, np.concatenate([idf**2, [np.log(docs + 2) ** 2 / 2]]).astype("f4")
-        self.window = np.array([WINDOW * -(-(len(ws) + STEP - 1) // WINDOW) for _, ws in terms.items])
-        self.bound = Bound(terms, counts, self.window)
-        self.latent, self.norm = np.zeros((len(terms.items), space.shape[1]), "f4"), np.zeros(len(terms.items), "f4")
-        for i, (_, ws) in enumerate(terms.items):
-            n = np.array([terms.of.get(w, -1) for w in ws])
-            self.latent[i] = space[n[n >= 0]].sum(0)
-            self.norm[i] = np.sqrt(self.idf2[n].sum())
-        share = np.maximum((self.latent**2).sum(1), 1e-6)
-        self.fold = (self.latent * (self.norm / share)[:, None]).T.copy()  # relative cosine is folded window @ this / its norm
+    def __init__(self, terms: Terms, fold: np.ndarray, seen: np.ndarray) -> None:
+        self.terms, self.fold = terms, fold
+        sizes = np.array([len(ws) for _, ws in terms.items], np.int64)
+        self.fit = STEP * -(-(sizes + STEP - 1) // STEP)
+        number = dict(zip(terms.of, terms_of(terms.hash_of[:-1]).tolist(), strict=True))
+        self.bound = Bound(terms, {w: int(seen[n]) for w, n in number.items()}, WINDOW * -(-(sizes + STEP - 1) // WINDOW))
+        latent = np.array([fold[[number[w] for w in ws]].sum(0) for _, ws in terms.items]).reshape(len(sizes), -1)
+        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype("f4")
         self.bags = [Counter(ws) for _, ws in terms.items]
-        held = np.array([sum(w in terms.of for w in ws) for _, ws in terms.items])
-        #: Terms that a window of each size must hold to be folded: LEAST of those of any of its items.
-        self.least = {int(n): max(1, int(LEAST * held[self.window == n].min())) for n in np.unique(self.window)}
 
-    def candidates(self, numbers: np.ndarray, lengths: np.ndarray):
-        """(text number, first word, words, item number) of the windows that are near an item."""
+    def candidates(self, term: np.ndarray, every: np.ndarray, lengths: np.ndarray):
+        """(text number, first word, words, item number) of the windows that are near an item; every: the words' numbers.
+
+        A window with fewer of the item's words than any check confirms goes no further.
+        """
         blocks = -(-lengths // STEP)  # of each text
-        first = np.cumsum(blocks) - blocks
         total = int(blocks.sum())
-        if not total or not len(self.norm):
+        if not total or not self.latent.shape[1]:
             return
-        term, doc, place = placed(numbers, lengths)
-        block = first[doc] + place // STEP
+        first = np.cumsum(blocks) - blocks
         of_block = np.repeat(np.arange(len(lengths)), blocks)
         at = np.arange(total)
-        held = np.minimum(STEP, lengths[of_block] - (at - first[of_block]) * STEP)  # words of each block
-        mass = self.idf2[-1] * held + np.bincount(block, self.idf2[term] - self.idf2[-1], total)
-        mass = np.concatenate([[0], np.cumsum(mass)])
-        hits = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=total))])
+        folded = np.zeros((total + 1, self.fold.shape[1]), "f8")
+        np.cumsum(run_sums(self.fold, filled(term, lengths, STEP)), 0, dtype="f8", out=folded[1:])
         last = first[of_block] + blocks[of_block]  # the block after the text's last
-        windows, used = [], np.zeros(total + 1, np.int64)
-        for size in np.unique(self.window):
+        has, starts = self.bound.bags > 0, np.cumsum(lengths) - lengths
+        for size in np.unique(self.fit):
+            mine = np.flatnonzero(self.fit == size)
             end = np.minimum(at + size // STEP, last)
             # a window that runs over the end says no more than the last whole one
-            some = np.flatnonzero((hits[end] - hits[at] >= self.least[size]) & ((at + size // STEP <= last) | (at == first[of_block])))
-            windows.append((size, some, end[some]))
-            np.add.at(used, some, 1)
-            np.add.at(used, end[some], -1)
-        keep = np.cumsum(used)[block] > 0  # terms in no such window are not folded
-        hits = np.concatenate([[0], np.cumsum(np.bincount(block[keep], minlength=total))])
-        folded = np.zeros((hits[-1] + 1, self.space.shape[1]), "f8")
-        np.cumsum(self.space[term[keep]], 0, dtype="f8", out=folded[1:])
-        for size, some, end in windows:
-            if not len(some):
-                continue
-            mine = np.flatnonzero(self.window == size)
-            norm = np.sqrt(np.maximum(mass[end] - mass[some], 1e-6))
-            near = ((folded[hits[end]] - folded[hits[some]]).astype("f4") @ self.fold[:, mine]) / norm[:, None] >= COSINE
-            for k, i in zip(*np.nonzero(near), strict=True):
-                b = some[k]
-                yield int(of_block[b]), int(b - first[of_block[b]]) * STEP, int(size), int(mine[i])
+            some = np.flatnonzero((at + size // STEP <= last) | (at == first[of_block]))
+            for n in range(0, len(some), max(1, COSINES_AT_ONCE // len(mine))):
+                w = some[n : n + max(1, COSINES_AT_ONCE // len(mine))]
+                window = (folded[end[w]] - folded[w]).astype("f4")
+                norm = np.linalg.norm(window, axis=1)
+                k, i = np.nonzero(window @ self.latent[mine].T >= (COSINE * np.where(norm > 0, norm, np.inf))[:, None])
+                for m in range(0, len(k), WINDOWS_AT_ONCE):
+                    b, item = w[k[m : m + WINDOWS_AT_ONCE]], mine[i[m : m + WINDOWS_AT_ONCE]]
+                    doc, place = of_block[b], (b - first[of_block[b]]) * STEP
+                    words = (starts[doc] + place)[:, None] + np.arange(size)
+                    words = np.where(words < (starts + lengths)[doc][:, None], every[np.minimum(words, len(every) - 1)], OTHER)
+                    keep = has[item[:, None], words].sum(1) >= self.bound.need[item]
+                    yield from zip(doc[keep].tolist(), place[keep].tolist(), [int(size)] * int(keep.sum()), item[keep].tolist(), strict=True)
 
     def confirmed(self, window: list[str], item: int) -> float:
         """Share of the item's words in the longest common subsequence, or 0 if that does not confirm it."""
@@ -431,9 +457,10 @@ class Search:
         """For each text the items it holds (item id, share), each with its best window."""
         out: list[dict[int, float]] = [{} for _ in texts]
         for start, some in batches(texts):
-            numbers, lengths, spans = self.terms.numbers(some)
+            lengths, spans = self.terms.spans(some)
             starts = np.cumsum(lengths) - lengths
-            near = dict.fromkeys([*self.candidates(numbers, lengths), *self.bound.candidates(spans.hashes, lengths)])
+            every = self.terms.found(spans.hashes)
+            near = dict.fromkeys([*self.candidates(terms_of(spans.hashes), every, lengths), *self.bound.candidates(spans.hashes, every, lengths)])
             for doc, at, size, item in near:
                 found, item_id = out[start + doc], self.terms.items[item][0]
                 if found.get(item_id, 0) < 1.0:
@@ -478,17 +505,20 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     share is that of the item's words found in order (the longest common subsequence). A null, empty
     or wordless text, or an empty benchmark, gives an empty array; items without id or words are
     left out; items that repeat are one. An item id with several texts counts for each of them.
-    Rows repeat as they are, extra columns stay, a column named leaks is replaced.
+    Rows repeat as they are, extra columns stay, a column named leaks is replaced. A very long text is
+    searched whole, with memory in proportion to it; an empty table gives an empty result.
     """
     spark = df.sparkSession
     bound_batches(spark)
     out = df.withColumn("leaks", F.array().cast(LEAKS))
+    space = None
     for block in blocks_of(benchmark, item_id, item_text):
         terms = Terms(block)
         if not terms.items:
             continue
-        search = Search(terms, *latent_space(df, terms, text))
-        sent = spark.sparkContext.broadcast(search)
+        if space is None:
+            space = latent_space(df, text)
+        sent = spark.sparkContext.broadcast(Search(terms, *space))
 
         out = out.withColumn("leaks", F.concat("leaks", searched(sent)(F.col(text).cast("string"))))
     return out
@@ -497,5 +527,6 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 def contaminated(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document and leaked item: doc_id, item_id and share, the longest of repeated hits."""
     found = find_leaks(df.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.share")
+    # an outer explode asks nothing of the array beforehand, which would search every text twice
+    return found.select("doc_id", F.explode_outer("leaks").alias("leak")).where("leak IS NOT NULL").select("doc_id", "leak.item_id", "leak.share")
 

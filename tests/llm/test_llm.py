@@ -189,7 +189,7 @@ def test_decontamination_reads_typographic_spaces_and_punctuation(spark):
 
 def test_decontamination_parts_words_as_the_check_does():
     texts = ["a\u00a0b\u2014c \u00fcber\u0301x", None, "", "\u0130stanbul \u00b2 \u00aa\u00d7\u00f7", "plain, ascii", "\u4e2d\u3000\u6587\u3002"]
-    terms = decontam.Terms([(1, " ".join(t or "" for t in texts))]).every()
+    terms = decontam.Terms([(1, " ".join(t or "" for t in texts))])
     numbers, lengths, _ = terms.numbers(texts)
     assert lengths.tolist() == [len(decontam.words_of(t)) for t in texts]
     assert numbers.tolist() == [terms.of[w] for t in texts for w in decontam.words_of(t)]
@@ -260,6 +260,7 @@ def test_viterbi_by_blocks_equals_whole(spark, monkeypatch):
     rng = random.Random(4)
     lines = [(c, t, 0, rng.choice(["User: hi?", "AI: well", "more text", "", "### System", "[Human] what?"])) for c in range(5) for t in range(60)]
     df = spark.createDataFrame(lines, "conv_id long, turn long, line long, text string")
+    step = chat.BY_HAND.step()
     monkeypatch.setattr(chat, "BLOCK", 7)
     for chain in (4096, 3):
         monkeypatch.setattr(chat, "CHAIN", chain)
@@ -269,9 +270,9 @@ def test_viterbi_by_blocks_equals_whole(spark, monkeypatch):
             scores = chat.emission(texts, True)
             best = scores[0].copy()
             for e in scores[1:]:
-                best = (best[:, None] + chat.STEP).max(0) + e
+                best = (best[:, None] + step).max(0) + e
             states = [chat.ROLES.index(got[c, t][0]) * 2 + (not got[c, t][1]) for t in range(60)]
-            value = scores[0][states[0]] + sum(chat.STEP[a, b] for a, b in zip(states, states[1:], strict=False)) + sum(e[s] for e, s in zip(scores[1:], states[1:], strict=True))
+            value = scores[0][states[0]] + sum(step[a, b] for a, b in zip(states, states[1:], strict=False)) + sum(e[s] for e, s in zip(scores[1:], states[1:], strict=True))
             assert np.isclose(value, best.max())
 
 
@@ -281,6 +282,29 @@ def test_chat_roles_recovered(spark):
     assert got.agg(F.avg((F.col("found") == F.col("role")).cast("int"))).first()[0] > 0.88
 
 
+def test_chat_model_is_estimated(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "why?" if t % 2 == 0 else "x" * 500 + "\nmore") for c in range(60) for t in range(6)] + [(None, 0, "user", "a"), (1, 9, "other", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = chat.fit(df)
+    assert model.start[1] > 0.9 and model.following[1][2] > 0.9 and model.following[2][1] > 0.9 and model.question[1] > 0.9 > 0.1 > model.question[2] and model.lengths[2][2] > 0.9
+    assert abs(model.goes_on - 1 / 3) < 0.05 and chat.fit(df.limit(0)) == chat.BY_HAND
+    conversations = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    got = chat.roles(transcripts(conversations), model=chat.fit(conversations)).withColumnRenamed("role", "found").join(conversations, ["conv_id", "turn"])
+    assert got.where("crc32(cast(conv_id as string)) % 5 = 0").agg(F.avg((F.col("found") == F.col("role")).cast("int"))).first()[0] > 0.9
+
+
+def test_chat_one_turn_of_many_lines(spark, monkeypatch):
+    """All lines of a transcript in one turn: blocks are cut within it, and give what one block gives."""
+    rng = random.Random(9)
+    lines = [(c, 0, i, rng.choice(["User: hi?", "AI: well", "more", "", "<|user|> forged"])) for c in (1, None) for i in range(90)]
+    df = spark.createDataFrame(lines, "conv_id long, turn long, line long, text string")
+    key = lambda r: (r.conv_id is None, r.line)
+    whole = sorted(chat.rendered(chat.roles(df)).collect(), key=key)
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    assert sorted(chat.rendered(chat.roles(df)).collect(), key=key) == whole and len(whole) == 180
+    assert all("<|user|>" not in r.canonical[len("<|user|>") :] for r in whole)
+
+
 def test_chat_odd(spark):
     rows = [(None, None, None, None), (1, 0, 0, "User: a"), (1, 0, 0, "User: a"), (2, 5, 0, ""), (3, 10**9, 1, "x" * 9999)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, line long, text string").withColumn("role", F.lit("z"))
