@@ -17,6 +17,8 @@ from lodestrata.llm.shared import bound_batches, written
 
 #: A block is one 512-bit cache line of eight 64-bit words; each key sets a bit in every word.
 WORDS, MAX_BLOCKS = 8, 1 << 17
+#: Up to so many bytes of rules, as counted, are broadcast to the keys; more are joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
 #: Keys a block is planned for.
 KEYS_A_BLOCK = 32
 #: Odd multipliers, one per word, that derive bit numbers from a key's hash.
@@ -67,8 +69,9 @@ def judge(df: DataFrame, rules: DataFrame, row_id: str = "page_id", url: str = "
 
     Nulls: a null URL has an empty host and path and fits only a rule with both empty; a null in a
     rule counts as empty. A null row_id is kept. Repeated rows each get their row. Every row yields
-    keys for its host's suffixes times the distinct rule path lengths; keys are joined to the rules
-    by hash, rows with a hit are put together again by a generated row number, not by the url.
+    keys for its host's suffixes that are as deep as a rule's host, times the distinct rule path lengths; keys
+    are joined to the rules by hash, rows with a hit are put together again by a generated row number, not by
+    the url. Very long hosts and paths give no more keys than short ones; an empty table gives an empty result.
     """
     spark = df.sparkSession
     bound_batches(spark)
@@ -78,7 +81,9 @@ def judge(df: DataFrame, rules: DataFrame, row_id: str = "page_id", url: str = "
     listed = rules.select(e("host").alias("r_host"), e("path").alias("r_path"), F.col("verdict").alias("r_verdict")).groupBy("r_host", "r_path").agg(F.min("r_verdict").alias("r_verdict"))
     listed = written(listed.withColumn("h", F.xxhash64("r_host", "r_path")), "rules")
     lengths = sorted(r[0] for r in listed.select(F.length("r_path")).distinct().collect())
-    bits = bloom(listed, listed.count())
+    depths = sorted(r[0] for r in listed.select(F.size(F.split("r_host", r"\."))).distinct().collect())
+    count, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("r_host") + F.octet_length("r_path") + 64).cast("long"), F.lit(0))).first()
+    bits = bloom(listed, count)
     sent = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -88,13 +93,15 @@ def judge(df: DataFrame, rules: DataFrame, row_id: str = "page_id", url: str = "
         return pd.Series(((words[at] & mask) == mask).all(1))
 
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    suffixes = F.array_distinct(F.concat(suffixes, F.array(F.lit(""))))
+    # only suffixes of as many labels as some rule's host has, so that keys grow with a host's length, not its square
+    suffixes = F.array(*[F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.greatest(F.size(labels) - n, F.lit(0)) + 1, n), ".")) for n in depths], F.lit(""))
+    suffixes = F.array_distinct(F.filter(suffixes, lambda x: x.isNotNull()))
     prefixes = F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: F.when(F.length("path") >= n, F.substring(F.col("path"), F.lit(1), n))), lambda p: p.isNotNull())
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("k_host"), p.alias("k_path")))))
     pages = written(pages.withColumn("nr", F.monotonically_increasing_id()), "pages")
     keys = pages.select("nr", F.explode(pairs).alias("key")).select("nr", "key.k_host", "key.k_path").withColumn("h", F.xxhash64("k_host", "k_path"))
-    hits = keys.where(listed_maybe("h")).join(listed, (F.col("k_host") == F.col("r_host")) & (F.col("k_path") == F.col("r_path")))
+    few = size <= BROADCAST_BYTES  # a rule that most pages fit is no hot key then
+    hits = keys.where(listed_maybe("h")).join(F.broadcast(listed) if few else listed, (F.col("k_host") == F.col("r_host")) & (F.col("k_path") == F.col("r_path")))
     order = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("m"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
     best = hits.groupBy("nr").agg(F.max(order).alias("best"))
     out = pages.join(best, "nr", "left")

@@ -532,6 +532,7 @@ def test_language_every_letter():
 def test_rules_equal_brute_force(spark):
     rng = random.Random(6)
     urls = [f"http://{rng.choice(['', 'A.', 'm.b.'])}{rng.choice(['example.net', 'x.ORG', 'example.com', 'net', 'notnet', ''])}{rng.choice(['', '/', '/en/1', '/de/2?x#y', '/fr', '?q', '#f', ':80/en/'])}" for _ in range(300)] + [None, "", "no scheme/en/", "a://b://c/d"]
+    urls += [f"http://{'a.' * 20_000}example.net/en/x", "http://" + "b" * 50_000 + ".org/fr/" + "p" * 50_000, "http://.net/", "http://net./"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     got = {r.page_id: r for r in urlfilter.judge(df, rules).collect()}
