@@ -590,3 +590,27 @@ def test_pipeline_stages(spark):
     assert key not in row.text and "[SECRET]" in row.text and row.n_chars == len(row.text)
     last = p.tokens(spark, safe, SF)
     assert ids(last) == ids(safe) and last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_whole_run(spark, tmp_path):
+    """From documents to tokens: nulls, repeated rows and ids, ties, long texts; and empty tables."""
+    import corpus_pipeline as p
+    import tokenizers
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda seed, n: " ".join(random.Random(seed).choices(["lorem", "ipsum", "dolor", "amet", "sed", "qui", "est", "nam", "vel", "ut"], k=n))
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    rows = [(1, words(1, 60)), (5, words(1, 60)), (5, words(2, 60)), (5, words(2, 60)), (7, words(1, 59)), (None, words(3, 50)), (8, None), (9, ""), (10, "12 !!"), (11, f"xx {item} yy"), (12, 'pq rs token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" tu'), (13, words(4, 30_000)), (4, words(6, 40))]
+    table = [(i, t, ("en", "de")[n % 2], "s", len(t or "")) for n, (i, t) in enumerate(rows)]
+    spark.createDataFrame(table, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = p.run(spark, str(tmp_path)).collect()
+    library = tokenizers.Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    kept = [(1, words(1, 60)), (5, words(2, 60)), (5, words(2, 60)), (None, words(3, 50)), (12, 'pq rs token = "[SECRET]" tu'), (13, words(4, 30_000)), (4, words(6, 40))]
+    want = sorted((str(i), hashlib.sha256(np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()) for i, t in kept)
+    assert sorted((str(r.doc_id), r.ids_sha256) for r in got) == want
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
