@@ -37,7 +37,7 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """path and document (VARIANT) of whole JSON files."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     return text.select("path", F.try_parse_json("value").alias("document"))
 
 
@@ -123,3 +123,104 @@ def tar_csv_rows(spark: SparkSession, paths: list[str], where: str) -> DataFrame
         return pd.Series([list(csv.DictReader(io.StringIO(bytes(c).decode("utf-8", "replace")))) for c in contents], dtype=object)
 
     return tar_members(spark, paths, ".csv").select("name", F.explode(rows("content")).alias("row")).where(where)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (from 1) and value of text files: a file is read whole by one task, as line numbers need."""
+    whole = spark.read.format("binaryFile").load(path).select("path", F.split(F.decode("content", "utf-8"), "\r?\n").alias("lines"))
+    return whole.select("path", F.posexplode("lines").alias("at", "value")).select("path", (F.col("at") + 1).alias("line"), "value")
+
+
+def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path, line and the schema's columns of JSON lines, blank ones left out; a line that is no JSON object fails the read, named by file and number."""
+    rows = numbered_lines(spark, path).where("trim(value) != ''")
+    good = F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT")
+    said = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(" is not a JSON object"))
+    rows = rows.where(F.coalesce(good, F.lit(False)) | F.raise_error(said).cast("boolean"))
+    return rows.select("path", "line", F.from_json("value", schema).alias("r")).select("path", "line", "r.*")
+
+
+def file_listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """path and size of all files below root; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    return files.select("path", F.col("length").alias("size"))
+
+
+def discovered_tables(spark: SparkSession, root: str, code: str, label: str) -> DataFrame:
+    """labelled_tables() of all CSV, JSON and JSONL files below root; raises if there are none."""
+    names = [r.path for r in file_listing(spark, root, "*.{csv,json,jsonl}").select("path").collect()]  # file names
+    by_kind = {kind: sorted(n for n in names if n.endswith(f".{kind}")) for kind in ("csv", "json", "jsonl")}
+    parts = {kind: found for kind, found in by_kind.items() if found}
+    if not parts:
+        raise ValueError(f"no .csv, .json or .jsonl files below {root}")
+    return labelled_tables(spark, parts, code, label)
+
+
+#: File extensions of languages, and folders of a language in a layout of problems.
+EXTENSIONS = {"python": ".py", "java": ".java", "c": ".c", "cpp": ".cpp"}
+LANGUAGE_FOLDERS = {"python": ("Python", "python"), "java": ("Java", "java"), "c": ("C", "c"), "cpp": ("C++", "cpp")}
+
+
+def task_sources(spark: SparkSession, root: str, layout: str, language: str = "python") -> DataFrame:
+    """task, source_relpath, size and content of source files.
+
+    layout: generic (task/.../file), codenet (task/language/.../file, below data if there is one), or poj104 (the folder
+    right above the file, or of files at the top the first run of digits of the name).
+    """
+    extension = EXTENSIONS[language]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").load(root)
+    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:(//)?", "")
+    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//)?", ""), F.concat(F.lit("^.*?"), F.lit(r"\Q"), base, F.lit(r"\E/")), "")
+    parts = F.split(relative, "/")
+    if layout == "generic":
+        task, fits = parts[0], F.size(parts) > 1
+    elif layout == "codenet":
+        at = F.when(parts[0] == "data", 1).otherwise(0)
+        task, fits = F.get(parts, at), F.get(parts, at + 1).isin(*LANGUAGE_FOLDERS[language]) & (F.size(parts) > at + 2)
+    elif layout == "poj104":
+        digits = F.regexp_extract(parts[0], r"(\d+)", 1)
+        task = F.when(F.size(parts) > 1, F.element_at(parts, -2)).when(digits != "", digits)
+        fits = task.isNotNull()
+    else:
+        raise ValueError(f"unknown layout {layout}")
+    rows = files.select(task.alias("task"), relative.alias("source_relpath"), F.col("length").alias("size"), "content", fits.alias("fits"))
+    return rows.where("fits").drop("fits")
+
+
+def split_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """split, path and lines of the first file (by path) of each split below root: train, val (or valid) and test, named in .c2s or .c2v files."""
+    files = file_listing(spark, root, "*.{c2s,c2v}").withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
+    split = F.when(F.col("name").contains("train"), "train").when(F.col("name").contains("val"), "val").when(F.col("name").contains("test"), "test")
+    exact = F.col("name").rlike(r"\.(train|val|valid|test)\.c2[sv]$")
+    first = files.withColumn("split", split).where("split IS NOT NULL").groupBy("split").agg(F.min_by("path", F.struct(~exact, ~F.col("name").endswith(".c2s"), F.col("path"))).alias("path"))
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{c2s,c2v}").text(root).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("lines"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return first.withColumn("path", plain("path")).join(lines.withColumn("path", plain("path")), "path", "left").select("split", "path", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+def archive_status(spark: SparkSession, paths: dict[str, int | None]) -> DataFrame:
+    """path, exists, bytes and size_matches of files with the size that each should have, if known."""
+    rows = []
+    for path, expected in paths.items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = store.exists(at)
+        size = store.getFileStatus(at).getLen() if there else None
+        rows.append((path, there, size, there and (expected is None or size == expected)))
+    return spark.createDataFrame(rows, "path string, exists boolean, bytes long, size_matches boolean")
+
+
+def manifest_tasks(spark: SparkSession, path: str, list_field: str, schema: str) -> DataFrame:
+    """Rows of a list in a JSON manifest: one document, whose list_field holds objects of the schema."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json("value", f"{list_field} array<struct<{schema}>>")[list_field]).alias("r")).select("r.*")
+
+
+def verified_split(assignments: DataFrame, sources: DataFrame, key: str, digest: str, split: str, expected: int) -> DataFrame:
+    """Rows of one split with their sources: every assigned key is there once, its digest is the one assigned, and there are as many as expected; else it raises."""
+    own = assignments.where(F.col("split") == split).select(key, F.col(digest).alias("__want"))
+    both = own.join(sources, key, "left")
+    bad = both.agg(F.count("*").alias("n"), F.countDistinct(key).alias("d"), F.sum((F.col(digest).isNull() | (F.col(digest) != F.col("__want"))).cast("long")).alias("wrong")).first()
+    if bad.n != expected or bad.d != expected or bad.wrong:
+        raise ValueError(f"split {split}: {bad.d} keys, {bad.n} rows, {bad.wrong or 0} with other content; {expected} expected")
+    return both.drop("__want")
