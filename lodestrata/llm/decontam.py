@@ -50,11 +50,11 @@ ANSWER, ANSWER_SHARE = 0.25, 0.7
 #: Items searched in one pass, and words of documents worked on at once.
 BLOCK, WORDS_AT_ONCE = 500, 60_000
 #: Cosines taken at once, and rows of a term summed at once.
-COSINES_AT_ONCE, ROWS_AT_ONCE = 2_000_000, 8
+COSINES_AT_ONCE, ROWS_AT_ONCE = 500_000, 8
 #: Words of an item that Bound goes by, besides as many as a confirmed window may lack.
 SURPLUS = 4
 #: Hits of such words, and windows that hold enough of them, that are worked on at once.
-HITS_AT_ONCE, WINDOWS_AT_ONCE = 2_000_000, 20_000
+HITS_AT_ONCE, WINDOWS_AT_ONCE = 300_000, 5_000
 #: The number of a word that is no term, and bits of a term's slot.
 OTHER, SLOT_BITS = -1, 18
 #: In UTF-8, the bytes of words, where parted() has seen to other than ASCII characters: all but ASCII ones other than letters, digits and the underscore.
@@ -64,8 +64,6 @@ BYTE_VALUES = np.where(IS_WORD, np.random.default_rng(3).integers(1, 2**63, 256,
 PLACE_VALUES = np.random.default_rng(4).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Terms that are summed together as one row of a shuffle, and tasks whose sums meet first.
 TERMS_A_ROW, TASKS_A_SUM = 256, 64
-#: Texts whose terms are worked on at once.
-TEXTS_AT_ONCE = 200
 
 _word = re.compile(r"\w+")
 
@@ -175,11 +173,11 @@ def random_directions(count: int) -> np.ndarray:
     return np.random.default_rng(20).standard_normal((count, RANK + OVERSAMPLE)).astype("f4")
 
 
-def batches(texts: list[str | None]):
-    """Runs of texts of about WORDS_AT_ONCE words; a longer text is a run by itself."""
+def batches(texts: list, a_word: int = 6):
+    """Runs of texts of about WORDS_AT_ONCE words (of a_word characters or bytes each); a longer text is a run by itself."""
     at, size = 0, 0
     for i, t in enumerate(texts):
-        n = len(t or "") // 6
+        n = len(t or "") // a_word
         if i > at and size + n > WORDS_AT_ONCE:
             yield at, texts[at:i]
             at, size = i, 0
@@ -260,9 +258,7 @@ def gram_pass(terms: DataFrame, directions: np.ndarray) -> tuple[np.ndarray, np.
     def add(frames):
         into, seen, passages = np.zeros((BUCKETS, width), "f4"), np.zeros(BUCKETS, np.int64), 0
         for f in frames:
-            texts = f["t"].tolist()
-            for at in range(0, len(texts), TEXTS_AT_ONCE):
-                some = texts[at : at + TEXTS_AT_ONCE]
+            for _, some in batches(f["t"].tolist(), 2):
                 passages += gram_times(np.frombuffer(b"".join(some), np.uint16), np.array([len(t) // 2 for t in some], np.int64), sent.value, into, seen)
         give_back()
         if passages:

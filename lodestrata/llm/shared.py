@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch handed to Python, so that long texts do not pile up in a worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Rows that a reader of whole texts decodes at once.
+READ_ROWS = 512
 #: Bytes of a row group of written tables, which a task holds while it writes.
 BLOCK_BYTES = 16 << 20
 
@@ -24,9 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes from now on in this session, whatever bound it has: the operators' memory is reckoned by it.
 
-    So are the row groups of Parquet files of whole texts, which a task holds while it writes, where the session has no size of its own.
+    So are the rows that a Parquet reader of whole texts holds at once, and the row groups that a task holds while
+    it writes them, where the session has no size of its own.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(rows)) > READ_ROWS:
+        spark.conf.set(rows, str(READ_ROWS))
     if spark.conf.get("parquet.block.size", None) is None:
         spark.conf.set("parquet.block.size", str(BLOCK_BYTES))
 
