@@ -26,6 +26,8 @@ from lodestrata.llm.shared import bound_batches, give_back, held_out
 
 #: Bounds of the training sample: documents of each language, and symbols of each language's automaton.
 SAMPLE_DOCS, TRAIN_SYMBOLS = 60, 16_000
+#: Texts of a batch from which on a step over all of them at once is faster than each by itself.
+FEW = 16
 #: Numbers of symbols: a byte that no training text has, and what lies between words. Bytes follow.
 UNKNOWN, GAP = 0, 1
 UNDETERMINED = "und"
@@ -139,6 +141,18 @@ class Model:
             if n < before:
                 out[:, n:before] = ended[:, n:] + (at[:, n:] != roots)
                 at, ended, before = at[:, :n].copy(), ended[:, :n].copy(), n
+            if n < FEW:  # the long ones that are left, one after another
+                steps = memoryview(table)
+                for j in range(n):
+                    rest = flat[starts[j] + t : starts[j] + lengths[j]].tobytes()
+                    for k in range(len(self.langs)):
+                        here, count = int(at[k, j]), int(ended[k, j])
+                        for c in rest:
+                            got = steps[here + c]
+                            count += got & 3
+                            here = got >> 2
+                        at[k, j], ended[k, j] = here, count
+                break
             got = table[at + flat[starts[:n] + t].astype(table.dtype)]
             ended += got & 3
             at = got >> 2

@@ -507,7 +507,10 @@ def test_neighbours_odd(spark):
 # op9
 
 
-def test_phrases_equal_brute_force():
+@pytest.mark.parametrize("few", [0, 16])
+def test_phrases_equal_brute_force(monkeypatch, few):
+    monkeypatch.setattr(langid, "FEW", few)
+
     def brute(training, text):
         i = n = 0
         while i < len(text):
