@@ -179,7 +179,8 @@ def encode_decode(df: DataFrame, vocab_path: str, text: str = "text") -> DataFra
 
     vocab_path: a vocabulary file present on every executor. Row by row, no shuffle; memory is one
     Arrow batch and the bounded chunk cache. A null or empty text gives 0 tokens, empty ids and an
-    empty string. Columns of df named like a result are replaced; rows, ties and repeats stay as they are.
+    empty string; a very long text is encoded whole. Columns of df named like a result are replaced; rows, ties and
+    repeats stay as they are, and an empty table gives an empty result.
     """
     bound_batches(df.sparkSession)
 

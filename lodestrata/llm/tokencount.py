@@ -129,8 +129,9 @@ def count_tokens(df: DataFrame, vocab_path: str, text: str = "text") -> DataFram
     """df with n_tokens and n_pretokens (long), of whole texts; row by row, no shuffle.
 
     vocab_path: a sentencepiece vocabulary present on every executor. A null, empty or blank text
-    has 0 of both. Equal splits' ties go to fewer tokens. Repeated rows count alike; columns of df
-    named like a result are replaced.
+    has 0 of both. Equal splits' ties go to fewer tokens. A very long text is counted whole, a very long word by
+    itself. Repeated rows count alike; columns of df named like a result are replaced, and an empty table
+    gives an empty result.
     """
     bound_batches(df.sparkSession)
 
