@@ -299,7 +299,10 @@ def latent_space(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(-values)[LEADING:RANK]
     order = order[values[order] > max(values.max(initial=0) * LEAST_VALUE**2, 1e-9)]
     fold = idf[:, None] * (basis @ vectors[:, order]) / np.sqrt(values[order])
-    return np.concatenate([fold, np.zeros((1, fold.shape[1]))]).astype("f4"), seen
+    fold = np.concatenate([fold, np.zeros((1, fold.shape[1]))]).astype("f4")
+    del gram, basis, small
+    give_back()
+    return fold, seen
 
 
 class Bound:

@@ -100,25 +100,27 @@ class Model:
         self.of_byte = np.full(256, UNKNOWN, np.uint8)
         self.of_byte[known] = np.arange(2, len(known) + 2)
         self.of_byte[32] = GAP
-        tables, self.roots, self.bits, rows = [], [], [], 0
+        steps, self.roots, self.bits, rows = [], [], [], 0
         for lang in self.langs:
             sequence = self.symbols(coded[lang])[:TRAIN_SYMBOLS]
-            step = suffix_automaton(sequence.tolist())
-            table = np.zeros((len(step), self.width), np.int64)
-            root = np.full(self.width, rows * self.width * 4 + 1, np.int64)  # unknown even at the root
+            steps.append(suffix_automaton(sequence.tolist()))
+            self.roots.append(rows * self.width)
+            self.bits.append(float(np.log2(max(2, len(sequence)))))
+            rows += len(steps[-1])
+        kind = np.int32 if max(1, rows) * self.width * 4 < 2**31 else np.int64
+        full = np.zeros((max(1, rows), self.width), kind)  # filled in place, for it is the largest thing here
+        for root, step in zip(self.roots, steps, strict=True):
+            first, table = root // self.width, full[root // self.width : root // self.width + len(step)]
+            table[0] = root * 4 + 1  # unknown even at the root
             for c, to in step[0].items():
-                root[c] = (rows + to) * self.width * 4
-            table[:] = root + 1  # a phrase ends, the symbol starts the next
-            table[0] = root
+                table[0, c] = (first + to) * self.width * 4
+            table[1:] = table[0] + 1  # a phrase ends, the symbol starts the next
             for s, out in enumerate(step):
                 for c, to in out.items():
-                    table[s, c] = (rows + to) * self.width * 4
-            tables.append(table)
-            self.roots.append(rows * self.width)
-            self.bits.append(float(np.log2(max(2, len(sequence)))))
-            rows += len(step)
-        full = np.concatenate(tables) if tables else np.zeros((1, self.width), np.int64)
-        self.table = (full.astype(np.int32) if full.max(initial=0) < 2**31 else full).ravel()
+                    table[s, c] = (first + to) * self.width * 4
+        self.table = full.ravel()
+        del steps
+        give_back()
 
     def symbols(self, text: bytes) -> np.ndarray:
         return self.of_byte[np.frombuffer(text, np.uint8)]
