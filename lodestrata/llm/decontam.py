@@ -417,7 +417,7 @@ class Search:
         folded = np.zeros((total + 1, self.fold.shape[1]), "f8")
         np.cumsum(run_sums(self.fold, filled(term, lengths, STEP)), 0, dtype="f8", out=folded[1:])
         last = first[of_block] + blocks[of_block]  # the block after the text's last
-        has, starts = self.bound.bags > 0, np.cumsum(lengths) - lengths
+        has, starts = (self.bound.bags > 0).view(np.uint8), np.cumsum(lengths) - lengths
         for size in np.unique(self.fit):
             mine = np.flatnonzero(self.fit == size)
             end = np.minimum(at + size // STEP, last)
@@ -428,13 +428,22 @@ class Search:
                 window = (folded[end[w]] - folded[w]).astype("f4")
                 norm = np.linalg.norm(window, axis=1)
                 k, i = np.nonzero(window @ self.latent[mine].T >= (COSINE * np.where(norm > 0, norm, np.inf))[:, None])
+                if not len(k):
+                    continue
+                new = np.concatenate([[True], k[1:] != k[:-1]])
+                b = w[k[new]]  # each window once, its words are looked up for all its items
+                doc, place = of_block[b], (b - first[of_block[b]]) * STEP
+                words = (starts[doc] + place)[:, None] + np.arange(size)
+                words = np.where(words < (starts + lengths)[doc][:, None], every.take(words, mode="clip"), len(self.terms.of)).astype(np.int32)
+                words[words < 0] = len(self.terms.of)
+                row = np.cumsum(new) - 1
                 for m in range(0, len(k), WINDOWS_AT_ONCE):
-                    b, item = w[k[m : m + WINDOWS_AT_ONCE]], mine[i[m : m + WINDOWS_AT_ONCE]]
-                    doc, place = of_block[b], (b - first[of_block[b]]) * STEP
-                    words = (starts[doc] + place)[:, None] + np.arange(size)
-                    words = np.where(words < (starts + lengths)[doc][:, None], every[np.minimum(words, len(every) - 1)], OTHER)
-                    keep = has[item[:, None], words].sum(1) >= self.bound.need[item]
-                    yield from zip(doc[keep].tolist(), place[keep].tolist(), [int(size)] * int(keep.sum()), item[keep].tolist(), strict=True)
+                    of, item = row[m : m + WINDOWS_AT_ONCE], mine[i[m : m + WINDOWS_AT_ONCE]]
+                    flat = words.take(of, 0)
+                    flat += (item * has.shape[1]).astype(np.int32)[:, None]
+                    keep = has.ravel().take(flat).sum(1, dtype=np.uint16) >= self.bound.need[item]
+                    of, item = of[keep], item[keep]
+                    yield from zip(doc[of].tolist(), place[of].tolist(), [int(size)] * len(of), item.tolist(), strict=True)
 
     def confirmed(self, window: list[str], item: int) -> float:
         """Share of the item's words in the longest common subsequence, or 0 if that does not confirm it."""
