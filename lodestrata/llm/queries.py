@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, chat, decontam, langid, neardup, neighbours, quality, secrets, tokencount, urlfilter
+from lodestrata.llm import audit, bpe, chat, decontam, langid, mixing, neardup, neighbours, quality, secrets, tokencount, urlfilter
 from lodestrata.llm.shared import table
 
 #: The rules that op10 applies (host, path, verdict).
@@ -111,6 +111,67 @@ WITH cut AS (
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM fit WHERE n = 1
 """
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return got.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP12_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), per AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS stop FROM sized GROUP BY source),
+ranked AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w FROM per),
+summed AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w,
+         coalesce(sum(stop) OVER (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stops,
+         coalesce(sum(w) OVER (ORDER BY stop / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws
+  FROM ranked
+), flagged AS (SELECT *, (total - stops) * w > stop * (all_w - ws) AS above FROM summed),
+ends AS (SELECT coalesce(sum(stop) FILTER (WHERE above), 0) AS given, coalesce(sum(w) FILTER (WHERE NOT above), 1) AS weighing FROM flagged),
+targets AS (
+  SELECT source, source_size, CASE WHEN above THEN stop::DOUBLE ELSE least((total - given)::DOUBLE * w / weighing::DOUBLE, stop::DOUBLE) END AS target FROM flagged, ends
+), rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM targets)
+SELECT doc_id, size, source_size, target,
+       (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('lodestrata mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS id FROM docs GROUP BY t),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cut AS (
+  SELECT docs.doc_id, part, t, coalesce(docs.doc_id > firsts.id, false) AS again, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w
+  FROM docs JOIN firsts USING (t) LEFT JOIN told ON told.doc_id = docs.doc_id
+), masks AS (
+  SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * again::INT AS mask, good, toxic, count(*) AS n
+  FROM cut GROUP BY ALL
+), letters(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, (SELECT unnest(range(1, 6))::INT AS step)
+), sums AS (
+  SELECT part, filter_order, step, own,
+         sum(n * (mask & (before | own) = 0)::INT)::BIGINT AS kept, sum(n * (mask & before = 0 AND mask & own <> 0)::INT)::BIGINT AS removed,
+         sum(n * (mask & before <> 0 AND mask & own <> 0)::INT)::BIGINT AS redundant, sum(n * (mask = own)::INT)::BIGINT AS unique_fails,
+         sum(n * good * (mask & before = 0 AND mask & own <> 0)::INT)::BIGINT AS good_lost,
+         sum(n * toxic * (mask & before = 0 AND mask & own <> 0)::INT)::BIGINT AS toxic_lost
+  FROM steps, masks GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM sums
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
@@ -122,5 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op12_mixing": op12_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_filter_audit": OP13_SQL}

@@ -76,3 +76,9 @@ def forget(*frames: DataFrame) -> None:
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of rows that no model learns from; a null id is held out too."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def table_columns(df: DataFrame, own) -> list[Column]:
+    """The columns of df but for those named, in any case, like an operator's own."""
+    names = {c.lower() for c in own}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
