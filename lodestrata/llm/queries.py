@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import audit, bpe, chat, decontam, langid, mixing, neardup, neighbours, quality, secrets, tokencount, urlfilter
+from lodestrata.llm import audit, bpe, chat, decontam, langid, lexical, mixing, neardup, neighbours, quality, secrets, tokencount, urlfilter
 from lodestrata.llm.shared import table
 
 #: The rules that op10 applies (host, path, verdict).
@@ -111,6 +111,28 @@ WITH cut AS (
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM fit WHERE n = 1
 """
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), spread AS (SELECT doc_id, n, unnest(w) AS term FROM docs),
+held AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM spread SEMI JOIN asked USING (term) GROUP BY doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2 * all_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals GROUP BY term, all_docs),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * all_docs) // all_terms))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), totals GROUP BY item_id, doc_id
+), ranked AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return got.select("doc_id", "size", "source_size", "target", "taken")
@@ -183,7 +205,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_lexical_search": op11_lexical_search,
     "op12_mixing": op12_mixing,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op10_url_filter": OP10_SQL, "op12_mixing": OP12_SQL, "op13_filter_audit": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_near_duplicates": OP6_SQL, "op10_url_filter": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_mixing": OP12_SQL, "op13_filter_audit": OP13_SQL}
