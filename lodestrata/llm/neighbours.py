@@ -3,7 +3,9 @@
 1. Rows with equal vectors become one node, the smallest id, so that a very common vector is a node
    like any other; of its rows only the smallest ids can be among the nearest of anything.
 2. The graph starts from TREES sorts by the signs of random projections: runs of BLOCK nodes in a
-   sort are compared with each other. Runs are bounded, whatever the data.
+   sort, and the first of the next run, are compared with each other. Runs are bounded, whatever the data. The
+   first sort also is a spine that links every node to the next, so that no node is out of reach: a query
+   meets at least as many nodes as the beam holds, or all.
 3. NN-descent: in each round the neighbours of a node, with some of those whose neighbour it is, are
    compared with each other, and every node keeps its DEGREE nearest; until few links change.
 4. A query starts from its own node. A hop is one Spark join: the neighbours of what its BEAM nearest
@@ -21,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from lodestrata.llm.shared import bound_batches, forget, written
 
 #: Shape of the graph, and of the sorts it starts from.
 DEGREE, REVERSE, TREES, BITS, BLOCK = 24, 16, 4, 24, 128
+#: Nodes of a run that the run before it holds too, and runs of one sorted part.
+SEAM, PART_BLOCKS = 24, 64
 #: NN-descent ends when a round changes less than this share of links, as it will: every change is to a nearer one.
 SETTLED = 0.02
 #: Nodes of one local comparison task, and width of the search.
@@ -87,8 +92,12 @@ def best_links(links: DataFrame, count: int = DEGREE) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= count).select("a", "b", "d")
 
 
-def first_links(nodes: DataFrame) -> DataFrame:
-    """Links from runs of BLOCK nodes in TREES sorts."""
+def first_links(nodes: DataFrame, count: int) -> DataFrame:
+    """a, b, d and spine: links from runs of BLOCK nodes, and SEAM of the next run, in TREES sorts.
+
+    Runs go by a node's place in its sort, whatever partitions it was sorted in, so that few nodes meet as well as many. The spine
+    links each node of the first sort to the next: by it every node can be reached from any other.
+    """
 
     def codes(frames):
         for f in frames:
@@ -99,16 +108,32 @@ def first_links(nodes: DataFrame) -> DataFrame:
                 code = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                 yield pd.DataFrame({"tree": t, "code": code, "node": f["node"], "x": f["x"]})
 
-    def runs(frames):
+    def numbered(frames):
+        part, at = TaskContext.get().partitionId(), 0
         for f in frames:
-            ids, x = f["node"].to_numpy("i8"), stacked(f["x"])
-            for i in range(0, len(ids), BLOCK):
-                a, b, d = nearest_of_block(ids[i : i + BLOCK], x[i : i + BLOCK], DEGREE)
-                yield pd.DataFrame({"a": a, "b": b, "d": d})
-
-    parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            yield pd.DataFrame({"part": part, "at": np.arange(at, at + len(f)), "tree": f["tree"], "node": f["node"], "x": f["x"]})
+            at += len(f)
+
+    def compared(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("at")
+        ids, x, first = f["node"].to_numpy("i8"), stacked(f["x"]), f["tree"].to_numpy() == 0
+        a, b, d = nearest_of_block(ids, x, DEGREE)
+        i = np.flatnonzero(first[:-1] & first[1:])
+        steps = ((x[i] - x[i + 1]) ** 2).sum(1)
+        return pd.DataFrame({"a": np.concatenate([a, ids[i]]), "b": np.concatenate([b, ids[i + 1]]), "d": np.concatenate([d, steps]).astype("f8"), "spine": np.arange(len(a) + len(i)) >= len(a)})
+
+    parts = max(1, -(-TREES * count // (PART_BLOCKS * BLOCK)))
     coded = nodes.mapInPandas(codes, "tree int, code long, node long, x binary").repartitionByRange(parts, "tree", "code", "node").sortWithinPartitions("tree", "code", "node")
-    return best_links(coded.mapInPandas(runs, "a long, b long, d double"))
+    sorts = written(coded.mapInPandas(numbered, "part int, at long, tree int, node long, x binary"), "sorts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sorts.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))  # a row a part
+    placed = sorts.join(F.broadcast(starts), "part").withColumn("at", F.col("at") + F.col("start"))
+    run = F.floor(F.col("at") / BLOCK)
+    runs = F.when((F.col("at") % BLOCK < SEAM) & (run > 0), F.array(run, run - 1)).otherwise(F.array(run))
+    found = placed.select("at", "tree", "node", "x", F.explode(runs).alias("run")).groupBy("run").applyInPandas(compared, "a long, b long, d double, spine boolean")
+    out = written(found, "first-links")
+    forget(sorts)
+    return out
 
 
 def descent(nodes: DataFrame, graph: DataFrame, count: int) -> DataFrame:
@@ -142,18 +167,20 @@ def descent(nodes: DataFrame, graph: DataFrame, count: int) -> DataFrame:
     return joined.groupBy("bucket").applyInPandas(compare, "a long, b long, d double")
 
 
-def neighbour_graph(nodes: DataFrame) -> DataFrame:
-    """a, b, d (squared distance): the DEGREE nearest found of every node."""
+def neighbour_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b, d (squared distance): the DEGREE nearest found of every node; and a, b of the spine, both ways."""
     count = nodes.count()
-    graph = written(first_links(nodes), "graph")
+    first = first_links(nodes, count)
+    graph = written(best_links(first.select("a", "b", "d")), "graph")
+    spine = first.where("spine").select("a", "b")
     while True:
         better = written(best_links(graph.union(descent(nodes, graph, count))), "graph")
         changed = better.join(graph, ["a", "b"], "left_anti").count()
         forget(graph)
         graph = better
-        if changed <= SETTLED * DEGREE * count:
+        if changed <= SETTLED * graph.count():
             break
-    return graph
+    return graph, spine.union(spine.select("b", "a"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, count: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -187,9 +214,9 @@ def of_length(rows: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     nodes = written(reps.select("node", "v", packed(F.col("v")).alias("x")), "nodes")
     reps = nodes.select("node", "v")
     of_node = written(members.join(reps, "v").select("node", "vec_id"), "of-node")
-    graph = neighbour_graph(nodes.select("node", "x"))
+    graph, spine = neighbour_graph(nodes.select("node", "x"))
     links = best_links(graph.union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")), DEGREE + REVERSE)
-    links = written(links.groupBy("a").agg(F.collect_list("b").alias("around")), "links")
+    links = written(links.select("a", "b").union(spine).groupBy("a").agg(F.collect_set("b").alias("around")), "links")
     forget(graph)
 
     asked = rows.join(ids, "vec_id", "left_semi")

@@ -491,6 +491,29 @@ def test_neighbours_recall(spark, sf):
     assert hits >= 0.9 * 10 * len(got)
 
 
+@pytest.mark.parametrize(("partitions", "kind"), [(1, "plain"), (4, "clustered"), (200, "plain")])
+def test_neighbours_lose_none(spark, partitions, kind):
+    """Every query has its ten, or all candidates if fewer, at any number of vectors and of shuffle partitions."""
+    rng = np.random.default_rng(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for n in {1: (1, 60), 4: (2, 40, 400), 200: (12,)}[partitions]:
+            x = rng.standard_normal((n, 8)) + (0 if kind == "plain" else 1000 * rng.integers(0, 6, (n, 1)))
+            rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+            got: dict[int, list[int]] = {}
+            for r in neighbours.search(rows, rows.where("vec_id % 5 = 0")).collect():
+                got.setdefault(r.query_id, []).append(r.vec_id)
+            assert {q: len(set(v)) for q, v in got.items()} == ({q: min(10, n - 1) for q in range(0, n, 5)} if n > 1 else {})
+            if n <= neighbours.BEAM:  # all are met, so that the ten are the nearest
+                for q, found in got.items():
+                    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+                    d[q] = np.inf
+                    assert found and set(found) == set(np.argsort(d)[: min(10, n - 1)].tolist())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_neighbours_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0, 2.0]), (None, [1.0, 1.0]), (2, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
