@@ -1,7 +1,8 @@
 """Search for programs alike: a program is a measure of paths between leaves of its syntax tree.
 
-Each path stands for three points of the hyperbolic disk, its common ancestor and its two ends, placed by
-what leads to them from the root; programs are as far apart as the debiased transport between their paths.
+Paths are drawn by affine order, over all depths of their ancestors. Each stands for three points of the hyperbolic ball, its
+common ancestor and its two ends: two coordinates by the node's sector of the tree and its depth, two by its label. Programs are as
+far apart as the debiased transport between their paths; a program's term against itself is computed once, with its entry.
 Nothing is learned, so that equal programs are encoded alike everywhere. An index is a table, saved as
 Parquet; a search is a scan of it with a bounded top.
 
@@ -11,6 +12,7 @@ Parquet; a search is a scan of it with a bounded top.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import sys
 from pathlib import Path
@@ -20,41 +22,55 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.curvature import polar
+from lodestrata.operators.batched import divergences, objectives, self_terms
 from lodestrata.operators.geometry import Measure, Product, plan_diagnostics, sinkhorn_divergence_of
-from lodestrata.operators.trees import leaf_pairs, python_nodes
+from lodestrata.operators.paths import affine_pairs
+from lodestrata.operators.trees import python_nodes
 from lodestrata.sources.readers import source_tree
 
 #: Paths of a program, as a feature of its encoding, and the share of entropy in a distance.
 PATHS, EPSILON = 32, 0.05
 #: Named geometries: curvature, and whether paths are read in both directions.
 GEOMETRIES = {"hyperbolic": (1.0, True), "near_flat": (1e-4, True), "flat": (0.0, True), "directed": (1.0, False)}
-#: An encoded program: its paths' points (ancestor, start, end; two coordinates each) and labels.
+#: Coordinates of a point, how far out a label lies, and how fast nodes move out with their depth.
+COORDINATES, LABEL_RADIUS, PACE = 4, 0.3, 0.3
+#: An encoded program: its paths' points (ancestor, start, end) and labels.
 ENCODED = "points array<array<double>>, paths array<struct<start: string, lca: string, end: string, length: int>>"
 
 
+def places(nodes: list[dict]) -> np.ndarray:
+    """A point a node: its angle halves its sector, which it shares out among its children; its label turns the other two coordinates."""
+    children = np.bincount([n["parent"] for n in nodes if n["parent"] is not None], minlength=len(nodes))
+    sectors, out = np.zeros((len(nodes), 2)), np.zeros((len(nodes), COORDINATES))
+    for n in nodes:
+        i, up = n["node"], n["parent"]
+        if up is None:
+            sectors[i] = 0.0, 2 * np.pi
+        else:
+            start, width = sectors[up]
+            sectors[i] = start + width * n["child_index"] / children[up], width / children[up]
+        angle, turn = sectors[i][0] + sectors[i][1] / 2, int(hashlib.sha256(n["label"].encode()).hexdigest()[:8], 16) / 2**32 * 2 * np.pi
+        radius = 0.9 * np.tanh(PACE * n["depth"])
+        out[i] = radius * np.cos(angle), radius * np.sin(angle), LABEL_RADIUS * np.cos(turn), LABEL_RADIUS * np.sin(turn)
+    return out
+
+
 def encoded(source: str | None, most: int = PATHS) -> tuple[list[list[float]], list[dict]] | None:
     """Points and labels of a program's paths; null where it does not parse or has fewer than two leaves."""
     nodes = python_nodes(source)
     if not nodes:
         return None
-    place: list[np.ndarray] = []
-    lead: list[str] = []
-    for n in nodes:
-        own = f"{n['label']}:{n['child_index']}"
-        lead.append(own if n["parent"] is None else f"{lead[n['parent']]}/{own}")
-        radius, angle = polar(lead[-1], 0.45, 0.0)
-        place.append(radius * np.array([np.cos(angle), np.sin(angle)]))
-    found = leaf_pairs([(n["node"], n["ancestors"]) for n in nodes if n["last"] == n["node"]], most, "lca_depth_stratified")
+    found = affine_pairs(nodes, most)
     if not found:
         return None
+    place = places(nodes)
     points = [np.concatenate([place[a], place[i], place[j]]).tolist() for i, j, a, _ in found]
     label = lambda i: nodes[i]["label"]
     return points, [{"start": label(i), "lca": label(a), "end": label(j), "length": nodes[i]["depth"] + nodes[j]["depth"] - 2 * d} for i, j, a, d in found]
 
 
 def measure(points) -> Measure:
-    array = np.array([list(p) for p in points], float).reshape(len(points), 3, 2)
+    array = np.array([list(p) for p in points], float).reshape(len(points), 3, COORDINATES)
     return Measure(array, np.full(len(array), 1 / len(array)))
 
 
@@ -69,9 +85,9 @@ class ProgramIndex:
     def __init__(self, entries: DataFrame, geometry: str = "hyperbolic") -> None:
         self.entries, self.geometry = entries, geometry
 
-    @classmethod
-    def build(cls, programs: DataFrame, key: str, source: str, geometry: str = "hyperbolic") -> ProgramIndex:
-        """Of all programs that parse; a null source is left out, repeated rows are so many entries."""
+    @staticmethod
+    def encode(programs: DataFrame, key: str, source: str) -> DataFrame:
+        """id, points and paths of the programs that parse and have a path."""
 
         @F.pandas_udf(ENCODED)
         def encode(sources: pd.Series) -> pd.DataFrame:
@@ -79,7 +95,12 @@ class ProgramIndex:
             return pd.DataFrame({"points": pd.Series([p for p, _ in both], dtype=object), "paths": pd.Series([q for _, q in both], dtype=object)})
 
         rows = programs.select(F.col(key).cast("string").alias("id"), encode(F.col(source)).alias("e")).select("id", "e.*")
-        return cls(rows.where("points IS NOT NULL"), geometry)
+        return rows.where("points IS NOT NULL")
+
+    @classmethod
+    def build(cls, programs: DataFrame, key: str, source: str, geometry: str = "hyperbolic") -> ProgramIndex:
+        """Of all programs that parse; a null source is left out, repeated rows are so many entries."""
+        return cls(self_terms(cls.encode(programs, key, source), product(geometry), EPSILON), geometry)
 
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str, geometry: str = "hyperbolic") -> ProgramIndex:
@@ -103,14 +124,21 @@ class ProgramIndex:
             raise ValueError("the query has no path between two leaves")
         asked, geometry = measure(query[0]), product(self.geometry)
 
+        own = float(objectives(geometry, [asked], [asked], EPSILON)[0])
+
         @F.pandas_udf("double")
-        def far(points: pd.Series) -> pd.Series:
-            return pd.Series([sinkhorn_divergence_of(geometry, asked, measure(p), EPSILON) for p in points])
+        def far(points: pd.Series, terms: pd.Series) -> pd.Series:
+            cross = objectives(geometry, [asked] * len(points), [measure(p) for p in points], EPSILON)
+            return pd.Series(np.maximum(cross - (own + terms.to_numpy()) / 2, 0))
 
-        near = self.entries.select("id", far("points").alias("distance")).orderBy(F.round("distance", 9), "id").limit(top_k)
+        near = self.entries.select("id", far("points", "self_term").alias("distance")).orderBy(F.round("distance", 9), "id").limit(top_k)
         rows = near.collect()  # top_k
         return near.sparkSession.createDataFrame([(i, r.id, r.distance) for i, r in enumerate(rows, 1)], "rank int, id string, distance double")
 
+    def nearest(self, programs: DataFrame, key: str, source: str, top_k: int = 20) -> DataFrame:
+        """query, item, distance and rank: the top_k nearest entries of each of many programs, blocks of programs against blocks of entries; ties by id."""
+        return divergences(self.encode(programs, key, source), self.entries, product(self.geometry), EPSILON, top_k)
+
     def audit(self) -> dict[str, float]:
         """Programs, paths a program, and the mean length and depth of their paths."""
         rows = self.entries.select(F.size("paths").alias("n"), F.aggregate("paths", F.lit(0), lambda a, p: a + p["length"]).alias("l"))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
-import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.distance import MAX_RADIUS, SECTORS, TOP_SECTORS
-from lodestrata.operators.graphs import shortest_paths
-from lodestrata.operators.trees import hyperbolicity, normalized_stress
+from lodestrata.functions.distance import path_point
+from lodestrata.operators.graphs import cut, shortest_paths
 
 
 def least_transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> float:
@@ -68,21 +65,48 @@ def least_transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) ->
     return float((flow * cost).sum())
 
 
+#: Rounds in which nodes of one neighbour are taken off, at most.
+PEELS = 12
+
+
+def cycle_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges whose ends may lie on cycles, and the others: nodes of one neighbour are taken off in rounds, and lie on none."""
+    rest = cut(edges.select("left", "right"))
+    for _ in range(PEELS):
+        ends = rest.select(F.col("left").alias("node")).union(rest.select("right"))
+        single = ends.groupBy("node").agg(F.count("*").alias("n")).where("n = 1").select("node")
+        fewer = rest.join(single.toDF("left"), "left", "left_anti").join(single.toDF("right"), "right", "left_anti").select("left", "right")
+        before, rest = rest, cut(fewer)
+        left, had = rest.count(), before.count()
+        if not left or left == had:
+            break
+    return rest, edges.join(rest, ["left", "right"], "left_anti")
+
+
 def ollivier_curvature(edges: DataFrame, idleness: float = 0.0) -> DataFrame:
     """left, right and 1 - W of each edge, W the least transport between the lazy walks from its ends.
 
-    A walk stays with idleness, else takes a neighbour. Ends of an edge are one step apart, so that distances
-    between their neighbours are 3 at most: one bounded search gives them, and each edge's small problem is a
-    group. Edges are undirected, each once, without loops.
+    A walk stays with idleness, else takes a neighbour. An edge on no cycle has what its ends' degrees say: around it
+    the graph is a tree, and the least transport of a tree is the sum, over its edges, of the masses that must cross them. Ends
+    of the others are one step apart, so that distances between their neighbours are 3 at most: a bounded search gives
+    them, and each edge's small problem is a group. Edges are undirected, each once, without loops.
     """
     if not 0 <= idleness <= 1:
         raise ValueError("idleness is in 0 to 1")
     both = edges.select("left", "right").union(edges.select(F.col("right"), F.col("left"))).toDF("node", "to").distinct()
-    degree = both.groupBy("node").agg(F.count("*").alias("degree"))
-    walk = both.join(degree, "node").select("node", "to", ((1 - idleness) / F.col("degree")).alias("mass"))
+    degree = cut(both.groupBy("node").agg(F.count("*").alias("degree")))
+    cyclic, plain = cycle_edges(edges.select("left", "right"))
+    moving = F.lit(1.0 - idleness)
+    leaving = lambda d: (d - 1) * moving / d  # noqa: E731  to the other neighbours of an end
+    of_ends = plain.join(degree.toDF("left", "dl"), "left").join(degree.toDF("right", "dr"), "right")
+    across = F.abs(1 - moving / F.col("dl") - moving / F.col("dr"))
+    closed = of_ends.select("left", "right", (1 - (leaving(F.col("dl")) + leaving(F.col("dr")) + across)).alias("curvature"))
+    if cyclic.isEmpty():
+        return closed
+    walk = both.join(degree, "node").select("node", "to", (moving / F.col("degree")).alias("mass"))
     if idleness:
         walk = walk.union(degree.select("node", F.col("node").alias("to"), F.lit(float(idleness)).alias("mass")))
-    ends = edges.select("left", "right").join(walk.select(F.col("node").alias("left"), F.col("to").alias("a"), F.col("mass").alias("a_mass")), "left").join(walk.select(F.col("node").alias("right"), F.col("to").alias("b"), F.col("mass").alias("b_mass")), "right")
+    ends = cyclic.join(walk.select(F.col("node").alias("left"), F.col("to").alias("a"), F.col("mass").alias("a_mass")), "left").join(walk.select(F.col("node").alias("right"), F.col("to").alias("b"), F.col("mass").alias("b_mass")), "right")
     near = shortest_paths(edges, 3).select(F.col("left").alias("a"), F.col("right").alias("b"), "distance")
     costs = ends.join(near, ["a", "b"])
     kind = dict(edges.dtypes)["left"]
@@ -95,7 +119,7 @@ def ollivier_curvature(edges: DataFrame, idleness: float = 0.0) -> DataFrame:
         supply[rows], demand[columns] = frame["a_mass"], frame["b_mass"]
         return pd.DataFrame({"left": [key[0]], "right": [key[1]], "curvature": [1.0 - least_transport(supply, demand, cost)]})
 
-    return costs.groupBy("left", "right").applyInPandas(curve, f"left {kind}, right {kind}, curvature double")
+    return closed.union(costs.groupBy("left", "right").applyInPandas(curve, f"left {kind}, right {kind}, curvature double"))
 
 
 def branching(nodes: DataFrame, tree: str) -> DataFrame:
@@ -110,63 +134,77 @@ def branching(nodes: DataFrame, tree: str) -> DataFrame:
     return whole.withColumn("branching_entropy", entropy(F.col("levels"))).drop("levels")
 
 
-def polar(path: str, beta: float, gamma: float) -> tuple[float, float]:
-    """Radius and angle of a path in the unit disk, as distance.path_radius() and path_angle() have them."""
-    parts = [p for p in path.split("/") if p]
-    unit = lambda text: int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big") / float(2**64 - 1)
-    if not parts:
-        return (1 - math.exp(-beta * gamma)) * MAX_RADIUS if gamma else 0.0, 0.0
-    first = parts[0].lower()
-    angle = (TOP_SECTORS.get(first, int(unit(first) * SECTORS) % SECTORS) + 0.5) * 2 * math.pi / SECTORS
-    for depth in range(1, len(parts)):
-        angle += (2 * unit("/".join(parts[: depth + 1])) - 1) * math.pi / (SECTORS * 2**depth)
-    return (1 - math.exp(-beta * (len(parts) + gamma))) * MAX_RADIUS, angle % (2 * math.pi)
-
-
-def tree_profile(paths: list[str], beta: float = 0.45, gamma: float = 0.0, most: int = 40) -> dict[str, float]:
-    """Of the tree of all prefixes of paths: nodes, edges, depth, diameter, hyperbolicity and the stress of flat and hyperbolic distances.
+def diameters(nodes: DataFrame, tree: str) -> DataFrame:
+    """tree and diameter of trees of nodes(tree, parts), parts being the steps from the root: the two deepest branches of some node, which meet there."""
+    steps = F.explode(F.sequence(F.lit(0), F.size("parts")))
+    above = nodes.select(tree, "parts", steps.alias("at"))
+    branches = above.groupBy(tree, F.slice("parts", 1, F.col("at")).alias("top"), F.slice("parts", 1, F.col("at") + 1).alias("branch")).agg(F.max(F.size("parts") - F.col("at")).alias("height"))
+    rank = F.row_number().over(Window.partitionBy(tree, "top").orderBy(F.desc("height")))
+    two = branches.where("height > 0 OR size(top) = 0").withColumn("rank", rank).where("rank <= 2")
+    return two.groupBy(tree, "top").agg(F.sum("height").alias("across")).groupBy(tree).agg(F.max("across").cast("double").alias("diameter"))
 
-    hyperbolicity is taken over all fours of up to most nodes, and is 0 by definition for larger trees.
-    """
-    nodes = sorted({"/".join(parts[:i]) for p in paths for parts in [[x for x in p.split("/") if x]] for i in range(len(parts) + 1)})
-    split = [n.split("/") if n else [] for n in nodes]
-    depth = np.array([len(s) for s in split])
-    shared = np.array([[sum(1 for _ in _same(a, b)) for b in split] for a in split]).reshape(len(nodes), len(nodes))
-    distance = (depth[:, None] + depth[None] - 2 * shared).astype(float)
-    points = np.array([[r * math.cos(t), r * math.sin(t)] for n in nodes for r, t in [polar(n, beta, gamma)]]).reshape(-1, 2)
-    flat = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    norm = 1 - (points**2).sum(1)
-    curved = np.arccosh(1 + 2 * flat**2 / np.maximum(norm[:, None] * norm[None], 1e-15))
-    stress = [normalized_stress(distance, d)[1] if len(nodes) > 1 else 0.0 for d in (flat, curved)]
-    return {"nodes": len(nodes), "edges": max(0, len(nodes) - 1), "max_depth": int(depth.max(initial=0)), "diameter": float(distance.max(initial=0)), "hyperbolicity": hyperbolicity(distance) if len(nodes) <= most else 0.0, "flat_stress": stress[0], "hyperbolic_stress": stress[1], "advantage": (stress[0] - stress[1]) / max(*stress, 1e-12)}
-
-
-def _same(a: list[str], b: list[str]):
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            return
-        yield x
 
+#: Nodes of a block that is held against another.
+NODES_A_BLOCK = 512
 
-#: The fields of a tree's profile.
-PROFILE = "nodes long, edges long, max_depth long, diameter double, hyperbolicity double, flat_stress double, hyperbolic_stress double, advantage double"
 
+def stresses(nodes: DataFrame, tree: str) -> DataFrame:
+    """tree, flat_stress, hyperbolic_stress and advantage: how far distances in the disk, best scaled, are from those in the tree, over all pairs of a tree's nodes.
 
-def profiles(collections: DataFrame, key: str, paths: str) -> DataFrame:
-    """key and tree_profile() of an array of paths a row."""
-
-    @F.pandas_udf(PROFILE)
-    def profile(arrays: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([tree_profile([] if a is None else list(a)) for a in arrays])
-
-    return collections.select(key, profile(F.col(paths)).alias("p")).select(key, "p.*")
+    Nodes are placed by path_point(). Pairs are summed in blocks of nodes by blocks: a block gives five sums, and no task holds more than
+    two blocks, whatever a tree's size. A tree of one node has stress 0.
+    """
+    placed = nodes.select(tree, "parts", path_point(F.col("parts")).alias("point"))
+    sizes = nodes.groupBy(tree).agg(F.ceil(F.count("*") / NODES_A_BLOCK).alias("blocks"))
+    rows = cut(placed.join(sizes, tree).withColumn("block", F.pmod(F.xxhash64("parts"), F.col("blocks"))))
+    first = rows.select(tree, "parts", "point", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+    second = rows.select(F.col(tree).alias("of"), "parts", "point", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("k"), F.col("block").alias("l"))
+    kind = dict(nodes.dtypes)[tree]
+
+    def ways(parts: pd.Series, deep: int, known: dict) -> np.ndarray:
+        """The number of each prefix of each path, 0 where it is shorter."""
+        out = np.zeros((len(parts), deep), np.int64)
+        for row, p in enumerate(parts):
+            for d in range(len(p)):
+                out[row, d] = known.setdefault(tuple(p[: d + 1]), len(known) + 1)
+        return out
+
+    def sums(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({tree: [], "d": [], "fd": [], "ff": [], "hd": [], "hh": []})
+        deep = max(1, *(len(p) for p in left["parts"]), *(len(p) for p in right["parts"]))
+        known: dict = {}
+        a, b = ways(left["parts"], deep, known), ways(right["parts"], deep, known)
+        shared = ((a[:, None] == b[None]) & (a[:, None] > 0)).sum(2)
+        d = (a > 0).sum(1)[:, None] + (b > 0).sum(1)[None] - 2.0 * shared
+        x, y = np.stack(left["point"].to_numpy()), np.stack(right["point"].to_numpy())
+        flat = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+        room = (1 - (x * x).sum(1))[:, None] * (1 - (y * y).sum(1))[None]
+        curved = np.arccosh(1 + 2 * flat**2 / np.maximum(room, 1e-15))
+        share = 0.5 if key[1] == key[2] else 1.0  # a block against itself has every pair twice
+        found = [share * float((u * v).sum()) for u, v in ((d, d), (flat, d), (flat, flat), (curved, d), (curved, curved))]
+        return pd.DataFrame([[key[0], *found]], columns=[tree, "d", "fd", "ff", "hd", "hh"])
+
+    parts = first.groupBy(tree, "i", "j").cogroup(second.groupBy("of", "k", "l")).applyInPandas(sums, f"{tree} {kind}, d double, fd double, ff double, hd double, hh double")
+    whole = parts.groupBy(tree).agg(*[F.sum(c).alias(c) for c in ("d", "fd", "ff", "hd", "hh")])
+    tiny = F.lit(1e-12)
+    off = lambda de, ee: F.sqrt(F.greatest(F.col("d") - F.col(de) * F.col(de) / F.greatest(F.col(ee), tiny), F.lit(0.0)) / F.greatest(F.col("d"), tiny))
+    out = whole.select(tree, off("fd", "ff").alias("flat_stress"), off("hd", "hh").alias("hyperbolic_stress"))
+    return out.withColumn("advantage", (F.col("flat_stress") - F.col("hyperbolic_stress")) / F.greatest("flat_stress", "hyperbolic_stress", tiny))
+
+
+def profiles(nodes: DataFrame, tree: str) -> DataFrame:
+    """Of each tree of nodes(tree, node, parent, depth, parts): edges, depth, diameter, branching() and stresses(). Four-point deltas of a tree are 0, and are left out."""
+    shape = branching(nodes, tree)
+    deep = nodes.groupBy(tree).agg((F.count("*") - 1).alias("edges"), F.max("depth").alias("max_depth"))
+    return shape.join(deep, tree).join(diameters(nodes, tree), tree).join(stresses(nodes, tree), tree)
 
 
 def profile_features(kind: str) -> list[Column]:
     """Columns of a profile for learning from: length, size, branching, distortion or all."""
     sets = {
-        "length": [F.log1p("nodes").alias("log_nodes")],
-        "size": [F.log1p("nodes").alias("log_nodes"), F.log1p("edges").alias("log_edges"), F.col("max_depth").cast("double").alias("max_depth")],
+        "length": [F.log1p("nodes").alias("log_nodes"), F.log1p("edges").alias("log_edges")],
+        "size": [F.log1p("nodes").alias("log_nodes"), F.log1p("edges").alias("log_edges"), *[F.col(c).cast("double").alias(c) for c in ("max_depth", "diameter")]],
         "branching": [F.col(c).cast("double").alias(c) for c in ("leaf_fraction", "mean_branching", "max_branching", "branching_entropy")],
         "distortion": [F.col(c).alias(c) for c in ("flat_stress", "hyperbolic_stress", "advantage")],
     }

@@ -186,16 +186,6 @@ def padded(measures: list[Measure]) -> tuple[np.ndarray, np.ndarray]:
     return points, mass
 
 
-def batched_costs(product: Product, left: list[Measure], right: list[Measure]) -> np.ndarray:
-    """Costs of pairs of measures, padded to one array; rows and columns of padding are 0."""
-    (x, a), (y, b) = padded(left), padded(right)
-    out = np.zeros((len(left), x.shape[1], y.shape[1]))
-    for i in range(len(left)):
-        n, m = len(left[i].points), len(right[i].points)
-        out[i, :n, :m] = product.cost(left[i], right[i])
-    return out
-
-
 def rounded_plans(plans: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Plans with exact sums: rows, then columns are scaled down to their masses, and what is missing goes in as one rank."""
     rows = np.minimum(1, left / np.maximum(plans.sum(2), 1e-300))
@@ -236,10 +226,10 @@ def divergence(left: Column, right: Column, factors: int, curvature: float, epsi
 
 
 def sinkhorn_divergence_of(product: Product, left: Measure, right: Measure, epsilon: float) -> float:
-    """Entropic cost of left against right, less half of each against itself."""
+    """Entropic cost of left against right, less half of each against itself; not below 0."""
 
     def value(a: Measure, b: Measure) -> float:
         cost = product.cost(a, b)
         return entropic_objective(sinkhorn_plan(cost, a.mass, b.mass, epsilon, ITERATIONS), cost, a.mass, b.mass, epsilon)
 
-    return value(left, right) - (value(left, left) + value(right, right)) / 2
+    return max(0.0, value(left, right) - (value(left, left) + value(right, right)) / 2)

@@ -16,11 +16,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.paths import affine_pairs
+
 #: A node: its number in preorder, its parent's (null for the root), place among its siblings, depth,
-#: label, last number in its subtree, and the numbers from the root to it.
-NODES = "array<struct<node: int, parent: int, child_index: int, depth: int, label: string, last: int, ancestors: array<int>>>"
+#: label, last number in its subtree, and the numbers from the root to it; the field of the parent that holds it (root: of
+#: none), its place in that field, the text of a terminal, the name it bears and its line and column.
+NODES = "array<struct<node: int, parent: int, child_index: int, depth: int, label: string, last: int, ancestors: array<int>, edge: string, place: int, token: string, name: string, span: string>>"
 #: Path selection orders.
-POLICIES = ("preorder_first", "hash_sorted", "lca_depth_stratified")
+POLICIES = ("preorder_first", "hash_sorted", "lca_depth_stratified", "lca_depth_affine")
+
+
+def flat(value: object) -> list[object]:
+    """The parts of a field, however its lists nest, that are nodes or scalars (None too)."""
+    out, stack = [], [value]
+    while stack:
+        part = stack.pop()
+        if isinstance(part, list | tuple):
+            stack += reversed(part)
+        elif part is None or isinstance(part, ast.AST | str | int | float | bool):
+            out.append(part)
+    return out
 
 
 def python_nodes(source: str | None) -> list[dict] | None:
@@ -32,25 +47,38 @@ def python_nodes(source: str | None) -> list[dict] | None:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     out: list[dict] = []
-    stack: list[tuple[object, int | None, int, tuple[int, ...]]] = [(tree, None, 0, ())]
+    stack: list[tuple[object, int | None, int, tuple[int, ...], str, int]] = [(tree, None, 0, (), "root", 0)]
     while stack:
-        item, parent, index, above = stack.pop()
-        number = len(out)
-        is_node = isinstance(item, ast.AST)
-        out.append({"node": number, "parent": parent, "child_index": index, "depth": len(above), "label": type(item).__name__ if is_node else "TerminalToken", "last": number, "ancestors": [*above, number]})
-        if is_node:
-            children: list[object] = []
-            for _, value in ast.iter_fields(item):
-                for child in value if isinstance(value, list) else [value]:
-                    if isinstance(child, ast.AST) or child is None or isinstance(child, str | int | float | bool):
-                        children.append(child)
-            stack += [(child, number, i, (*above, number)) for i, child in reversed(list(enumerate(children)))]
+        item, parent, index, above, edge, place = stack.pop()
+        number, is_node = len(out), isinstance(item, ast.AST)
+        row = {"node": number, "parent": parent, "child_index": index, "depth": len(above), "label": type(item).__name__ if is_node else "TerminalToken", "last": number, "ancestors": [*above, number], "edge": edge, "place": place, "token": None, "name": None, "span": None}
+        out.append(row)
+        if not is_node:
+            row["token"] = str(item)
+            continue
+        own = getattr(item, "name", None)
+        row["name"] = own if isinstance(own, str) and own else None
+        if hasattr(item, "lineno") and hasattr(item, "col_offset"):
+            row["span"] = f"{item.lineno}:{item.col_offset}"
+        children = [(child, field, i) for field, value in ast.iter_fields(item) for i, child in enumerate(flat(value))]
+        stack += [(child, number, i, (*above, number), field, at) for i, (child, field, at) in reversed(list(enumerate(children)))]
     for row in reversed(out):
         if row["parent"] is not None:
             out[row["parent"]]["last"] = max(out[row["parent"]]["last"], row["last"])
     return out
 
 
+def parse_failure(source: str | None) -> str | None:
+    """The name of the error that keeps a program from being parsed; null for one that parses."""
+    if source is None:
+        return "no source"
+    try:
+        ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        return type(error).__name__
+    return None
+
+
 def parse_python(source: Column) -> Column:
     """Nodes of each program, or null."""
 
@@ -86,7 +114,11 @@ def shape(nodes: DataFrame, tree_id: str) -> DataFrame:
 
 
 def leaf_pairs(leaves: list[tuple[int, list[int]]], most: int, policy: str) -> list[tuple[int, int, int, int]]:
-    """Up to most pairs of leaves: start, end, their lowest common ancestor and its depth, in the policy's order."""
+    """Up to most pairs of leaves: start, end, their lowest common ancestor and its depth, in the policy's order.
+
+    All pairs of a tree are held, but for preorder_first; for large trees see paths.affine_pairs().
+    """
+
     def met(a: list[int], b: list[int]) -> tuple[int, int]:
         depth = 0
         for x, y in zip(a, b, strict=False):
@@ -109,7 +141,7 @@ def leaf_pairs(leaves: list[tuple[int, list[int]]], most: int, policy: str) -> l
     raise ValueError(f"unknown policy {policy}")
 
 
-def terminal_paths(df: DataFrame, tree_id: str, source: str, most: int = 64, policy: str = "preorder_first") -> DataFrame:
+def terminal_paths(df: DataFrame, tree_id: str, source: str, most: int = 64, policy: str = "lca_depth_affine") -> DataFrame:
     """tree_id, path_index, start, end, lca, lca_depth and length of leaf-to-leaf paths; most bounds a tree's paths, as a feature."""
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
@@ -120,7 +152,7 @@ def terminal_paths(df: DataFrame, tree_id: str, source: str, most: int = 64, pol
         for s in sources:
             nodes = python_nodes(s) or []
             leaves = [(n["node"], n["ancestors"]) for n in nodes if n["last"] == n["node"]]
-            found = leaf_pairs(leaves, most, policy)
+            found = affine_pairs(nodes, most) if policy == "lca_depth_affine" else leaf_pairs(leaves, most, policy)
             out.append([{"path_index": k, "start": i, "end": j, "lca": a, "lca_depth": d, "length": nodes[i]["depth"] + nodes[j]["depth"] - 2 * d} for k, (i, j, a, d) in enumerate(found)])
         return pd.Series(out, dtype=object)
 

