@@ -24,6 +24,8 @@ NAMES = "ABCDE"
 ALL = (1 << len(NAMES)) - 1
 #: Salts of null ids, which no label meets.
 SALTS = 64
+#: The share of all rows from which on a text is joined apart from the others.
+HOT = 0.001
 
 
 def fails(text: Column) -> list[Column]:
@@ -42,14 +44,19 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bits = sum((c.cast("int") * (1 << i) for i, c in enumerate(fails(text))), F.lit(0))
-    rows = written(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("sign"), bits.alias("bits")), "audit-rows")
-    twice = rows.groupBy("sign").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("sign"), F.lit(SALTS))).otherwise(0)
+    rows = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("sign"), bits.alias("bits")), "audit-rows")
+    twice = rows.groupBy("sign").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
+    # a text of more than a share of all rows is looked up in a table of at most 1 / HOT rows; all others are joined by their digest
+    often = F.col("n") > HOT * rows.count()
+    twice = written(twice.withColumn("often", often).drop("n"), "audit-twice")
+    known = rows.join(F.broadcast(twice.where("often").drop("often")), "sign", "left")
+    rare = known.where("first IS NULL").drop("first").join(twice.where("NOT often").drop("often"), "sign", "left")
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.col("row"), F.lit(SALTS))).otherwise(0)
     told = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).withColumn("salt", F.lit(0).cast("long"))
-    found = rows.withColumn("salt", salt.cast("long")).join(twice, "sign", "left").join(told, ["doc_id", "salt"], "left")
+    found = known.where("first IS NOT NULL").unionByName(rare).withColumn("salt", salt.cast("long")).join(told, ["doc_id", "salt"], "left")
     again = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).cast("int") * (1 << NAMES.index("E"))
     got = found.select("part", (F.col("bits") + again).cast("byte").alias("fails"), *[F.coalesce(c, F.lit(0)).cast("byte").alias(c) for c in ("good", "toxic")])
-    got.read_from = rows
+    got.read_from = rows, twice
     return got
 
 
@@ -106,7 +113,7 @@ def index(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = flagged(docs, labels)
     parts = rows.mapInArrow(counted, "part string, chosen int, kept long, good long, toxic long")
     got = written(parts.groupBy("part", "chosen").agg(*[F.sum(c).alias(c) for c in ("kept", "good", "toxic")]), "audit-index")
-    forget(rows.read_from)
+    forget(*rows.read_from)
     return got
 
 
