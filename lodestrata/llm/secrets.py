@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Shortest candidate, the forest's size and seed, and the score from which a candidate is a secret.
 MIN_LENGTH, TREES, DEPTH, SEED, THRESHOLD = 16, 24, 6, 7, 0.5
+#: Candidates whose places are summed together.
+BLOCK = 1024
 #: Labelled findings generated for each kind.
 EXAMPLES = 160
 #: Words that name a secret, and frequent letter runs of words in the corpus languages.
@@ -152,10 +154,11 @@ def branch(node, f: Column) -> Column:
 SIGN = r"(?:=>|:=|[:=])"
 NAMED = r"(?i:" + "|".join(NAMES) + r")[\w\-]{0,20}[\"'`]?\s{0,3}" + SIGN
 LEAD = "^" + SIGN + r"\s{0,3}[\"'`]?"
-#: The header of a private key, with the key if its end is there; an assigned value with its sign (up to its closing
-#: quote, or else a space or quote); and a run alone. The sign comes first, so that names are looked for only before signs.
-KEY = HEADER + r"(?: BLOCK)?-----(?:[A-Za-z0-9+/=:,.\s\-]{0,20000}?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?"
-VALUE = SIGN + f"(?<={NAMED})" + r"\s{0,3}(?:[\"'`]?" + KEY + r"|\"[^\"\r\n]{1,500}(?=\")|'[^'\r\n]{1,500}(?=')|`[^`\r\n]{1,500}(?=`)|[\"'`]?[^\s\"'`=:>][^\s\"'`]*(?<![.,;:)\]}]))"
+#: The header of a private key, with the key of any length if its end is the next run of dashes; an assigned value with its sign (up to
+#: its closing quote in its line, however far, or else a space or quote); and a run alone. What is repeated is never given back, so that
+#: a pattern reads a line, or a key, once. The sign comes first, so that names are looked for only before signs.
+KEY = HEADER + r"(?: BLOCK)?-----(?:(?:[A-Za-z0-9+/=:,.\s]|-(?!----))*+-{5,}END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?"
+VALUE = SIGN + f"(?<={NAMED})" + r"\s{0,3}(?:[\"'`]?" + KEY + r"|\"[^\"\r\n]++(?=\")|'[^'\r\n]++(?=')|`[^`\r\n]++(?=`)|[\"'`]?[^\s\"'`=:>][^\s\"'`]*(?<![.,;:)\]}]))"
 LONG = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}(?![A-Za-z0-9+/_\-])"
 #: The pattern of a candidate, used to split a text into what lies between them, too; and of a text that may hold any.
 RUN = f"(?:{VALUE}|{LONG}|{KEY})"
@@ -172,8 +175,8 @@ def scan(df: DataFrame, score, text: str = "text", marker: str = "[SECRET]") ->
     so does a text without candidates, which is redacted to itself. Repeated values are found each
     time, and each is judged by its own neighbours: the run before it with what lies between, and what
     follows. Extra columns stay, whatever their names; those named like a result are replaced. Row by row:
-    very long texts are scanned whole, in time that grows with their length and the square of the number of
-    their candidates (one addition each); rows repeat as they are, and an empty table gives an empty result.
+    very long texts are scanned whole, in time that grows with their length and the number of their candidates; rows
+    repeat as they are, and an empty table gives an empty result.
     """
     own = "__"
     while any(c.startswith(own) for c in df.columns):
@@ -194,9 +197,16 @@ def scan(df: DataFrame, score, text: str = "text", marker: str = "[SECRET]") ->
     df = df.withColumn(own + "items", F.transform(runs, item))
     # start of each value: gaps and runs alternate, the first gap may be empty
     lengths = F.zip_with(F.slice(gaps, 1, F.size(runs)), F.zip_with(runs, items, lambda r, c: F.struct(F.length(r).alias("r"), F.length(c["lead"]).alias("l"))), lambda g, x: F.struct(F.length(g).alias("g"), x["r"].alias("r"), x["l"].alias("l")))
-    ends = F.aggregate(lengths, F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, x: F.struct((acc["at"] + x["g"] + x["r"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["g"] + x["l"])).alias("starts")))
+    places = lambda rows, first: F.aggregate(rows, F.struct(first.alias("at"), F.array().cast("array<int>").alias("starts")), lambda acc, x: F.struct((acc["at"] + x["g"] + x["r"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["g"] + x["l"])).alias("starts")))
+    # sums in blocks, so that an array is only ever appended to as long as a block, or as there are blocks
+    df = df.withColumn(own + "lengths", lengths)
+    many = F.ceil(F.size(own + "lengths") / BLOCK).cast("int")
+    df = df.withColumn(own + "blocks", F.when(F.size(own + "lengths") > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda b: F.slice(own + "lengths", b * BLOCK + 1, BLOCK))))
+    sums = F.transform(own + "blocks", lambda rows: F.struct(F.lit(0).alias("g"), F.aggregate(rows, F.lit(0), lambda acc, x: acc + x["g"] + x["r"]).alias("r"), F.lit(0).alias("l")))
+    df = df.withColumn(own + "firsts", places(sums, F.lit(1))["starts"])
+    all_starts = F.flatten(F.zip_with(own + "blocks", own + "firsts", lambda rows, first: places(rows, first)["starts"]))
     likely = lambda c: (c["lead"] != "") | c["value"].rlike(SECRET_LIKE) | c["before"].rlike(NAMED + r"\s{0,3}[\"'`]?$")
-    df = df.withColumn(own + "starts", ends["starts"])
+    df = df.withColumn(own + "starts", all_starts)
     df = df.withColumn(own + "described", F.transform(items, lambda c: F.when(likely(c), described(c["value"], c["before"], c["after"]))))
     df = df.withColumn(own + "scores", F.transform(own + "described", lambda f: F.when(f.isNotNull(), score(f))))
     kind = "array<struct<start: int, value: string, score: double, is_secret: boolean>>"
@@ -206,7 +216,7 @@ def scan(df: DataFrame, score, text: str = "text", marker: str = "[SECRET]") ->
     kept = F.transform(items, lambda c, i: F.concat(F.get(gaps, i), c["lead"], F.when(F.get(scores, i) >= THRESHOLD, F.lit(marker)).otherwise(c["value"])))
     joined = F.concat(F.array_join(kept, ""), F.coalesce(F.get(gaps, F.size(runs)), F.lit("")))
     redacted = F.when(F.exists(scores, lambda p: F.coalesce(p >= THRESHOLD, F.lit(False))), joined).otherwise(F.col(own + "text"))
-    return df.withColumns({"findings": findings, "redacted": redacted}).drop(*[own + n for n in ("text", "runs", "gaps", "items", "starts", "described", "scores")])
+    return df.withColumns({"findings": findings, "redacted": redacted}).drop(*[own + n for n in ("text", "runs", "gaps", "items", "lengths", "blocks", "firsts", "starts", "described", "scores")])
 
 
 def scanner(spark: SparkSession):
