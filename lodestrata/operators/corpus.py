@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.hashing import component_id
@@ -41,8 +41,8 @@ def shared_digest_edges(df: DataFrame, digest: str, group: str, least_shared: in
     return both.select("left", "right", "shared", share.alias("share")).where((F.col("shared") >= least_shared) & (F.col("share") >= least_share))
 
 
-def minhash_signatures(sets: DataFrame, permutations: int = 256, seed: int = 1) -> DataFrame:
-    """id and signature: for each of the seeded odd-multiplier permutations the least value over the set's 64-bit hashes.
+def minhash_signatures(sets: DataFrame, permutations: int = 256, seed: int = 1, carry: Column | None = None) -> DataFrame:
+    """id and signature (and carry, as hashes): for each of the seeded odd-multiplier permutations the least value over the set's 64-bit hashes.
 
     Sets without elements have none.
     """
@@ -59,7 +59,8 @@ def minhash_signatures(sets: DataFrame, permutations: int = 256, seed: int = 1)
             out.append((mixed * np.uint64(0x9E3779B97F4A7C15)).min(1).view("i8"))
         return pd.Series(out)
 
-    return sets.where("size(items) > 0").select("id", least(F.transform("items", lambda s: F.xxhash64(s))).alias("signature"))
+    more = [] if carry is None else [carry.alias("hashes")]
+    return sets.where("size(items) > 0").select("id", least(F.transform("items", lambda s: F.xxhash64(s))).alias("signature"), *more)
 
 
 def fuzzy_pairs(sets: DataFrame, threshold: float = 0.9, bands: int = 32, rows: int = 8) -> DataFrame:

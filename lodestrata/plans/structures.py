@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import distance, text
-from lodestrata.operators import batched, controls, curvature, geometry, graphs, paths, retrieval, trees
+from lodestrata.operators import batched, controls, curvature, geometry, graphs, learn, paths, retrieval, riemann, trees
 from lodestrata.operators.ordered import running
 from lodestrata.plans.registry import query, read, rounded
 
@@ -300,3 +300,40 @@ def product_costs(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("label"), F.transform(F.slice("embedding", 1, 60), lambda x: x.cast("double")).alias("v"))
     pairs = retrieval.distances(rows.where("id % 20 = 0"), rows, lambda x, y: geometry.product_cost(x, y, 3, 0.5))
     return pairs.select(F.col("query").alias("left"), F.col("item").alias("right"), F.round("distance", 5).alias("cost"))
+
+
+# Learnt from sums
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT a.vec_id AS l, b.vec_id AS r, list_distance(a.e[1:32], b.e[1:32]) AS p, list_distance(a.e[33:64], b.e[33:64]) AS q, list_distance(a.e, b.e) AS t, ('0x' || substr(sha256('student|' || a.vec_id || '|' || b.vec_id), 1, 13))::BIGINT / 4503599627370496.0 < 0.5 AS train FROM v a JOIN v b ON a.vec_id != b.vec_id WHERE a.vec_id % 20 = 0),
+  m AS (SELECT avg(p) AS mp, avg(q) AS mq, avg(t) AS mt, greatest(stddev_pop(p), 1e-6) AS sp, greatest(stddev_pop(q), 1e-6) AS sq, greatest(stddev_pop(t), 1e-6) AS st, corr(p, q) AS pq, corr(p, t) AS pt, corr(q, t) AS qt FROM d WHERE train),
+  w AS (SELECT *, (pt * 1.0001 - qt * pq) / (1.0001 * 1.0001 - pq * pq) AS wp, (qt * 1.0001 - pt * pq) / (1.0001 * 1.0001 - pq * pq) AS wq FROM m), o AS (SELECT wp, wq, (wp * (p - mp) / sp + wq * (q - mq) / sq) * st + mt - t AS off FROM d, w WHERE NOT train)
+  SELECT count(*) AS n, round(avg(abs(off)), 6) AS mae, round(sqrt(avg(off * off)), 6) AS rmse, round(any_value(wp), 5) AS first_half, round(any_value(wq), 5) AS second_half FROM o""")
+def distance_student(spark, sf_dir):
+    """A student of the vectors' distance that sees those of their halves."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    both = retrieval.distances(rows.where("id % 20 = 0"), rows, lambda x, y: F.struct(*[distance.euclidean(F.slice(x, i, n), F.slice(y, i, n)).alias(c) for c, i, n in (("p", 1, 32), ("q", 33, 32), ("t", 1, 64))]))
+    pairs = graphs.cut(both.select("query", "item", "distance.*"))
+    train = learn.keyed_share("student", "query", "item") < 0.5
+    weights, predict = learn.distance_student(pairs, ["p", "q"], "t", train)
+    found = learn.errors(predict(pairs.where(~train)), "t")
+    return rounded(found, 6, "mae", "rmse").select("*", *[F.lit(round(weights[c], 5)).alias(n) for c, n in (("p", "first_half"), ("q", "second_half"))])
+
+
+@query()
+def label_means(spark, sf_dir):
+    """The Fréchet mean of each label's vectors, drawn into the ball."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    rows = read(spark, sf_dir, "embeddings").select("label", F.transform(v, lambda x: x / (1 + length)).alias("point"))
+    found = riemann.frechet_means(rows, "label", "point", 1.0)
+    return found.select("label", "n", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"), F.round("spread", 6).alias("spread"))
+
+
+@query()
+def host_order_probe(spark, sf_dir):
+    """Points of hosts' path trees learnt from direct steps, judged by farther ones."""
+    nodes = graphs.cut(host_nodes(spark, sf_dir).withColumn("ancestors", F.concat(F.array(F.lit("")), F.col("parts"))))
+    records = graphs.cut(learn.order_split(paths.order_relations(nodes, "host", incomparable=True), "host"))
+    points = learn.train_order(records.where("train"), nodes, "host", epochs=8)
+    return rounded(learn.order_scores(learn.order_energies(records.where("NOT train"), points, "host")), 4, "auc", "positive_energy", "negative_energy")
