@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ordered import running
+
 #: Bound of an exact enumeration of all resamples.
 EXACT = 50_000
 
@@ -52,7 +54,7 @@ def paired_bootstrap(pairs: DataFrame, baseline: str, candidate: str, key: str,
 
 def resampled(units: DataFrame, replicates: int, seed: str, low: float, high: float) -> DataFrame:
     """n (units), mean, low and high for units(c, n, s), numbered in the order of c: one row a draw, joined on the number."""
-    numbered = units.select((F.row_number().over(Window.orderBy("c")) - 1).cast("long").alias("i"), "n", "s")  # a row a unit
+    numbered = running(units.select("c", "n", "s"), ["c"], {"i": F.lit(1)}).select(F.col("i").cast("long").alias("i"), "n", "s")  # a row a unit
     whole = numbered.agg(F.count("*").alias("units"), (F.sum("s") / F.sum("n")).alias("mean"))
     reps = units.sparkSession.range(replicates).withColumnRenamed("id", "rep")
     draws = reps.join(F.broadcast(whole.select("units"))).where("units > 0").select("rep", "units", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("j"))  # one row
@@ -142,6 +144,21 @@ def spearman_of(x: np.ndarray, y: np.ndarray) -> float:
     return float((a * b).sum() / scale) if scale > 1e-12 else 0.0
 
 
+def leave_one_out(rows: DataFrame, x: str, y: str, key: str, blocks: int = 16) -> DataFrame:
+    """key (that is left out), and rho of all other rows: a row a key, each replicate ranked by itself.
+
+    For the few rows of a study, as replicates times rows is their square; keys are dealt into blocks that each meet all rows.
+    """
+    from lodestrata.operators.controls import weighted_ranks
+
+    whole = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    out = whole.select(F.col("k").alias("out"), F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("block"))
+    rest = whole.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(out, "block").where("k != out").select("out", "x", "y", F.lit(1).alias("w"))
+    ranked = rest.join(weighted_ranks(rest, "out", "x", "w", "rx"), ["out", "x"]).join(weighted_ranks(rest, "out", "y", "w", "ry"), ["out", "y"])
+    varies = (F.stddev_pop("rx") > 1e-12) & (F.stddev_pop("ry") > 1e-12)
+    return ranked.groupBy("out").agg(F.when(varies, F.corr("rx", "ry")).otherwise(0.0).alias("rho")).withColumnRenamed("out", key)
+
+
 def spearman_study(rows: DataFrame, by: list[str], x: str, y: str, key: str, iterations: int = 1000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
     """By group of a study's few rows: n, rho, two-sided permutation p_value, bootstrap low and high (by place), and the least and most rho with one key left out, and which.
 

@@ -207,6 +207,18 @@ def grid(spark, **levels: list) -> DataFrame:
     return spark.createDataFrame([tuple(c) for c in product(*levels.values())], ", ".join(f"`{n}` {kinds[type(levels[n][0])]}" for n in names))
 
 
+def level_grid(rows: DataFrame, names: list[str], most: int = 1000) -> DataFrame:
+    """All combinations of the levels that the named factors have in rows; more than most combinations are an error."""
+    levels = [[r[0] for r in rows.where(F.col(n).isNotNull()).select(n).distinct().limit(most + 1).collect()] for n in names]  # most a factor
+    count = 1
+    for own in levels:
+        count *= len(own)
+    if count > most:
+        raise ValueError("the factors have too many levels for a grid")
+    kinds = dict(rows.dtypes)
+    return rows.sparkSession.createDataFrame(list(product(*levels)), ", ".join(f"`{n}` {kinds[n]}" for n in names))
+
+
 def weight_grid(spark, views: list[str], main: list[float], shares: list[list[float]]) -> DataFrame:
     """Distinct weights of views: the first has each weight of main, the rest of 1 is dealt to the others by each of shares; in a map and a key."""
     rows = {}

@@ -11,13 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Pairs that one block of queries makes with the gallery, about.
+PAIRS_A_BLOCK = 4_000_000
 
-def distances(queries: DataFrame, gallery: DataFrame, distance: Callable[[Column, Column], Column], blocks: int = 8) -> DataFrame:
+
+def distances(queries: DataFrame, gallery: DataFrame, distance: Callable[[Column, Column], Column], blocks: int | None = None) -> DataFrame:
     """query, item, distance and relevant for queries(id, label, v) against gallery(id, label, v), without a query itself.
 
     The stated queries are dealt into blocks and meet every gallery row once a block, an equi-join
-    on the block number that needs no broadcast of either side.
+    on the block number that needs no broadcast of either side. There are as many blocks as keep a block's pairs to
+    PAIRS_A_BLOCK, as counted, or as stated.
     """
+    if blocks is None:
+        asked = queries.count()
+        blocks = max(8, min(asked, asked * gallery.count() // PAIRS_A_BLOCK))
     q = queries.select(F.col("id").alias("query"), F.col("label").alias("q_label"), F.col("v").alias("q_v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     g = gallery.select(F.col("id").alias("item"), F.col("label").alias("g_label"), F.col("v").alias("g_v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     pairs = q.join(g, "block").where("query != item")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.ordered import running, running_best
+
 
 def by_value(df: DataFrame, value: str) -> DataFrame:
     """value, n: the counts that rank statistics need; repeated values are one row before they meet."""
@@ -19,8 +21,12 @@ def average_ranks(df: DataFrame, value: str, out: str, by: list[str] | None = No
     """df with 1-based ranks of value (within by), ties at their mean; ranks are taken over distinct values."""
     keys = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.select(*keys, value, (before - F.col("__n") + (F.col("__n") + 1) / 2).alias(out))
+    if keys:
+        before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+        counts = counts.withColumn("__before", before)
+    else:
+        counts = running(counts, [value], {"__before": F.col("__n")}).withColumn("__before", F.col("__before").cast("long"))
+    ranks = counts.select(*keys, value, (F.col("__before") + (F.col("__n") + 1) / 2).alias(out))
     return df.join(ranks, [*keys, value], "left")
 
 
@@ -149,7 +155,7 @@ def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """df with bin from 0: cut points are the values at place floor(i n / bins) of the sorted values; a value at a cut goes below."""
     n = df.where(F.col(value).isNotNull()).count()
     places = sorted({i * n // bins for i in range(1, bins)}) if n else []
-    counts = by_value(df, value).withColumn("upto", F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    counts = running(by_value(df, value), [value], {"before": F.col("n")}).withColumn("upto", F.col("before") + F.col("n"))
     cuts = list(counts.agg(*[F.min(F.when(F.col("upto") > p, F.col(value))) for p in places]).first()) if places else []
     return df.withColumn("bin", sum(((F.col(value) > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
 
@@ -162,8 +168,7 @@ def pareto_front(df: DataFrame, maximise: str, minimise: str) -> DataFrame:
     aggregated by minimise first, so that the running window has a row for each distinct value.
     """
     best = df.where(f"`{maximise}` IS NOT NULL AND `{minimise}` IS NOT NULL").groupBy(minimise).agg(F.max(maximise).alias("__best"))
-    before = F.max("__best").over(Window.orderBy(minimise).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("__best") > F.col("__before"))).drop("__before")
+    front = running_best(best, [minimise], "__best", "__before").where(F.col("__before").isNull() | (F.col("__best") > F.col("__before"))).drop("__before")
     return df.join(front, (df[minimise] == front[minimise]) & (df[maximise] == front["__best"])).drop(front[minimise]).drop("__best")
 
 

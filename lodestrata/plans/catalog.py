@@ -207,13 +207,14 @@ def keyed_top_users(spark, sf_dir):
     return sampling.keyed_top_k(read(spark, sf_dir, "events"), "event_type", "user_id", "event_id", BEACON, "top", 10)
 
 
-@query(f"""WITH one AS (SELECT o_orderpriority AS g, o_orderkey AS i, {hmac_sql(nul_joined("'cal'", "o_orderpriority", "o_orderkey"))} AS d FROM orders),
-  pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d, i) AS n FROM one) WHERE n <= 64),
-  pairs AS (SELECT CASE WHEN x.g = y.g THEN 'same' ELSE 'cross' END AS pair_type, x.g AS left_group, x.i AS left_item, y.g AS right_group, y.i AS right_item FROM pool x JOIN pool y ON (x.g = y.g AND x.i < y.i) OR (x.n = y.n AND x.g < y.g)),
-  keyed AS (SELECT *, {hmac_sql(nul_joined("'cal'", "left_group", "left_item", "right_group", "right_item"))} AS digest FROM pairs)
-  SELECT pair_type, left_group, left_item, right_group, right_item, digest FROM (SELECT *, row_number() OVER (PARTITION BY pair_type ORDER BY digest) AS k FROM keyed) WHERE k <= 50""")
+@query(f"""WITH r AS (SELECT DISTINCT c_nationkey AS g, c_custkey AS i FROM customer), z AS (SELECT g, count(*)::UBIGINT AS size FROM r GROUP BY g), n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY i) - 1 AS n FROM r),
+  s AS (SELECT 'same' AS pair_type, x.g AS left_group, x.i AS left_item, y.g AS right_group, y.i AS right_item FROM r x JOIN r y ON x.g = y.g AND x.i < y.i), sd AS (SELECT *, {hmac_sql(nul_joined("'cal'", "'r1'", "'same_cluster_rank'", "left_group", "left_item", "right_item"))} AS digest FROM s),
+  t AS (SELECT a.g AS left_group, b.g AS right_group, a.size AS ls, b.size AS rs FROM z a JOIN z b ON a.g < b.g), u AS (SELECT *, ('0x' || substr({hmac_sql(nul_joined("'cal'", "'r1'", "'cross_left_program'", "left_group", "right_group"))}, 1, 16))::UBIGINT % ls AS ln, ('0x' || substr({hmac_sql(nul_joined("'cal'", "'r1'", "'cross_right_program'", "left_group", "right_group"))}, 1, 16))::UBIGINT % rs AS rn FROM t),
+  c AS (SELECT 'cross' AS pair_type, left_group, a.i AS left_item, right_group, b.i AS right_item FROM u JOIN n a ON a.g = left_group AND a.n = ln JOIN n b ON b.g = right_group AND b.n = rn), cd AS (SELECT *, {hmac_sql(nul_joined("'cal'", "'r1'", "'cross_cluster_rank'", "left_group", "right_group", "left_item", "right_item"))} AS digest FROM c)
+  SELECT * FROM (SELECT * FROM sd ORDER BY digest LIMIT 50) UNION ALL SELECT * FROM (SELECT * FROM cd ORDER BY digest LIMIT 50)""")
 def calibration_pairs(spark, sf_dir):
-    return sampling.calibration_pairs(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", BEACON, "cal", 50, 50)
+    """The first pairs by digest, of all pairs of customers of one nation and of one pair for every two nations."""
+    return sampling.every_calibration_pair(read(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", BEACON, "cal", "r1", 50, 50)
 
 
 @query()
@@ -508,29 +509,6 @@ def user_sessions(spark, sf_dir):
     return streams.sessions(read(spark, sf_dir, "events"))
 
 
-#: Programs for the syntax-tree queries; the supplied tables hold none.
-PROGRAMS = [(1, "def f(x):\n    return x + 1\n"), (2, "def g(y):\n    return y + 1\n"), (3, "for i in range(3):\n    print(i)\n"), (4, "import os\nclass A:\n    pass\n"), (5, "def broken(:\n")]
-
-
-def programs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROGRAMS, "program long, source string")
-
-
-@query()
-def program_shapes(spark, sf_dir):
-    return trees.shape(trees.node_table(programs(spark), "program", "source"), "program")
-
-
-@query()
-def program_transitions(spark, sf_dir):
-    return trees.label_transitions(trees.node_table(programs(spark), "program", "source"), "program")
-
-
-@query()
-def program_paths(spark, sf_dir):
-    return trees.terminal_paths(programs(spark), "program", "source", 64, "lca_depth_stratified")
-
-
 @query()
 def type_transport(spark, sf_dir):
     shares = F.array(*[F.lit(i / 20) for i in range(1, 20)])

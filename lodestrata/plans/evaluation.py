@@ -211,9 +211,14 @@ def part_utility(spark, sf_dir):
     return found.select("p_partkey", F.round("utility", 6).alias("utility"))
 
 
-@query("""SELECT g AS geometry, c AS curvature, a AS aggregation FROM (SELECT unnest(['E', 'H']) AS g), (SELECT unnest([0.0, 0.5, 1.0]) AS c), (SELECT unnest(['measure', 'centroid']) AS a)""")
+@query("""SELECT f.l_returnflag, s.l_linestatus, n.l_linenumber, count(l.l_orderkey) AS n, round(coalesce(avg(l.l_discount), 0), 6) AS discount FROM (SELECT DISTINCT l_returnflag FROM lineitem) f CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem) s CROSS JOIN (SELECT DISTINCT l_linenumber FROM lineitem) n
+  LEFT JOIN lineitem l ON l.l_returnflag = f.l_returnflag AND l.l_linestatus = s.l_linestatus AND l.l_linenumber = n.l_linenumber GROUP BY ALL""")
 def factor_grid(spark, sf_dir):
-    return measures.grid(spark, geometry=["E", "H"], curvature=[0.0, 0.5, 1.0], aggregation=["measure", "centroid"])
+    """Every combination of the levels that three factors have, those that no row has too."""
+    names, rows = ["l_returnflag", "l_linestatus", "l_linenumber"], read(spark, sf_dir, "lineitem")
+    cells = rows.groupBy(*names).agg(F.count("*").alias("n"), F.avg("l_discount").alias("discount"))
+    found = measures.level_grid(rows, names).join(cells, names, "left")
+    return found.select(*names, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.round(F.coalesce("discount", F.lit(0.0)), 6).alias("discount"))
 
 
 @query("""SELECT c_custkey, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(encode('folds') || '\\x00'::BLOB || encode(c_custkey::VARCHAR)), c_custkey) - 1) % 5 AS fold FROM customer""")
@@ -343,9 +348,9 @@ def region_permutations(spark, sf_dir):
 @query("""WITH b AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 2) AS x, count(*) AS y FROM customer GROUP BY 1), r AS (SELECT o.k AS o, b.k, rank() OVER (PARTITION BY o.k ORDER BY b.x) + (count(*) OVER (PARTITION BY o.k, b.x) - 1) / 2 AS rx, rank() OVER (PARTITION BY o.k ORDER BY b.y) + (count(*) OVER (PARTITION BY o.k, b.y) - 1) / 2 AS ry FROM b, b o WHERE b.k != o.k),
   c AS (SELECT o, corr(rx, ry) AS c FROM r GROUP BY o) SELECT count(*) AS n, round(min(c), 6) AS rho_min, round(max(c), 6) AS rho_max FROM c""")
 def balance_without_one(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("x"), F.count("*").alias("y")).withColumn("all", F.lit(1))
-    found = inference.spearman_study(rows, ["all"], "x", "y", "c_nationkey", iterations=50)
-    return rounded(found, 6, "rho_min", "rho_max").select("n", "rho_min", "rho_max")
+    rows = read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("x"), F.count("*").alias("y"))
+    found = inference.leave_one_out(rows, "x", "y", "c_nationkey").agg(F.count("*").alias("n"), F.min("rho").alias("rho_min"), F.max("rho").alias("rho_max"))
+    return rounded(found, 6, "rho_min", "rho_max")
 
 
 @query("""WITH c AS (SELECT user_id % 20 AS c, event_type || floor(value / 20)::BIGINT AS u, count(*) AS n FROM events GROUP BY ALL), o AS (SELECT sim, c, row_number() OVER (PARTITION BY sim ORDER BY sha256('attrition|' || sim || '|' || c), c) AS p FROM (SELECT DISTINCT c FROM c), range(10) r(sim)),

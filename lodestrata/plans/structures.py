@@ -177,6 +177,19 @@ def drawn_sql(most: int) -> str:
     JOIN l x ON x.host = u.host AND x.at = low + (rank - start) // width JOIN l y ON y.host = u.host AND y.at = high + (rank - start) % width WHERE path_index < {most})"""
 
 
+@query(f"""WITH {NUMBERED} SELECT host, count(*) AS nodes, sum((last = number)::INT)::BIGINT AS leaves, max(depth) AS depth, round(avg(depth), 6) AS mean_depth, round((count(*) - 1) / greatest(1, sum((last <> number)::INT)), 6) AS branching FROM z GROUP BY host""")
+def host_shapes(spark, sf_dir):
+    return rounded(trees.shape(host_nodes(spark, sf_dir), "host"), 6, "mean_depth", "branching")
+
+
+@query(f"""WITH {NUMBERED}, q AS (SELECT c.host, coalesce(p.parts[p.depth][1], '/') AS parent_label, c.parts[c.depth][1] AS child_label FROM w c JOIN z p ON p.host = c.host AND p.number = c.parent), g AS (SELECT host, parent_label, child_label, count(*) AS n FROM q GROUP BY ALL)
+  SELECT host, parent_label, child_label, n, round(n / sum(n) OVER (PARTITION BY host, parent_label), 6) AS p FROM g""")
+def host_transitions(spark, sf_dir):
+    """Steps from a folder to one below by the first letters of their names."""
+    label = F.when(F.col("depth") > 0, F.substring(F.element_at("parts", -1), 1, 1)).otherwise("/")
+    return rounded(trees.label_transitions(host_nodes(spark, sf_dir).withColumn("label", label), "host"), 6, "p")
+
+
 @query(f"""WITH {drawn_sql(32)} SELECT host, path_index, i AS "start", j AS "end", lca, lca_depth, length FROM d""")
 def host_path_samples(spark, sf_dir):
     return paths.sampled_paths(host_nodes(spark, sf_dir), "host", 32)

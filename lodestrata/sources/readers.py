@@ -126,9 +126,12 @@ def tar_csv_rows(spark: SparkSession, paths: list[str], where: str) -> DataFrame
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line (from 1) and value of text files: a file is read whole by one task, as line numbers need."""
-    whole = spark.read.format("binaryFile").load(path).select("path", F.split(F.decode("content", "utf-8"), "\r?\n").alias("lines"))
-    return whole.select("path", F.posexplode("lines").alias("at", "value")).select("path", (F.col("at") + 1).alias("line"), "value")
+    """path, line (from 1) and value of text files, by splits: a split counts its lines, and starts at the sum of those before it in its file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("path", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("path", "split", "first", F.coalesce(before, F.lit(0)).alias("start"))
+    return lines.join(starts, ["path", "split"]).select("path", (F.col("at") - F.col("first") + F.col("start") + 1).alias("line"), "value")
 
 
 def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
