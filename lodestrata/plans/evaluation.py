@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text
-from lodestrata.operators import inference, measures
+from lodestrata.operators import eligibility, inference, measures
 from lodestrata.plans.registry import query, read, rounded
 
 # Predictions: event types of each user, scored by how often they are, true where their mean value is above the table's
@@ -371,3 +371,29 @@ def sampled_customers(spark, sf_dir):
 def sampled_places(spark, sf_dir):
     words = F.transform(text.tokens(F.col("text")), lambda x, i: i)
     return read(spark, sf_dir, "benchmark").select("item_id", F.array_join(inference.sampled_contexts(words, 5, F.col("item_id")), ",").alias("places"))
+
+
+# The chain of eligibility, over documents: bytes, words, and the set of words
+
+CHAIN = r"""WITH RECURSIVE d AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS d0, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), k AS (SELECT doc_id, source, len(w) >= 3 AS ok, d0, sha256(array_to_string(w, ' ')) AS d1, sha256(array_to_string(list_sort(list_distinct(w)), ' ')) AS d2 FROM d),
+  m AS (SELECT doc_id, unnest(['0' || d0, '1' || d1, '2' || d2]) AS mark FROM k), f AS (SELECT mark, min(doc_id) AS first FROM m GROUP BY mark), e AS (SELECT DISTINCT doc_id AS a, first AS b FROM m JOIN f USING (mark) WHERE doc_id <> first), t AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  r(node, other) AS (SELECT doc_id, doc_id FROM k UNION SELECT r.node, t.b FROM r JOIN t ON t.a = r.other), c AS (SELECT node AS doc_id, min(other) AS component FROM r GROUP BY node), x AS (SELECT k.*, component, ok AND k.doc_id = component AS retained FROM k JOIN c USING (doc_id))"""
+
+
+def document_chain(spark, sf_dir):
+    docs, words = read(spark, sf_dir, "documents"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"))
+    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), words.alias("w"))
+    kinds = {"d0": F.sha2("text", 256), "d1": F.sha2(F.array_join("w", " "), 256), "d2": F.sha2(F.array_join(F.array_sort(F.array_distinct("w")), " "), 256)}
+    return eligibility.exact_retained(rows.select("doc_id", "source", (F.size("w") >= 3).alias("ok"), *[c.alias(k) for k, c in kinds.items()]), "doc_id", "ok")
+
+
+@query(CHAIN + """ SELECT source, count(*) AS files, sum(ok::INT)::BIGINT AS parse_ok, round(avg(ok::INT), 6) AS parse_rate, sum((ok AND NOT retained)::INT)::BIGINT AS exact_removed, sum(retained::INT)::BIGINT AS retained FROM x GROUP BY source""")
+def source_eligibility(spark, sf_dir):
+    return rounded(eligibility.group_summary(document_chain(spark, sf_dir), "source", "ok"), 6, "parse_rate")
+
+
+@query(CHAIN + """, p AS (SELECT DISTINCT source AS g, d2 AS h FROM x), z AS (SELECT g, count(*) AS n FROM p GROUP BY g), s AS (SELECT a.g AS l, b.g AS r, count(*) AS n FROM p a JOIN p b ON a.h = b.h AND a.g < b.g GROUP BY ALL), l AS (SELECT l, r FROM s JOIN z x1 ON x1.g = l JOIN z y1 ON y1.g = r WHERE s.n >= 2 AND s.n / least(x1.n, y1.n) >= 0.02),
+  u AS (SELECT l AS a, r AS b FROM l UNION SELECT r, l FROM l), q(node, other) AS (SELECT g, g FROM z UNION SELECT q.node, u.b FROM q JOIN u ON u.a = q.other), o AS (SELECT node AS source, min(other) AS component FROM q GROUP BY node), n AS (SELECT source, sum(retained::INT)::BIGINT AS retained FROM x GROUP BY source),
+  y AS (SELECT component, string_agg(source, '|' ORDER BY source) AS names, count(*) AS group_count, sum(retained)::BIGINT AS retained FROM o JOIN n USING (source) GROUP BY component) SELECT 'problem-' || substr(sha256(names), 1, 20) AS cluster_id, group_count::INT AS group_count, retained, retained >= 64 AS eligible FROM y""")
+def source_clusters(spark, sf_dir):
+    return eligibility.clusters(document_chain(spark, sf_dir), "source", "d2", "retained", 2, 0.02).drop("groups")

@@ -9,6 +9,7 @@ import tarfile
 
 import pytest
 
+from lodestrata.operators import graphs
 from lodestrata.sources import readers, writers
 
 
@@ -81,3 +82,46 @@ def test_atomic_and_archived(spark, tmp_path):
         assert [(m.name, tar.extractfile(m).read()) for m in tar] == [("a", b"1"), ("b", b"2")]
     writers.write_signatures(spark.createDataFrame([(2, [3, 4]), (1, [5, 6])], "k long, s array<int>").coalesce(1), str(tmp_path / "sig"), "k", "s")
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "sig")).collect()] == [(1, [5, 6]), (2, [3, 4])]
+
+
+def test_chain_from_files_to_eligible_programs(spark, tmp_path):
+    """Copies of three kinds and a near copy fall to the first by path; problems that share programs are one cluster."""
+    from lodestrata.operators import eligibility
+
+    long = "\n".join(f"value_{i} = compute(value_{i - 1}, {i})" for i in range(1, 60))
+    near = long.replace("compute(value_30, 31)", "other(value_30, 31)")
+    files = {
+        "p1/a.py": b"x = 1\nprint(x)\n", "p1/b.py": b"x = 1\nprint(x)\n",  # the same bytes
+        "p1/c.py": b"x = 1  \r\nprint(x)\n\n\n",  # the same text but for layout
+        "p2/a.py": b"y = 2\nprint(y)\n",  # the same structure
+        "p2/b.py": b"def (:\n", "p2/c.py": b"\xff\xfe\x00", "p2/d.py": "# -*- coding: latin-1 -*-\ns = '\xe9'\n".encode("latin-1"),
+        "p3/a.py": long.encode(), "p3/b.py": near.encode(), "p3/c.py": b"import os\n",
+    }
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    rows = graphs.cut(eligibility.inventory(readers.source_tree(spark, str(tmp_path))))
+    whole = graphs.cut(eligibility.near_retained(eligibility.exact_retained(rows, "source_relpath", "parse_ok"), "source_relpath", "shingles", 0.8, 32, 4))
+    got = {r.source_relpath: r for r in whole.collect()}
+    assert {n for n, r in got.items() if r.component == "p1/a.py"} == {"p1/a.py", "p1/b.py", "p1/c.py", "p2/a.py"}
+    assert {n for n, r in got.items() if not r.parse_ok} == {"p2/b.py", "p2/c.py"} and not got["p2/c.py"].decode_ok and got["p2/d.py"].encoding == "iso-8859-1"
+    assert {n for n, r in got.items() if r.retained} == {"p1/a.py", "p2/d.py", "p3/a.py", "p3/b.py", "p3/c.py"}
+    assert {n for n, r in got.items() if r.near_retained} == {"p1/a.py", "p2/d.py", "p3/a.py", "p3/c.py"}
+    found = {tuple(r["groups"]): (r.retained, r.eligible) for r in eligibility.clusters(whole, "problem_id", "d2", "near_retained", 1, 0.05, 2).collect()}
+    assert found == {("p1", "p2"): (2, True), ("p3",): (2, True)}
+    stats = {r.problem_id: r for r in eligibility.group_summary(whole, "problem_id", "parse_ok").collect()}
+    assert (stats["p1"].files, stats["p1"].exact_removed, stats["p2"].parse_ok, stats["p2"].exact_removed) == (3, 2, 2, 1)
+
+
+def test_line_numbers_by_splits(spark, tmp_path):
+    """Files of many splits have the numbers that reading them whole gives."""
+    texts = {f"f{k}.txt": [f"{k} {i} " + "x" * (i % 37) for i in range(1, n + 1)] for k, n in enumerate((1, 900, 40))}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.path.rsplit("/")[-1], r.line, r.value) for r in got) == sorted((n, i, v) for n, lines in texts.items() for i, v in enumerate(lines, 1))
