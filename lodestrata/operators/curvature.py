@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.distance import path_point
-from lodestrata.operators.graphs import cut, shortest_paths
+from lodestrata.operators.graphs import cut, discard, shortest_paths
 
 
 def least_transport(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> float:
@@ -78,6 +78,7 @@ def cycle_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         fewer = rest.join(single.toDF("left"), "left", "left_anti").join(single.toDF("right"), "right", "left_anti").select("left", "right")
         before, rest = rest, cut(fewer)
         left, had = rest.count(), before.count()
+        discard(before)
         if not left or left == had:
             break
     return rest, edges.join(rest, ["left", "right"], "left_anti")

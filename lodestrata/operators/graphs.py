@@ -25,7 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
         folder = tempfile.gettempdir()
     path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of cut() that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "cut_path", None):
+            jvm, spark = df.sparkSession._jvm, df.sparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,8 +54,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        pairs = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        old, pairs = pairs, cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         after = state(pairs)
+        discard(old, large)
         if after == before:
             break
         before = after

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.geometry import apart, into_ball
-from lodestrata.operators.graphs import cut
+from lodestrata.operators.graphs import cut, discard
 
 SMALL = 1e-15
 
@@ -129,6 +129,7 @@ def frechet_means(rows: DataFrame, group: str, point: str, curvature: float, rou
         part = data.join(means.select("g", "mean"), "g").mapInPandas(tangents, f"g {kind}, s array<double>")
         total = part.select("g", F.posexplode("s")).groupBy("g", "pos").agg(F.sum("col").alias("v")).groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("s"))
         found = cut(total.join(means.select("g", "mean"), "g").select("g", step("mean", "s").alias("r")).select("g", "r.*"))
+        discard(means)
         means = found
         if not found.where(F.col("gradient") > tolerance).limit(1).count():
             break
