@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -74,3 +76,29 @@ def test_nearest_of_both_and_precision(spark, small):
         assert both[q].positive == pytest.approx(min(far[i] for i, s in zip(order, same, strict=True) if s and i in far), abs=1e-9)
         assert both[q].negative == pytest.approx(min(far[i] for i, s in zip(order, same, strict=True) if not s and i in far), abs=1e-9)
         assert at_r[q] == pytest.approx(sum(sum(same[: n + 1]) / (n + 1) for n in range(7) if same[n]) / min(7, sum(same)))
+
+
+def test_medians_and_costs_of_all_pairs(spark, small):
+    rows, found = table(spark)
+    asked = rows.where("id % 20 = 0")
+    far = {(q, i): euclid(np.array(found[q][1]), np.array(x)) for q in range(0, 240, 20) for i, (_, x) in found.items() if i != q and x is not None}
+    for some in (asked, asked.where("id < 20")):
+        here = [d for (q, _), d in far.items() if some is asked or q < 20]
+        assert blocks.order_statistics(some, rows, [blocks.euclidean, lambda x, y: 0 * blocks.euclidean(x, y)]) == pytest.approx([np.median([d for d in here if d > 0]), 1.0], rel=1e-12)
+    got = {(r["query"], r["item"]): r.distance for r in blocks.costs(asked, rows, blocks.euclidean).collect()}
+    assert len(got) == 12 * 239 and all(abs(got[k] - d) < 1e-9 for k, d in far.items()) and got[20, 11] is None
+
+
+def test_student_sees_every_pair(spark, small):
+    rows, found = table(spark)
+    first = lambda x, y: blocks.euclidean(x[:, :3], y[:, :3])
+    weights, errors = blocks.student(rows.where("id % 20 = 0"), rows, [first], blocks.euclidean, "student")
+    pairs = [(q, i) for q in range(0, 240, 20) for i, (_, x) in found.items() if i != q and x is not None]
+    bits = {p: hashlib.sha256(f"student|{p[0]}|{p[1]}".encode()).hexdigest() for p in pairs}
+    at = lambda p, n: euclid(np.array(found[p[0]][1])[:n], np.array(found[p[1]][1])[:n])
+    learnt = np.array([(at(p, 3), at(p, 6)) for p in pairs if int(bits[p][:13], 16) / 2**52 < 0.5])
+    other = np.array([(at(p, 3), at(p, 6)) for p in pairs if int(bits[p][:13], 16) / 2**52 >= 0.5])
+    w = np.corrcoef(learnt.T)[0, 1] / 1.0001
+    off = w * (other[:, 0] - learnt[:, 0].mean()) / learnt[:, 0].std() * learnt[:, 1].std() + learnt[:, 1].mean() - other[:, 1]
+    row = errors.first()
+    assert weights[0] == pytest.approx(w) and row.n == len(other) and row.mae == pytest.approx(np.abs(off).mean()) and row.rmse == pytest.approx(np.sqrt((off * off).mean()))
