@@ -145,6 +145,18 @@ def diameters(nodes: DataFrame, tree: str) -> DataFrame:
     return two.groupBy(tree, "top").agg(F.sum("height").alias("across")).groupBy(tree).agg(F.max("across").cast("double").alias("diameter"))
 
 
+def tree_hyperbolicity(nodes: DataFrame, tree: str) -> DataFrame:
+    """tree and hyperbolicity (the largest four_point_delta() over all fours of nodes) of trees of nodes(tree, parts): 0 if every node but one root hangs from a node that is there, else null.
+
+    In a tree the two larger sums of opposite pairs of any four nodes are equal, so that no four need be made; whether it is one is counted.
+    """
+    own = nodes.select(tree, "parts").distinct()
+    up = own.where("size(parts) > 0").select(tree, F.slice("parts", 1, F.size("parts") - 1).alias("parts"))
+    hung = up.join(own, [tree, "parts"], "left_semi").groupBy(tree).agg(F.count("*").alias("hung"))
+    counted = own.groupBy(tree).agg(F.count("*").alias("nodes")).join(hung, tree, "left")
+    return counted.select(tree, F.when(F.coalesce("hung", F.lit(0)) == F.col("nodes") - 1, F.lit(0.0)).alias("hyperbolicity"))
+
+
 #: Nodes of a block that is held against another.
 NODES_A_BLOCK = 512
 

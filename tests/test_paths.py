@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata import index
-from lodestrata.operators import batched, controls, curvature, geometry, ordered, paths, trees, transport
+from lodestrata.operators import batched, controls, curvature, geometry, graphs, ordered, paths, trees, transport
 
 PROGRAMS = {
     "f": "def f(a, b=1):\n    for x in a:\n        if x: return [x, b, (1, 2)]\n    return None\n",
@@ -346,3 +346,15 @@ def test_entry_with_the_subpackage_hidden():
     from pathlib import Path
 
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1]).returncode == 0
+
+
+def test_hyperbolicity_of_trees_and_others(spark):
+    rows = [("t", []), ("t", ["a"]), ("t", ["a", "b"]), ("t", ["c"]), ("one", []), ("gap", []), ("gap", ["a", "b"])]
+    got = curvature.tree_hyperbolicity(spark.createDataFrame(rows, "host string, parts array<string>"), "host").collect()
+    assert {r.host: r.hyperbolicity for r in got} == {"t": 0.0, "one": 0.0, "gap": None}
+
+
+def test_balls_of_a_forest(spark):
+    edges = spark.createDataFrame([("r", str(i)) for i in range(30)] + [("3", "3a"), ("3a", "3b"), ("3b", "3c"), ("x", "y")], "left string, right string")
+    plain = lambda df: sorted((r.node, r.radius, r["size"]) for r in df.collect())
+    assert plain(graphs.forest_ball_sizes(edges, (1, 2, 3))) == plain(graphs.ball_sizes(edges, (1, 2, 3)))
