@@ -288,3 +288,22 @@ def test_every_calibration_pair_equals_brute_force(spark):
     got = sampling.every_calibration_pair(rows, "g", "i", catalog.BEACON, "cal", "r1", 40, 7).collect()
     for kind, want in (("same", same), ("cross", sorted(cross)[:7])):
         assert sorted((r.digest, r.left_group, r.left_item, r.right_group, r.right_item) for r in got if r.pair_type == kind) == want
+
+
+def test_sparse_cosine_sums_equal_brute_force_by_blocks(spark, monkeypatch):
+    from lodestrata.operators import features
+
+    for name, value in (("QUERIES", 7), ("GALLERY", 20), ("STRIP", 6), ("AT_ONCE", 50), ("OFTEN", 0.3)):
+        monkeypatch.setattr(features, name, value)
+    rng = random.Random(8)
+    bags = {i: {w: rng.randint(1, 9) / 4 for w in (f"w{int(rng.paretovariate(0.4)) % 50}" for _ in range(rng.randint(1, 9)))} | ({"all": 0.5} if i % 3 else {}) for i in range(90)}
+    rows = spark.createDataFrame([(i, w, x) for i, b in bags.items() for w, x in b.items()], "id long, item string, weight double").repartition(5)
+    norm = {i: math.sqrt(sum(x * x for x in b.values())) for i, b in bags.items()}
+    found = features.sparse_cosine_sums(rows.where("id % 5 = 0").select("id"), rows, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "SortMergeJoin [item" not in plan  # pairs are summed in the tasks that make them
+    got = {r["query"]: (r.met, r.best, r.total) for r in found.collect()}
+    for q in range(0, 90, 5):
+        met = [sum(x * bags[d][w] for w, x in bags[q].items() if w in bags[d]) / norm[q] / norm[d] for d in bags if d != q and bags[q].keys() & bags[d].keys()]
+        assert got.pop(q) == (len(met), pytest.approx(max(met)), pytest.approx(sum(met)))
+    assert not got
