@@ -307,3 +307,15 @@ def test_sparse_cosine_sums_equal_brute_force_by_blocks(spark, monkeypatch):
         met = [sum(x * bags[d][w] for w, x in bags[q].items() if w in bags[d]) / norm[q] / norm[d] for d in bags if d != q and bags[q].keys() & bags[d].keys()]
         assert got.pop(q) == (len(met), pytest.approx(max(met)), pytest.approx(sum(met)))
     assert not got
+
+
+def test_calibration_pairs_broadcast_no_items(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "PAIR_BLOCK", 16)
+    rows = spark.range(300).selectExpr("CAST(id % 3 AS string) AS g", "CAST(id AS string) AS i")
+    key = lambda g, x, y: hmac.new(catalog.BEACON, b"\0".join(f.encode() for f in ("cal", "r1", "same_cluster_rank", g, x, y)), hashlib.sha256).hexdigest()
+    items = [(str(n % 3), str(n)) for n in range(300)]
+    want = sorted((key(g, x, y), x, y) for g, x in items for h, y in items if g == h and x < y)[:30]
+    found = sampling.every_calibration_pair(rows, "g", "i", catalog.BEACON, "cal", "r1", 30, 0)
+    assert sorted((r.digest, r.left_item, r.right_item) for r in found.collect()) == want
+    pairs = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in pairs or "leftHint=(strategy=merge)" in pairs
