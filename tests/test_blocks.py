@@ -107,3 +107,24 @@ def test_student_sees_every_pair(spark, small):
 def test_shingling_bounds_its_batches(spark):
     catalog.shingle_sets(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+
+
+def test_scores_by_blocks_equal_windows_over_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 1000)
+    monkeypatch.setattr(blocks, "CHUNK", 50)
+    rows, found = table(spark)
+    rows = rows.selectExpr("id", "IF(id % 17 = 3, NULL, label) AS label", "v")
+    label = {i: None if i % 17 == 3 else x for i, (x, _) in found.items()}
+    scored = blocks.scores(rows.where("id % 20 = 0"), rows, blocks.euclidean)
+    assert "Window" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {r["query"]: r for r in scored.collect()}
+    for q in range(0, 240, 20):
+        order, _ = ordered(found, q, euclid)
+        places = [n for n, i in enumerate(order, 1) if label[q] is not None and label[i] == label[q]]
+        if not places:
+            assert q not in got
+            continue
+        r = got[q]
+        assert (r.q_label, r.positives, r.reciprocal_rank) == (label[q], len(places), 1 / places[0])
+        assert r.average_precision == pytest.approx(np.mean([n / p for n, p in enumerate(places, 1)]))
+        assert (r.recall_5, r.hit_10) == (sum(p <= 5 for p in places) / len(places), int(places[0] <= 10))
