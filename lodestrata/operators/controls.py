@@ -141,8 +141,14 @@ def weight_choice(ranks: DataFrame, grid: list[tuple[float, ...]], guard: int |
 # Rank correlation under resampling
 
 
-def weighted_ranks(rows: DataFrame, by: str, value: str, weight: str, out: str) -> DataFrame:
-    """by, value and out: mean rank of a value where every row stands for weight rows."""
+#: Rows that a task of a resampling holds, about.
+TASK_ROWS = 1_000_000
+
+
+def weighted_ranks(rows: DataFrame, by: str, value: str, weight: str, out: str, tasks: int | None = None) -> DataFrame:
+    """by, value and out: mean rank of a value where every row stands for weight rows; rows are dealt into tasks before they are summed, if stated."""
+    if tasks:
+        rows = rows.select(by, value, weight).repartition(tasks, by, value)
     sums = rows.groupBy(by, value).agg(F.sum(weight).alias("__w"))
     before = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(by, value, (F.coalesce(F.sum("__w").over(before), F.lit(0)) + (F.col("__w") + 1) / 2).alias(out))
@@ -160,9 +166,11 @@ def spearman_bootstrap(rows: DataFrame, cluster: str, left: str, right: str, rep
     n = units.count()
     reps = rows.sparkSession.range(replicates).withColumnRenamed("id", "rep")
     draws = reps.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long"))).alias("j")).select("rep", draw(F.lit(n), seed, F.col("rep"), F.col("j")).alias("i"))
-    drawn = draws.groupBy("rep", "i").agg(F.count("*").alias("w")).join(units, "i").join(data, "c").groupBy("rep", "x", "y").agg(F.sum("w").alias("w"))
+    # rows grow by replicates in the join: they are dealt before it, and not summed after it, as hardly any are alike
+    tasks = 1 + data.count() * replicates // TASK_ROWS
+    drawn = draws.groupBy("rep", "i").agg(F.count("*").alias("w")).join(units, "i").join(data.repartition(tasks, "c", "x", "y"), "c").select("rep", "x", "y", "w")
     drawn = cut(drawn)
-    joined = reduce(lambda d, v: d.join(weighted_ranks(drawn, "rep", v, "w", f"r{v}"), ["rep", v]), ("x", "y"), drawn)
+    joined = reduce(lambda d, v: d.join(weighted_ranks(drawn, "rep", v, "w", f"r{v}", tasks), ["rep", v]), ("x", "y"), drawn)
     total = lambda c: F.sum(F.col("w") * c)
     mean = joined.groupBy("rep").agg(F.sum("w").alias("n"), total(F.col("rx")).alias("sx"), total(F.col("ry")).alias("sy"), total(F.col("rx") * F.col("rx")).alias("xx"), total(F.col("ry") * F.col("ry")).alias("yy"), total(F.col("rx") * F.col("ry")).alias("xy"))
     spread = lambda s, q: F.col(q) - F.col(s) * F.col(s) / F.col("n")

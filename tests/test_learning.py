@@ -117,3 +117,19 @@ def test_order_probe_learns(spark):
     energies = [(r.energy, r.label) for r in learn.order_energies(judged, points, "program").collect()]
     wins = np.mean([(q > p) + 0.5 * (q == p) for p, x in energies if x == 1 for q, z in energies if z == 0])
     assert after.auc == pytest.approx(wins)
+
+
+def test_resampling_deals_rows_into_tasks(spark, monkeypatch):
+    from lodestrata.operators import controls
+
+    written = []
+    whole = controls.cut
+    monkeypatch.setattr(controls, "cut", lambda df: written.append(df) or whole(df))
+    rows = spark.createDataFrame([(i % 5, float(i * 7 % 31), float(i)) for i in range(200)], "c int, x double, y double").coalesce(1)
+    plain = controls.spearman_bootstrap(rows, "c", "x", "y", 10, "s").first()
+    monkeypatch.setattr(controls, "TASK_ROWS", 100)
+    dealt = controls.spearman_bootstrap(rows, "c", "x", "y", 10, "s").first()
+    assert dealt.clusters == 5 and (dealt.low, dealt.high) == pytest.approx((plain.low, plain.high)) and dealt.low < dealt.high
+    before, after = (df._jdf.queryExecution().optimizedPlan().toString() for df in written[-2:])
+    assert "RepartitionByExpression [c" in after and ", 21" in after  # 200 rows, ten times, a hundred a task
+    assert "sum(w" not in after  # no task sums all replicates of its rows
