@@ -309,6 +309,23 @@ def callable_roots(nodes: DataFrame, tree: str, labels: tuple[str, ...] = CALLAB
     return nodes.where(F.col("label").isin(*labels)).select(tree, "node")
 
 
+#: Rows of a group that one key holds.
+GROUP_ROWS = 1024
+
+
+def pairs_of_groups(rows: DataFrame, group: str, left: tuple[str, ...], right: tuple[str, ...]) -> DataFrame:
+    """Every pair of rows of one group, with names for the columns of both sides; the first of those orders the two and tells rows apart.
+
+    A group's left rows are dealt into blocks of about GROUP_ROWS, and its right rows go once to each, so that a large group is the work of many tasks.
+    """
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("blocks"))
+    tasks = 4 * (sizes.agg(F.sum("blocks")).first()[0] or 1)
+    x = rows.toDF(group, *left).join(sizes, group).withColumn("block", F.pmod(F.xxhash64(left[0]), "blocks").cast("int"))
+    y = rows.toDF(group, *right).join(sizes, group).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = (d.drop("blocks").repartition(min(tasks, 4096), group, "block") for d in (x, y))
+    return y.join(x.hint("shuffle_hash"), [group, "block"]).where(F.col(left[0]) < F.col(right[0])).drop("block")
+
+
 def meeting_depth(left: Column, right: Column, distance: Column) -> Column:
     """Half of what two depths exceed the distance by: the depth of the lowest common ancestor in a tree."""
     return (left + right - distance) / 2

@@ -358,3 +358,16 @@ def test_balls_of_a_forest(spark):
     edges = spark.createDataFrame([("r", str(i)) for i in range(30)] + [("3", "3a"), ("3a", "3b"), ("3b", "3c"), ("x", "y")], "left string, right string")
     plain = lambda df: sorted((r.node, r.radius, r["size"]) for r in df.collect())
     assert plain(graphs.forest_ball_sizes(edges, (1, 2, 3))) == plain(graphs.ball_sizes(edges, (1, 2, 3)))
+
+
+def test_pairs_of_a_large_group_are_work_of_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lodestrata.operators import trees
+
+    monkeypatch.setattr(trees, "GROUP_ROWS", 16)
+    rows = spark.createDataFrame([("a", f"{i:03d}", i) for i in range(200)] + [("b", "x", 1), ("c", "y", 2), ("c", "z", 3)], "g string, n string, v long")
+    pairs = trees.pairs_of_groups(rows, "g", ("l", "lv"), ("r", "rv"))
+    got = [(r.g, r.l, r.r, r.lv, r.rv) for r in pairs.collect()]
+    assert sorted(got) == [("a", f"{i:03d}", f"{j:03d}", i, j) for i in range(200) for j in range(i + 1, 200)] + [("c", "y", "z", 2, 3)]
+    assert pairs.where("g = 'a'").groupBy(F.spark_partition_id().alias("p")).count().count() >= 4
