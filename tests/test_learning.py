@@ -133,3 +133,53 @@ def test_resampling_deals_rows_into_tasks(spark, monkeypatch):
     before, after = (df._jdf.queryExecution().optimizedPlan().toString() for df in written[-2:])
     assert "RepartitionByExpression [c" in after and ", 21" in after  # 200 rows, ten times, a hundred a task
     assert "sum(w" not in after  # no task sums all replicates of its rows
+
+
+def test_order_probe_by_blocks_equals_rows(spark, tmp_path, monkeypatch):
+    """The query learns and judges in tasks what the rows of all pairs give, also where trees fall into many blocks and energies take turns."""
+    from lodestrata.operators import probe
+    from lodestrata.plans import structures
+
+    rng = random.Random(5)
+    urls = [f"http://h{i % 3}.org/" + "/".join(f"{'xyz'[d % 3]}{rng.randrange(3 + 2 * d)}" for d in range(rng.randrange(1, 6))) for i in range(120)]
+    spark.createDataFrame([(i, u) for i, u in enumerate([*urls, "http://alone.org/", None])], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    nodes = graphs.cut(structures.host_nodes(spark, str(tmp_path)).withColumn("ancestors", F.concat(F.array(F.lit("")), F.col("parts"))))
+    records = graphs.cut(learn.order_split(paths.order_relations(nodes, "host", incomparable=True), "host"))
+    learnt = graphs.cut(learn.train_order(records.where("train"), nodes, "host", epochs=8))
+    want = learn.order_scores(learn.order_energies(records.where("NOT train"), learnt, "host")).first()
+    assert want.n > 1000 and 0.5 < want.auc < 1 and records.where("NOT train AND label = 1").count() > 100
+
+    def refuse(*_, **__):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(paths, "order_relations", refuse)
+    monkeypatch.setattr(probe, "LEAST", 8)
+    monkeypatch.setattr(probe, "HELD", 50)
+    size, tasks = probe.layout(nodes, "host")
+    assert size == 8
+    bits = probe.halves(nodes, "host", size, tasks, "split")
+    points = graphs.cut(probe.train(nodes, bits, "host", size, tasks, 4, 8, "order"))
+    there = {(r.host, r.node): r.point for r in learnt.collect()}
+    assert all(np.allclose(r.point, there[r.host, r.node], atol=1e-9) for r in points.collect()) and points.count() == len(there)
+    got = probe.scores(points, bits, "host", size, tasks, 4).first()
+    assert got.n == want.n and got.auc == pytest.approx(want.auc, abs=1e-9)
+    assert (got.positive_energy, got.negative_energy) == pytest.approx((want.positive_energy, want.negative_energy), abs=1e-9)
+    row = structures.host_order_probe(spark, str(tmp_path)).first()
+    assert (row.n, row.auc) == (want.n, round(want.auc, 4))
+    none = probe.order_probe(nodes.where("host = ''"), "host", epochs=1).first()
+    assert none.n == 0 and none.auc is None
+
+
+def test_only_pairs_whose_loss_slopes_are_left():
+    from lodestrata.operators import probe
+
+    rng = np.random.default_rng(6)
+    for scale in (0.3, 0.6, 0.99):
+        a, p = (x / np.linalg.norm(x, axis=1, keepdims=True) * rng.uniform(learn.INNER, scale, (90, 1)) for x in (rng.normal(size=(90, 4)) for _ in range(2)))
+        p[:20] = a[:20] * 1.0001
+        i, j = (x.ravel() for x in np.indices((90, 90)))
+        ga, gb = learn.slopes(np.zeros(8100, int), a[i], p[j])
+        some = np.zeros((90, 90), bool)
+        some[probe.sloping(a, p, np.ones((90, 90), bool))] = True
+        assert not ga[~some.ravel()].any() and not gb[~some.ravel()].any() and some.mean() < 0.7
+        assert np.allclose(probe.energies(a[20:], p[20:], np.ones((70, 70), bool)).reshape(70, 70), geometry.cone_energy(a[20:, None], p[None, 20:]), atol=1e-7)
