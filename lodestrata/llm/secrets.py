@@ -21,6 +21,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm.shared import forget, written
+
 #: Shortest candidate, the forest's size and seed, and the score from which a candidate is a secret.
 MIN_LENGTH, TREES, DEPTH, SEED, THRESHOLD = 16, 24, 6, 7, 0.5
 #: Candidates whose places are summed together.
@@ -130,14 +132,21 @@ def labelled_findings(spark: SparkSession) -> DataFrame:
         (0, cat(capital("a"), lit("-"), word("b"), lit("-"), word("c"), lit("-"), word("d")), plain, space),
     ]
     numbers = spark.range(EXAMPLES, numPartitions=1).withColumnRenamed("id", "n")
-    return reduce(DataFrame.union, [numbers.select(run.alias("run"), before.alias("before"), after.alias("after"), F.lit(label).alias("label")) for label, run, before, after in shapes])
+    # one projection of all shapes: a union would have a plan, and code for the driver to generate, for each of them
+    examples = F.array(*[F.struct(run.alias("run"), before.alias("before"), after.alias("after"), F.lit(label).alias("label")) for label, run, before, after in shapes])
+    return numbers.select("n", F.posexplode(examples).alias("shape", "example")).sortWithinPartitions("shape", "n").select("example.*")
 
 
 def forest(findings: DataFrame) -> Column:
-    """The score of struct column f as an expression: the mean, over trees trained from labelled findings, of the leaf's share of secrets."""
-    rows = findings.select(described(F.col("run"), F.col("before"), F.col("after")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label").coalesce(1)
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
+    """The score of struct column f as an expression: the mean, over trees trained from labelled findings, of the leaf's share of secrets.
+
+    The features are written once, so that none of the training's jobs plans them again.
+    """
+    rows = findings.select(described(F.col("run"), F.col("before"), F.col("after")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
+    rows = written(rows, "findings")
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.coalesce(1)).select("features", "label")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(data)
+    forget(rows)
     return lambda f: reduce(lambda a, b: a + b, [branch(tree._java_obj.rootNode(), f) for tree in model.trees]) / F.lit(float(TREES))
 
 

@@ -117,6 +117,27 @@ def test_secrets_forest_equals_model(spark):
     assert np.mean([(r.s >= 0.5) == (r.label == 1) for r in got]) > 0.97
 
 
+def test_secrets_training_is_planned_once(spark, monkeypatch):
+    """The labelled findings are one projection in the shapes' order, not a union of them; the forest is fitted on written features."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    findings = secrets.labelled_findings(spark)
+    assert "Union" not in findings._jdf.queryExecution().optimizedPlan().toString()
+    labels = [r.label for r in findings.select("label").collect()]
+    blocks = [labels[i : i + secrets.EXAMPLES] for i in range(0, len(labels), secrets.EXAMPLES)]
+    assert len(blocks) == 45 and all(len(b) == secrets.EXAMPLES and len(set(b)) == 1 for b in blocks)
+    assert [b[0] for b in blocks] == [1] * 10 + [0] * 11 + [1] * 12 + [0] * 12
+    plans, fit = [], RandomForestClassifier.fit
+
+    def spied(self, data):
+        plans.append(data._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, data)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", spied)
+    secrets.forest(findings)
+    assert len(plans) == 1 and "regexp_replace" not in plans[0] and "Relation" in plans[0]
+
+
 def test_secrets_odd(spark, odd, empty):
     score = secrets.scanner(spark)
     assert secrets.scan(odd, score).count() == odd.count() and secrets.scan(empty, score).count() == 0
