@@ -319,3 +319,14 @@ def test_calibration_pairs_broadcast_no_items(spark, monkeypatch):
     assert sorted((r.digest, r.left_item, r.right_item) for r in found.collect()) == want
     pairs = found._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=merge)" in pairs or "leftHint=(strategy=merge)" in pairs
+
+
+def test_calibration_pairs_are_digested_by_many_tasks_and_are_never_rows(spark):
+    rows = spark.range(-300, 900).selectExpr("CAST(id % 2 AS int) AS g", "id AS i")
+    key = lambda g, x, y: hmac.new(catalog.BEACON, b"\0".join(str(f).encode() for f in ("cal", "r1", "same_cluster_rank", g, x, y)), hashlib.sha256).hexdigest()
+    groups = {g: [i for i in range(-300, 900) if int(math.fmod(i, 2)) == g] for g in (-1, 0, 1)}
+    want = sorted((key(g, x, y), g, x, y) for g, items in groups.items() for n, x in enumerate(items) for y in items[n + 1 :])[:25]
+    found = sampling.every_calibration_pair(rows, "g", "i", catalog.BEACON, "cal", "r1", 25, 0)
+    assert [(r.digest, r.left_group, r.left_item, r.right_item) for r in sorted(found.collect(), key=lambda r: r.digest)] == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "explode(x" not in plan and "explode(y" not in plan
