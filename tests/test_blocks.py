@@ -128,3 +128,12 @@ def test_scores_by_blocks_equal_windows_over_pairs(spark, monkeypatch):
         assert (r.q_label, r.positives, r.reciprocal_rank) == (label[q], len(places), 1 / places[0])
         assert r.average_precision == pytest.approx(np.mean([n / p for n, p in enumerate(places, 1)]))
         assert (r.recall_5, r.hit_10) == (sum(p <= 5 for p in places) / len(places), int(places[0] <= 10))
+
+
+def test_blocks_are_not_copied_to_shuffles(spark, small, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 100)
+    rows, _ = table(spark)
+    asked = rows.where("id % 20 = 0")
+    for found in (blocks.costs(asked, rows, blocks.euclidean), blocks.scores(asked, rows, blocks.euclidean)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "explode" not in plan
