@@ -137,3 +137,18 @@ def test_blocks_are_not_copied_to_shuffles(spark, small, monkeypatch):
     for found in (blocks.costs(asked, rows, blocks.euclidean), blocks.scores(asked, rows, blocks.euclidean)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "explode" not in plan
+
+
+def test_costs_take_every_vector_whole(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 3, rng.normal(scale=0.1, size=64).astype("f4").tolist()) for i in range(1, 46)]  # two ids alone are divisible by 20
+    rows[1] = (2, 2, rows[0][2][:60] + rows[1][2][60:])
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    costs = {(r["left"], r["right"]): r.cost for r in catalog.QUERIES["product_costs"](spark, str(tmp_path)).collect()}
+    assert set(costs) == {(i, j) for i in range(1, 46) for j in range(1, 46) if i != j}
+    assert all(abs(costs[i, j] - c) < 2e-5 for i, j, c in con.execute(catalog.ORACLE_SQL["product_costs"]).fetchall())
+    assert costs[1, 2] > 0  # their last four numbers alone differ
