@@ -152,3 +152,17 @@ def test_costs_take_every_vector_whole(spark, tmp_path):
     assert set(costs) == {(i, j) for i in range(1, 46) for j in range(1, 46) if i != j}
     assert all(abs(costs[i, j] - c) < 2e-5 for i, j, c in con.execute(catalog.ORACLE_SQL["product_costs"]).fetchall())
     assert costs[1, 2] > 0  # their last four numbers alone differ
+
+
+def test_distance_student_learns_from_every_vector(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, rng.normal(size=64).astype("f4").tolist()) for i in range(1, 40)]  # one id alone is divisible by 20
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    got, want = catalog.QUERIES["distance_student"](spark, str(tmp_path)).first(), con.execute(catalog.ORACLE_SQL["distance_student"]).fetchall()[0]
+    halves = [int(hashlib.sha256(f"student|{i}|{j}".encode()).hexdigest()[:13], 16) / 2**52 < 0.5 for i in range(1, 40) for j in range(1, 40) if i != j]
+    assert got.n == want[0] == halves.count(False)
+    assert tuple(got)[1:] == pytest.approx(want[1:], abs=2e-5)
