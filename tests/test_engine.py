@@ -348,3 +348,20 @@ def test_fuzzy_pairs_write_items_of_near_sets_alone(spark, monkeypatch):
     assert got == pytest.approx(near) and len(near) > 20
     assert all("items" not in columns or n <= 2 * len(near) for columns, n in written)
     assert corpus.least_bands(0.9, 64, 4) == 11 and corpus.least_bands(0.9, 32, 8) == 1
+
+
+def test_sparse_cosine_shuffles_no_more_copies_for_more_blocks(spark, monkeypatch):
+    for name, value in (("QUERIES", 3), ("GALLERY", 20), ("STRIP", 6), ("AT_ONCE", 50), ("OFTEN", 0.3)):
+        monkeypatch.setattr(features, name, value)
+    rng = random.Random(9)
+    bags = {i: {w: rng.randint(1, 9) / 4 for w in (f"w{int(rng.paretovariate(0.4)) % 50}" for _ in range(rng.randint(1, 9)))} for i in range(90)}
+    rows = spark.createDataFrame([(i, w, x) for i, b in bags.items() for w, x in b.items()], "id long, item string, weight double").repartition(5)
+    norm = {i: math.sqrt(sum(x * x for x in b.values())) for i, b in bags.items()}
+    found = features.sparse_cosine_sums(rows.where("id % 5 = 0").select("id"), rows, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+    got = {r["query"]: (r.met, r.best, r.total) for r in found.collect()}
+    for q in range(0, 90, 5):
+        met = [sum(x * bags[d][w] for w, x in bags[q].items() if w in bags[d]) / norm[q] / norm[d] for d in bags if d != q and bags[q].keys() & bags[d].keys()]
+        assert not met or got.pop(q) == (len(met), pytest.approx(max(met)), pytest.approx(sum(met)))
+    assert not got
