@@ -371,3 +371,24 @@ def test_pairs_of_a_large_group_are_work_of_many_tasks(spark, monkeypatch):
     got = [(r.g, r.l, r.r, r.lv, r.rv) for r in pairs.collect()]
     assert sorted(got) == [("a", f"{i:03d}", f"{j:03d}", i, j) for i in range(200) for j in range(i + 1, 200)] + [("c", "y", "z", 2, 3)]
     assert pairs.where("g = 'a'").groupBy(F.spark_partition_id().alias("p")).count().count() >= 4
+
+
+def test_leaf_meetings_compare_each_level_once(spark, tmp_path, monkeypatch):
+    from lodestrata.plans import catalog, structures
+
+    paths = ["a/b/c", "a/b/d/e", "a/x", "z", "a/b/d/f", "q/b/d/e", "a/xy", ""]
+    rows = [(f"http://{h}/{p}",) for h in ("h1", "h2") for p in paths if h == "h1" or p < "b"]
+    spark.createDataFrame(rows, "url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = set()
+    for h in ("h1", "h2"):
+        own = [p.split("/") for p in paths if p and (h == "h1" or p < "b")]
+        for x in own:
+            for y in own:
+                n = next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+                if "/".join(x) < "/".join(y):
+                    want.add((h, "/".join(x), "/".join(y), "/".join(x[:n]), len(x) + len(y) - 2 * n, float(n)))
+    for levels in (24, 2):
+        monkeypatch.setattr(structures, "LEVELS", levels)
+        found = catalog.QUERIES["leaf_meetings"](spark, str(tmp_path))
+        assert {tuple(r) for r in found.collect()} == want
+        assert ("zip_with" in found._jdf.queryExecution().optimizedPlan().toString()) == (levels == 2)
